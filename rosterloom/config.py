@@ -40,6 +40,7 @@ class Side:
 class ScaleLimits:
     """Where the plans change shape. None of these changes a result.
 
+    listed_districts  up to so many districts of a batch are written into the filter
     broadcast_bytes   a set is broadcast only if its measured size is at most this
     hot_share         a key is hot if it may hold at least this share of a side ...
     hot_min_rows      ... and at least this many rows
@@ -47,6 +48,7 @@ class ScaleLimits:
     pair_limit        keys with more pairs than this are counted without forming pairs
     """
 
+    listed_districts: int = 1_000
     broadcast_bytes: int = 8 * 1024 * 1024
     hot_share: float = 0.001
     hot_min_rows: int = 1_000_000

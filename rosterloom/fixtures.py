@@ -91,8 +91,15 @@ def _aliased(recipe: dict[str, str]) -> list[str]:
     return [f"{expression} AS {name}" for name, expression in recipe.items()]
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = _spread(orders, "o_orderkey")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     return joined.selectExpr(*_aliased(BASE))

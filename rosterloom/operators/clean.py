@@ -38,11 +38,15 @@ def restrict_to_batch(registry: DataFrame, upload: DataFrame,
                       cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Registry rows whose district occurs among the uploads.
 
-    The district list is broadcast after measuring it. Should it ever be too long for
-    that, the rows go through a lookup join that spreads crowded districts.
+    A short list of districts becomes a plain filter, which a Parquet scan can use to skip
+    row groups. A longer one is broadcast after measuring it. Should it be too long even
+    for that, the rows go through a lookup join that spreads crowded districts.
     """
     mine, theirs = cfg.registry.col(cfg.district), cfg.upload.col(cfg.district)
     batch = upload.select(F.col(theirs).alias(mine)).distinct()
+    listed = batch.limit(cfg.limits.listed_districts + 1).collect()
+    if len(listed) <= cfg.limits.listed_districts:
+        return registry.filter(F.col(mine).isin([row[0] for row in listed]))
     checked = broadcast_if_small(batch, cfg.limits)
     if checked is not batch:
         return registry.join(checked, mine, "left_semi")

@@ -26,7 +26,8 @@ from rosterloom.functions.jaro import jaro
 from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
-from rosterloom.operators.link import KEY, Linkage, link_sizes
+from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, link_sizes
+from rosterloom.operators.skew import SLICE
 
 # Any order is right; rare characters first makes the candidate search selective.
 _RARE_FIRST = "zqjxkvybwgpf9876543210mucdlhrsnioate "
@@ -41,32 +42,50 @@ def eligibility_columns(cfg: MatchConfig) -> dict[str, tuple[str, str]]:
             for side in (cfg.upload, cfg.registry) for v in cfg.eligibility_values}
 
 
+def has_crowded_keys(link: Linkage) -> bool:
+    """Whether any key may stand for more than `pair_limit` pairs; one small job.
+
+    Counts the rows under either candidate key, by hash: that is never less than the rows
+    under the chosen key, and needs one shuffle of numbers only, pre-aggregated.
+    """
+    counts = []
+    for rows, n_p, n_s in zip(link.plain, (1, 0), (0, 1)):
+        keys = F.explode(F.array(F.xxhash64(ID_KEY), F.xxhash64(NAME_KEY)))
+        counts.append(rows.select(keys.alias("key"), F.lit(n_p).alias("n_p"), F.lit(n_s).alias("n_s")))
+    per_key = counts[0].unionAll(counts[1]).groupBy("key").agg(
+        F.sum("n_p").cast("double").alias("n_p"), F.sum("n_s").alias("n_s"))
+    most = per_key.agg(F.max(F.col("n_p") * F.col("n_s")).alias("most")).first()["most"]
+    return most is not None and most > link.cfg.limits.pair_limit
+
+
 def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bool = True) -> DataFrame:
     """One row per district with linked pairs, and the requested counts over its pairs."""
     cfg = link.cfg
-    sizes = link_sizes(link)
-    sides = {
-        side: link.hot.join_lookup(comparable(link.rows(side), side, cfg), sizes, [KEY], "inner")
-        for side in cfg.sides
-    }
-    crowded = F.col("n_p").cast("double") * F.col("n_s") > cfg.limits.pair_limit
-    few = [sides[s].filter(~crowded) for s in cfg.sides]
-    many = [sides[s].filter(crowded) for s in cfg.sides]
-
-    parts = [_count_by_joining(*few, cfg, fields, eligibility)]
-    if fields:
-        parts.append(_count_by_sizes(*many, cfg, fields))
-    if eligibility:
-        parts.append(_eligibility_by_sizes(*many, cfg))
+    rows = [comparable(link.rows(side), side, cfg) for side in cfg.sides]
+    if not has_crowded_keys(link):
+        parts = [_count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)]
+    else:
+        sizes = link_sizes(link)
+        sized = [link.hot.join_lookup(df, sizes, [KEY], "inner").drop(SLICE) for df in rows]
+        crowded = F.col("n_p").cast("double") * F.col("n_s") > cfg.limits.pair_limit
+        few = [df.filter(~crowded).drop("n_p", "n_s") for df in sized]
+        many = [df.filter(crowded) for df in sized]
+        parts = [_count_pairs(few[0].join(few[1], KEY, "inner"), cfg, fields, eligibility)]
+        if fields:
+            parts.append(_count_by_sizes(*many, cfg, fields))
+        if eligibility:
+            parts.append(_eligibility_by_sizes(*many, cfg))
     wanted = [*(eligibility_columns(cfg) if eligibility else ()), *map(count_name, fields)]
+    if len(parts) == 1:
+        return parts[0]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return union.groupBy("AUN").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in wanted])
 
 
-def _count_by_joining(p: DataFrame, s: DataFrame, cfg: MatchConfig, fields, eligibility) -> DataFrame:
-    """Join the pairs and count all measures in one pass. At most `pair_limit` pairs a key."""
-    pairs = p.drop("_slice", "n_p", "n_s").join(s.drop("_slice", "n_p", "n_s"), KEY, "inner")
+def _count_pairs(pairs: DataFrame, cfg: MatchConfig, fields: tuple[str, ...],
+                 eligibility: bool) -> DataFrame:
+    """Count all measures over formed pairs in one pass."""
     measures = {}
     if eligibility:
         for name, (short, value) in eligibility_columns(cfg).items():
@@ -74,8 +93,7 @@ def _count_by_joining(p: DataFrame, s: DataFrame, cfg: MatchConfig, fields, elig
     for f in fields:
         measures[count_name(f)] = differs(f, cfg)
     flagged = pairs.select("AUN", *[test.alias(name) for name, test in measures.items()])
-    return flagged.groupBy("AUN").agg(
-        *[F.count_if(name).cast("decimal(38,0)").alias(name) for name in measures])
+    return flagged.groupBy("AUN").agg(*[F.count_if(name).alias(name) for name in measures])
 
 
 def _product() -> Column:

@@ -2,7 +2,8 @@
 
 Two tools. `broadcast_if_small` broadcasts a set only after measuring it. `HotKeys` finds
 the few keys that may hold a large share of a side (with a frequent-items sketch, one
-pass, no shuffle of the rows) and spreads the rows of just these keys over slices.
+pass, no shuffle of the rows) and spreads the rows of just these keys over slices. Keys
+are known by hash here: a collision merely spreads one key more.
 
 The slice of a row is taken where the roster is read, before any shuffle, so a task that
 is run again after an executor loss gives every row the same slice.
@@ -10,7 +11,7 @@ is run again after an executor loss gives every row the same slice.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,51 +39,50 @@ def with_slice(df: DataFrame, limits: ScaleLimits) -> DataFrame:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys that may be crowded, with the estimated rows of each, one dict per side."""
+    """Hashes of keys that may be crowded, with the estimated rows of each, one dict per side."""
 
     limits: ScaleLimits
-    rows: tuple[dict[str, int], ...] = field(default=())
+    rows: tuple[dict[int, int], ...] = ()
 
     @staticmethod
     def find(sides: list[tuple[DataFrame, list[str]]], limits: ScaleLimits) -> "HotKeys":
         """Look for crowded values in the named columns of each side, in one small job.
 
-        What reaches the driver is at most 1,000 keys per column, by construction.
+        What reaches the driver is at most 1,000 hashes per column, by construction.
         """
         sketches = None
         for number, (df, columns) in enumerate(sides):
-            one = df.agg(
+            hashes = df.select(*[F.xxhash64(c).alias(c) for c in columns])
+            one = hashes.agg(
                 F.lit(number).alias("side"),
                 F.count(F.lit(1)).alias("n"),
                 F.array(*[F.expr(_SKETCH.format(column=c)) for c in columns]).alias("tops"),
             )
             sketches = one if sketches is None else sketches.unionAll(one)
-        rows: list[dict[str, int]] = [{} for _ in sides]
+        rows: list[dict[int, int]] = [{} for _ in sides]
         for found in sketches.collect():
             least = max(limits.hot_share * found.n, limits.hot_min_rows)
-            for top in found.tops:
-                for item in top:
-                    if item["item"] is not None and item["count"] >= least:
-                        known = rows[found.side]
-                        known[item["item"]] = known.get(item["item"], 0) + item["count"]
+            for item in (item for top in found.tops for item in top):
+                if item["count"] >= least:
+                    known = rows[found.side]
+                    known[item["item"]] = known.get(item["item"], 0) + item["count"]
         return HotKeys(limits, tuple(rows))
 
     @property
-    def keys(self) -> list[str]:
+    def keys(self) -> list[int]:
         return sorted(set().union(*self.rows))
 
-    def heavier_on(self, side: int) -> list[str]:
-        """Hot keys with at least as many rows on this side as on the other one."""
-        other = 1 - side
-        return [k for k in self.keys
-                if (self.rows[side].get(k, 0), -side) > (self.rows[other].get(k, 0), -other)]
+    def heavier_on(self, side: int) -> list[int]:
+        """Hot keys with more rows on this side than on the other; ties go to the first side."""
+        mine, other = self.rows[side], self.rows[1 - side]
+        return [k for k in self.keys if (mine.get(k, 0), -side) > (other.get(k, 0), side - 1)]
 
-    def _slice_of(self, key: Column, keys: list[str]) -> Column:
-        return F.when(key.isin(keys), F.col(SLICE)).otherwise(F.lit(0))
+    def _slice_of(self, key: Column, hot: list[int]) -> Column:
+        return F.when(F.xxhash64(key).isin(hot), F.col(SLICE)).otherwise(F.lit(0))
 
-    def _all_slices(self, key: Column, keys: list[str]) -> Column:
+    def _all_slices(self, key: Column, hot: list[int]) -> Column:
         every = F.sequence(F.lit(0), F.lit(self.limits.slices - 1))
-        return F.when(key.isin(keys), every).otherwise(F.array(F.lit(0)))
+        return F.when(F.xxhash64(key).isin(hot), every).otherwise(F.array(F.lit(0)))
 
     def join_lookup(self, rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
                     key: Column | None = None) -> DataFrame:
@@ -100,13 +100,11 @@ class HotKeys:
     def join_pairs(self, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
         """Many-to-many inner join. A hot key is sliced on its heavier side."""
         if not self.keys:
-            return left.join(right, on, "inner").drop(SLICE)
+            return left.join(right, on, "inner")
         key = F.col(on)
-        for name, side in (("_left_at", 0), ("_right_at", 1)):
-            mine = self.heavier_on(side)
-            own, other = (left, right) if side == 0 else (right, left)
-            own = own.withColumn(name, self._slice_of(key, mine))
-            other = other.withColumn(name, F.explode(self._all_slices(key, mine)))
-            left, right = (own, other) if side == 0 else (other, own)
-        joined = left.drop(SLICE).join(right.drop(SLICE), [on, "_left_at", "_right_at"], "inner")
-        return joined.drop("_left_at", "_right_at")
+        by_left, by_right = self.heavier_on(0), self.heavier_on(1)
+        left = (left.withColumn("_left_at", self._slice_of(key, by_left))
+                .withColumn("_right_at", F.explode(self._all_slices(key, by_right))).drop(SLICE))
+        right = (right.withColumn("_right_at", self._slice_of(key, by_right))
+                 .withColumn("_left_at", F.explode(self._all_slices(key, by_left))).drop(SLICE))
+        return left.join(right, [on, "_left_at", "_right_at"], "inner").drop("_left_at", "_right_at")

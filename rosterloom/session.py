@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, **settings: str) -> Spa
     everything = SETTINGS | {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | settings
     for name, value in everything.items():
