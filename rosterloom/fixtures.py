@@ -67,6 +67,21 @@ UPLOAD = {
     "sebt_parent_last_name": "ln",
 }
 
+# Crowded variants. On both sides one order in 50 shares a placeholder ID in one district;
+# another one in 50 of the uploads has no name, no birth date and an unknown ID.
+PLACEHOLDER = {"aun9_3": "100000000", "pasecureid": "0000000000"}
+CROWDED_REGISTRY = REGISTRY | {
+    f"primero_{c}": f"CASE WHEN k%50=7 THEN '{v}' ELSE {REGISTRY[f'primero_{c}']} END"
+    for c, v in PLACEHOLDER.items()}
+CROWDED_UPLOAD = UPLOAD | {
+    "sebt_aun9_3": f"CASE WHEN k%50=7 THEN '{PLACEHOLDER['aun9_3']}' WHEN k%50=8 THEN '100001013' "
+                   f"ELSE {UPLOAD['sebt_aun9_3']} END",
+    "sebt_pasecureid": f"CASE WHEN k%50=7 THEN '{PLACEHOLDER['pasecureid']}' "
+                       f"WHEN k%50=8 THEN concat('x', sid) ELSE {UPLOAD['sebt_pasecureid']} END",
+    **{f"sebt_{c}": f"CASE WHEN k%50=8 THEN NULL ELSE {UPLOAD[f'sebt_{c}']} END"
+       for c in ("student_first_name", "student_last_name", "student_dob")},
+}
+
 REGISTRY_ROWS = ("k%13<>0 AND nk<>23", "k%31=0")  # which rows; which of them twice
 UPLOAD_ROWS = ("k%19<>0 AND nk<>24", "k%29=0")
 
@@ -111,12 +126,12 @@ def _roster(rows: DataFrame, which: tuple[str, str], recipe: dict[str, str]) ->
     return rows.filter(wanted).selectExpr("*", copies).selectExpr(*_aliased(recipe))
 
 
-def registry_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roster(base(spark, sf_dir), REGISTRY_ROWS, REGISTRY)
+def registry_roster(spark: SparkSession, sf_dir: str, recipe: dict[str, str] = REGISTRY) -> DataFrame:
+    return _roster(base(spark, sf_dir), REGISTRY_ROWS, recipe)
 
 
-def upload_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _roster(base(spark, sf_dir), UPLOAD_ROWS, UPLOAD)
+def upload_roster(spark: SparkSession, sf_dir: str, recipe: dict[str, str] = UPLOAD) -> DataFrame:
+    return _roster(base(spark, sf_dir), UPLOAD_ROWS, recipe)
 
 
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +144,10 @@ def official_enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr(*_aliased(OFFICIAL | {"Total": "count"}))
 
 
-def roster_ctes() -> str:
+def roster_ctes(crowded: bool = False) -> str:
     """The same rosters as common table expressions (without the WITH)."""
+    registry, upload = (CROWDED_REGISTRY, CROWDED_UPLOAD) if crowded else (REGISTRY, UPLOAD)
+
     def table(recipe, which):
         wanted, twice = which
         columns = ", ".join(_aliased(recipe))
@@ -140,7 +157,7 @@ def roster_ctes() -> str:
     official = ", ".join(_aliased(OFFICIAL))
     return f"""
 base AS (SELECT {", ".join(_aliased(BASE))} FROM orders JOIN customer ON o_custkey = c_custkey),
-registry_raw AS ({table(REGISTRY, REGISTRY_ROWS)}),
-upload_raw AS ({table(UPLOAD, UPLOAD_ROWS)}),
+registry_raw AS ({table(registry, REGISTRY_ROWS)}),
+upload_raw AS ({table(upload, UPLOAD_ROWS)}),
 upload_file AS ({table(RAW_UPLOAD, UPLOAD_ROWS)}),
 official AS (SELECT {official} FROM customer WHERE c_nationkey <> 20 GROUP BY c_nationkey)"""

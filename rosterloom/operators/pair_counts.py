@@ -28,6 +28,7 @@ from rosterloom.operators.compare import (
 )
 from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, link_sizes
 from rosterloom.operators.skew import SLICE
+from rosterloom.workspace import work_folder
 
 # Any order is right; rare characters first makes the candidate search selective.
 _RARE_FIRST = "zqjxkvybwgpf9876543210mucdlhrsnioate "
@@ -63,26 +64,39 @@ def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bo
     cfg = link.cfg
     rows = [comparable(link.rows(side), side, cfg) for side in cfg.sides]
     if not has_crowded_keys(link):
-        parts = [_count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)]
-    else:
-        sizes = link_sizes(link)
-        sized = [link.hot.join_lookup(df, sizes, [KEY], "inner").drop(SLICE) for df in rows]
-        crowded = F.col("n_p").cast("double") * F.col("n_s") > cfg.limits.pair_limit
-        few = [df.filter(~crowded).drop("n_p", "n_s") for df in sized]
-        many = [df.filter(crowded) for df in sized]
-        parts = [_count_pairs(few[0].join(few[1], KEY, "inner"), cfg, fields, eligibility)]
-        if fields:
-            parts.append(_count_by_sizes(*many, cfg, fields))
-        if eligibility:
-            parts.append(_eligibility_by_sizes(*many, cfg))
+        return _count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)
+
+    (p_few, p_many), (s_few, s_many) = _apart(link, rows)
+    parts = [_count_pairs(p_few.join(s_few, KEY, "inner"), cfg, fields, eligibility)]
+    if fields:
+        parts.append(_count_by_sizes(p_many, s_many, cfg, fields))
+    if eligibility:
+        parts.append(_eligibility_by_sizes(p_many, s_many, cfg))
     wanted = [*(eligibility_columns(cfg) if eligibility else ()), *map(count_name, fields)]
-    if len(parts) == 1:
-        return parts[0]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return union.groupBy("AUN").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in wanted])
 
 
+def _apart(link: Linkage, rows: list[DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
+    """Per side, the linked rows of keys with few pairs and those of keys with many.
+
+    Both sides are written once, since several aggregations read them.
+    """
+    spark = rows[0].sparkSession
+    folder = work_folder(spark, "pairs")
+    crowded = F.col("n_p").cast("double") * F.col("n_s") > link.cfg.limits.pair_limit
+    out = []
+    for side, df in zip(link.cfg.sides, rows):
+        sized = link.hot.join_lookup(df, link_sizes(link), [KEY], "inner").drop(SLICE)
+        marked = sized.withColumn("crowded", crowded).drop("n_p", "n_s")
+        marked.write.partitionBy("crowded").parquet(f"{folder}/{side.short}")
+        stored = spark.read.schema(marked.schema).parquet(f"{folder}/{side.short}")
+        out.append((stored.filter(~F.col("crowded")).drop("crowded"),
+                    stored.filter(F.col("crowded")).drop("crowded")))
+    return out
+
+
 def _count_pairs(pairs: DataFrame, cfg: MatchConfig, fields: tuple[str, ...],
                  eligibility: bool) -> DataFrame:
     """Count all measures over formed pairs in one pass."""

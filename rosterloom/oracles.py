@@ -30,8 +30,8 @@ def _keys(prefix: str, named_only: bool) -> str:
             f"{district} || '_' || {' || '.join([name[0]] + [part for c in name[1:] for part in (chr(39) + '_' + chr(39), c)])} AS join_key2")
 
 
-def _common(named_only: bool = False) -> str:
-    return f"""WITH {roster_ctes()},
+def _common(named_only: bool = False, crowded: bool = False) -> str:
+    return f"""WITH {roster_ctes(crowded)},
 p0 AS (SELECT * FROM (SELECT {_cleaned(_P, 'primero')} FROM registry_raw)
        WHERE primero_aun9_3 <> '' AND primero_pasecureid <> ''),
 s2 AS (SELECT * FROM (SELECT {_cleaned(_S, 'sebt')} FROM upload_raw)
@@ -146,6 +146,13 @@ _ID_LISTS = ("SELECT DISTINCT primero_aun9_3 AS AUN, primero_pasecureid AS PAsec
 
 _FIELDS = ("school_code", "parent_name", "address", "case_number")
 
+# The queries that also run on rosters with crowded keys.
+CROWDED = (
+    "batch_semi_join", "one_sided_ids", "key_cascade", "linked_pairs", "link_sizes",
+    "unmatched_registry", "unmatched_upload", "duplicate_key_rows", "eligibility_wide",
+    *(f"{f}_mismatch" for f in _FIELDS), "district_summary",
+)
+
 _TAILS: dict[str, str] = {
     "clean_rosters": _both(_bare(_P, "primero"), _bare(_S, "sebt")).format(p="p0", s="s2"),
     "batch_semi_join": "SELECT * FROM p2",
@@ -186,9 +193,8 @@ _TAILS: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     out = {name: _common() + tail for name, tail in _TAILS.items()}
-    for name in ("batch_semi_join", "one_sided_ids", "key_cascade", "linked_pairs", "unmatched_registry",
-                 "eligibility_wide", "district_summary", *(f"{f}_mismatch" for f in _FIELDS)):
-        out[f"{name}_crowded"] = out[name]
+    for name in CROWDED:
+        out[f"{name}_crowded"] = _common(crowded=True) + _TAILS[name]
     for name in ("key_cascade", "linked_pairs"):
         out[f"{name}_named_only"] = _common(named_only=True) + _TAILS[name]
     return out

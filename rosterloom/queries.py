@@ -25,32 +25,32 @@ from rosterloom.workspace import work_folder
 
 CFG = MatchConfig()
 
-# The same results by the plans for crowded keys: every key that can count as hot is
-# sliced, and every key with more than one pair is counted from sizes.
-CROWDED = replace(CFG, limits=ScaleLimits(hot_min_rows=2, slices=4, pair_limit=1,
-                                          listed_districts=1, broadcast_bytes=1))
+# For the crowded rosters: limits low enough for the small tables to take the plans for
+# hot keys, crowded keys and long district lists.
+CROWDED = replace(CFG, limits=ScaleLimits(
+    listed_districts=1, broadcast_bytes=1, hot_share=0.005, hot_min_rows=5, slices=4, pair_limit=100))
 NAMED_ONLY = replace(CFG, match_missing_names=False)
 
 Query = Callable[[SparkSession, str], DataFrame]
-_snapshots: dict[tuple[str, str], str] = {}
+_snapshots: dict[tuple, str] = {}
 
 
-def raw_rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fixtures.registry_roster(spark, sf_dir), fixtures.upload_roster(spark, sf_dir)
+def clean_rosters(spark: SparkSession, sf_dir: str, cfg: MatchConfig = CFG) -> tuple[DataFrame, DataFrame]:
+    recipes = {}
+    if cfg is CROWDED:
+        recipes = {cfg.registry: fixtures.CROWDED_REGISTRY, cfg.upload: fixtures.CROWDED_UPLOAD}
+    registry = fixtures.registry_roster(spark, sf_dir, recipes.get(cfg.registry, fixtures.REGISTRY))
+    upload = fixtures.upload_roster(spark, sf_dir, recipes.get(cfg.upload, fixtures.UPLOAD))
+    return clean_roster(registry, cfg.registry, cfg), clean_roster(upload, cfg.upload, cfg)
 
 
-def clean_rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    registry, upload = raw_rosters(spark, sf_dir)
-    return clean_roster(registry, CFG.registry, CFG), clean_roster(upload, CFG.upload, CFG)
-
-
-def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def snapshots(spark: SparkSession, sf_dir: str, cfg: MatchConfig = CFG) -> tuple[DataFrame, DataFrame]:
     """Both clean rosters as stored tables, made once per session and source folder."""
-    known = (spark.sparkContext.applicationId, sf_dir)
+    known = (spark.sparkContext.applicationId, sf_dir, cfg is CROWDED)
     if known not in _snapshots:
         folder = work_folder(spark, "rosters")
-        registry, upload = clean_rosters(spark, sf_dir)
-        save_snapshot(registry, f"{folder}/registry", CFG.registry, CFG)
+        registry, upload = clean_rosters(spark, sf_dir, cfg)
+        save_snapshot(registry, f"{folder}/registry", cfg.registry, cfg)
         upload.write.parquet(f"{folder}/upload")
         _snapshots[known] = folder
     folder = _snapshots[known]
@@ -58,7 +58,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def linked(spark: SparkSession, sf_dir: str, cfg: MatchConfig = CFG) -> Linkage:
-    return link_rosters(*snapshots(spark, sf_dir), cfg)
+    return link_rosters(*snapshots(spark, sf_dir, cfg), cfg)
 
 
 def _stack(parts: dict) -> DataFrame:
@@ -77,7 +77,7 @@ def _clean(spark, sf_dir):
 
 def _semi_join(cfg=CFG):
     def query(spark, sf_dir):
-        return restrict_to_batch(*snapshots(spark, sf_dir), cfg)
+        return restrict_to_batch(*snapshots(spark, sf_dir, cfg), cfg)
     return query
 
 
@@ -158,11 +158,14 @@ QUERIES: dict[str, Query] = {
     "linked_pairs_crowded": _over_link(linked_pairs, cfg=CROWDED),
     "linked_pairs_named_only": _over_link(linked_pairs, cfg=NAMED_ONLY),
     "link_sizes": _over_link(link_sizes),
+    "link_sizes_crowded": _over_link(link_sizes, cfg=CROWDED),
     "unmatched_registry": _over_link(unmatched, CFG.registry),
     "unmatched_registry_crowded": _over_link(unmatched, CFG.registry, cfg=CROWDED),
     "unmatched_upload": _over_link(unmatched, CFG.upload),
+    "unmatched_upload_crowded": _over_link(unmatched, CFG.upload, cfg=CROWDED),
     "duplicate_keys": _duplicates,
     "duplicate_key_rows": _over_link(duplicate_key_rows),
+    "duplicate_key_rows_crowded": _over_link(duplicate_key_rows, cfg=CROWDED),
     "many_to_many_keys": _over_link(many_to_many_keys),
     "head_counts": _over_batch(summary.head_counts),
     "eligibility_wide": _over_link(summary.eligibility_wide),
