@@ -48,13 +48,32 @@ def text_key(parts: list[Column], separator: str = "_", missing_text: str = "NA"
     return F.concat(*woven)
 
 
+def _one_pass(words: tuple[tuple[str, str], ...]) -> tuple[str, str]:
+    """One pattern for all words, with groups around the letters the short forms keep.
+
+    'road' → 'rd' becomes (r)oa(d), and all groups, most of them empty, the replacement.
+    A short form is made of letters of its word in order, and no replacement makes a new
+    word, so one pass does what one pass per word would do.
+    """
+    shapes = []
+    for word, short in words:
+        rest = list(short)
+        shape = "".join(f"({rest.pop(0)})" if rest and letter == rest[0] else letter for letter in word)
+        if rest:
+            raise ValueError(f"{short!r} is not made of letters of {word!r}")
+        shapes.append(shape)
+    groups = sum(len(short) for _, short in words)
+    # (?U): word boundaries by Unicode letters, whatever the Java version.
+    return rf"(?U)\b(?:{'|'.join(shapes)})\b", "".join(f"${g}" for g in range(1, groups + 1))
+
+
+_ADDRESS_PATTERN, _ADDRESS_REPLACEMENT = _one_pass(ADDRESS_WORDS)
+
+
 def standardize_address(c: Column) -> Column:
     """Lower-case, trim, shorten the street words, drop the dots. Inner spaces stay."""
-    out = tidy(c)
-    for word, short in ADDRESS_WORDS:
-        # (?U): word boundaries by Unicode letters, whatever the Java version.
-        out = F.regexp_replace(out, rf"(?U)\b{word}\b", short)
-    return F.replace(out, F.lit("."), F.lit(""))
+    short = F.regexp_replace(tidy(c), _ADDRESS_PATTERN, _ADDRESS_REPLACEMENT)
+    return F.replace(short, F.lit("."), F.lit(""))
 
 
 def is_filled(c: Column) -> Column:

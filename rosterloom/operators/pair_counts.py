@@ -26,8 +26,8 @@ from rosterloom.functions.jaro import jaro
 from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
-from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, link_sizes
-from rosterloom.operators.skew import SLICE
+from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, key_counts
+from rosterloom.operators.skew import SLICE, broadcast_if_small
 from rosterloom.workspace import work_folder
 
 # Any order is right; rare characters first makes the candidate search selective.
@@ -67,7 +67,7 @@ def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bo
         return _count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)
 
     (p_few, p_many), (s_few, s_many) = _apart(link, rows)
-    parts = [_count_pairs(p_few.join(s_few, KEY, "inner"), cfg, fields, eligibility)]
+    parts = [_count_pairs(link.hot.join_pairs(p_few, s_few, KEY), cfg, fields, eligibility)]
     if fields:
         parts.append(_count_by_sizes(p_many, s_many, cfg, fields))
     if eligibility:
@@ -79,22 +79,29 @@ def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bo
 
 
 def _apart(link: Linkage, rows: list[DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
-    """Per side, the linked rows of keys with few pairs and those of keys with many.
+    """Per side, the rows of keys with few pairs and those of keys with many.
 
-    Both sides are written once, since several aggregations read them.
+    The keyed rows and the list of crowded keys are written once, since several
+    aggregations read them.
     """
-    spark = rows[0].sparkSession
+    spark, limits = rows[0].sparkSession, link.cfg.limits
     folder = work_folder(spark, "pairs")
-    crowded = F.col("n_p").cast("double") * F.col("n_s") > link.cfg.limits.pair_limit
-    out = []
+    stored = []
     for side, df in zip(link.cfg.sides, rows):
-        sized = link.hot.join_lookup(df, link_sizes(link), [KEY], "inner").drop(SLICE)
-        marked = sized.withColumn("crowded", crowded).drop("n_p", "n_s")
-        marked.write.partitionBy("crowded").parquet(f"{folder}/{side.short}")
-        stored = spark.read.schema(marked.schema).parquet(f"{folder}/{side.short}")
-        out.append((stored.filter(~F.col("crowded")).drop("crowded"),
-                    stored.filter(F.col("crowded")).drop("crowded")))
-    return out
+        df.write.parquet(f"{folder}/{side.short}")
+        stored.append(spark.read.parquet(f"{folder}/{side.short}"))
+    sizes = key_counts(stored[0], "n_p").join(key_counts(stored[1], "n_s"), KEY, "inner")
+    crowded = sizes.filter(F.col("n_p").cast("double") * F.col("n_s") > limits.pair_limit)
+    crowded.select(KEY).write.parquet(f"{folder}/crowded")
+    listed = spark.read.parquet(f"{folder}/crowded")
+    checked = broadcast_if_small(listed, limits)
+
+    def pick(df: DataFrame, how: str) -> DataFrame:
+        if checked is not listed:
+            return df.join(checked, KEY, how)
+        return link.hot.join_lookup(df, listed, [KEY], how)
+
+    return [(pick(df, "left_anti"), pick(df, "left_semi").drop(SLICE)) for df in stored]
 
 
 def _count_pairs(pairs: DataFrame, cfg: MatchConfig, fields: tuple[str, ...],
@@ -196,7 +203,16 @@ def _rare_characters(text: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda t: t["name"])
 
 
-def _candidates(values: DataFrame, own: str, partner: str, threshold: float) -> DataFrame:
+def _bits(letters: Column, word: int) -> Column:
+    """64 bits of a signature: one bit, by hash, for each numbered character."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(128))
+    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda bits, c: F.when(
+        F.floor(bit(c) / 64) == word,
+        bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit(c) % 64).cast("int")))
+    ).otherwise(bits))
+
+
+def _candidates(values: DataFrame, side: str, partner: str, threshold: float) -> DataFrame:
     """Texts keyed so that any two which can reach the threshold share a key.
 
     Two texts that must share k characters share one among the first (length − k + 1)
@@ -207,31 +223,38 @@ def _candidates(values: DataFrame, own: str, partner: str, threshold: float) ->
     shortest = F.greatest(F.ceil(length * ratio - 1e-9), F.lit(1)).cast("int")
     longest = F.floor(length / ratio + 1e-9).cast("int")
     partners = F.sequence(_length_class(shortest), _length_class(longest))
-    least = F.greatest(_least_length(F.col(partner)), shortest)
+    least = F.greatest(_least_length(F.col(f"{partner}_class")), shortest)
     keep = F.greatest(length - _least_common(length, least, threshold) + 1, F.lit(1))
+    letters = F.col("letters")
     return (values.filter(length > 0)
             .withColumn("letters", _rare_characters(F.col("value")))
-            .withColumn(own, _length_class(length))
-            .withColumn(partner, F.explode(partners))
-            .withColumn("head", F.slice("letters", F.lit(1), keep.cast("int")))
-            .withColumn("shared", F.explode("head")))
+            .withColumns({f"{side}_bits0": _bits(letters, 0), f"{side}_bits1": _bits(letters, 1),
+                          f"{side}_class": _length_class(length)})
+            .withColumn(f"{partner}_class", F.explode(partners))
+            .withColumn(f"{side}_head", F.slice(letters, F.lit(1), keep.cast("int")))
+            .withColumn("shared", F.explode(f"{side}_head"))
+            .withColumnsRenamed({"value": f"{side}_value"}).drop("letters"))
 
 
 def _close_pairs(pv: DataFrame, sv: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Pairs of unequal addresses of one key that reach the threshold, per district."""
     t = cfg.address_threshold
-    mine = pv.filter(F.col("field") == ADDRESS).drop("field")
-    theirs = sv.filter(F.col("field") == ADDRESS).drop("field")
-    a = _candidates(mine, "p_class", "s_class", t).withColumnsRenamed(
-        {"value": "p_value", "letters": "p_letters", "head": "p_head"})
-    b = _candidates(theirs, "s_class", "p_class", t).withColumnsRenamed(
-        {"value": "s_value", "letters": "s_letters", "head": "s_head"})
-    pairs = a.join(b, [KEY, "p_class", "s_class", "shared"])
-
+    on = [KEY, "p_class", "s_class", "shared"]
+    # As many partitions as the session shuffles into, not fewer by size: the work here
+    # is in the comparisons, not in the bytes.
+    partitions = int(pv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for values, side, partner in ((pv, "p", "s"), (sv, "s", "p")):
+        addresses = values.filter(F.col("field") == ADDRESS).drop("field")
+        found.append(_candidates(addresses, side, partner, t).repartition(partitions, *on))
+    pairs = found[0].join(found[1], on)
+
+    # The bits that differ are at most the characters not shared.
+    p_length, s_length = F.length("p_value"), F.length("s_value")
+    apart = sum((F.bit_count(F.col(f"p_bits{w}").bitwiseXOR(F.col(f"s_bits{w}"))) for w in (0, 1)), F.lit(0))
+    alike = apart <= p_length + s_length - 2 * _least_common(p_length, s_length, t)
     # A pair may meet under several shared characters: keep its first meeting only.
     first = F.get(F.array_intersect("p_head", "s_head"), F.lit(0)) == F.col("shared")
-    common = F.size(F.array_intersect("p_letters", "s_letters"))
-    enough = common >= _least_common(F.length("p_value"), F.length("s_value"), t)
-    pairs = pairs.filter((F.col("p_value") != F.col("s_value")) & first & enough)
+    pairs = pairs.filter(alike & (F.col("p_value") != F.col("s_value"))).filter(first)
     close = pairs.filter(jaro(F.col("s_value"), F.col("p_value")) >= t)
     return close.groupBy("AUN").agg(_product().alias("n")).withColumn("field", F.lit(ADDRESS))
