@@ -91,10 +91,11 @@ case_number_pairs AS (SELECT sebt_aun9_3 AS AUN, join_key, primero_pasecureid, s
 """
 
 
-def _eligible(prefix: str) -> str:
+def _eligible(prefix: str, district: str = "sebt_aun9_3", table: str = "match1", named: bool = True) -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE e = '{v}') AS {prefix}_{v}" for v in ("free", "paid", "reduced"))
-    return (f"{prefix}_elig AS (SELECT AUN, {counts} FROM (SELECT sebt_aun9_3 AS AUN, lower({prefix}_eligibility) AS e "
-            f"FROM match1) WHERE e IN ('free', 'reduced', 'paid') GROUP BY AUN)")
+    query = (f"SELECT AUN, {counts} FROM (SELECT {district} AS AUN, lower({prefix}_eligibility) AS e "
+             f"FROM {table}) WHERE e IN ('free', 'reduced', 'paid') GROUP BY AUN")
+    return f"{prefix}_elig AS ({query})" if named else query
 
 
 def _counted(field: str) -> str:
@@ -168,6 +169,8 @@ _TAILS: dict[str, str] = {
     "duplicate_key_rows": "SELECT p_dups.n, sj.* FROM p_dups JOIN sj ON p_dups.join_key = sj.join_key",
     "many_to_many_keys": "SELECT join_key, p_dups.n AS n_p, s_dups.n AS n_s FROM p_dups JOIN s_dups USING (join_key)",
     "head_counts": "SELECT * FROM head",
+    "count_eligibility": "SELECT * FROM (" + _eligible("primero", "primero_aun9_3", "p0", False) + ") FULL JOIN ("
+                         + _eligible("sebt", "sebt_aun9_3", "s2", False) + ") USING (AUN)",
     "eligibility_wide": "SELECT * FROM elig",
     "id_length_flags": _both(
         "primero_aun9_3 AS aun9_3, primero_pasecureid AS pasecureid, " + _LENGTH.format("primero_pasecureid"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import id_length_flag
+from rosterloom.operators.clean import prefix_columns
 from rosterloom.operators.compare import FIELDS, count_name
 from rosterloom.operators.link import Linkage
 from rosterloom.operators.pair_counts import eligibility_columns, pair_counts
@@ -58,6 +59,20 @@ def _id_columns(cfg: MatchConfig) -> list[str]:
             for c in (f"{side.short}{cfg.id_length}digit_pasecureIDs", f"{side.short}_not_pasecure")]
 
 
+def count_eligibility(df: DataFrame, district: str, column: str, prefix: str,
+                      values: tuple[str, ...] = MatchConfig.eligibility_values) -> DataFrame:
+    """Rows per district and countable value, one column per value, named by a prefix.
+
+    Works on any frame. Values are lowered, not trimmed. Every value has its column, seen
+    or not; districts without a countable row do not appear.
+    """
+    elig = F.lower(F.col(column))
+    wide = (df.select(F.col(district).alias("AUN"), elig.alias("elig"))
+            .filter(F.col("elig").isin(*values))
+            .groupBy("AUN").agg(*[F.count_if(F.col("elig") == v).alias(v) for v in values]))
+    return prefix_columns(wide, prefix, keep=("AUN",))
+
+
 def with_eligibility_differences(counts: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Upload − registry per eligibility value.
 

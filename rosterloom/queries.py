@@ -121,6 +121,12 @@ def _id_flags(spark, sf_dir):
         for side, df in rosters})
 
 
+def _eligibility(spark, sf_dir):
+    counts = [summary.count_eligibility(df, side.col(CFG.district), side.col(CFG.eligibility), side.prefix)
+              for side, df in zip(CFG.sides, snapshots(spark, sf_dir))]
+    return counts[0].join(counts[1], "AUN", "full")
+
+
 def _addresses(spark, sf_dir):
     out = {}
     for side, df in zip(CFG.sides, snapshots(spark, sf_dir)):
@@ -168,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_key_rows_crowded": _over_link(duplicate_key_rows, cfg=CROWDED),
     "many_to_many_keys": _over_link(many_to_many_keys),
     "head_counts": _over_batch(summary.head_counts),
+    "count_eligibility": _eligibility,
     "eligibility_wide": _over_link(summary.eligibility_wide),
     "eligibility_wide_crowded": _over_link(summary.eligibility_wide, cfg=CROWDED),
     "id_length_flags": _id_flags,
