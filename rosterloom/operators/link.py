@@ -105,11 +105,29 @@ def linked_pairs(link: Linkage) -> DataFrame:
     This is the one result whose size is the number of pairs. Counts over pairs come
     from `pair_counts`, which does not form the pairs of crowded keys.
     """
-    p = link.registry.withColumnsRenamed({ID_KEY: f"{ID_KEY}_p", NAME_KEY: f"{NAME_KEY}_p"})
-    s = link.upload.withColumnsRenamed({ID_KEY: f"{ID_KEY}_s", NAME_KEY: f"{NAME_KEY}_s"})
+    p, s = (link.rows(side).withColumnsRenamed({k: f"{k}_{suffix}" for k in (ID_KEY, NAME_KEY)})
+            for side, suffix in zip(link.cfg.sides, "ps"))
     return link.hot.join_pairs(p, s, KEY)
 
 
+def linked_distinct_pairs(link: Linkage) -> DataFrame:
+    """The linked pairs of distinct rows, and how many copies of either row there are.
+
+    Says the same as `linked_pairs` in one row per n_p · n_s pairs. Copies are counted
+    before the join, so a large group of them costs one row.
+    """
+    distinct = []
+    for side, n, suffix in zip(link.cfg.sides, ("n_p", "n_s"), "ps"):
+        rows = link.rows(side).drop(SLICE)
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(n))
+        if link.hot.keys:
+            # No copies are left, so the content of a row can give its slice.
+            slices = F.lit(link.cfg.limits.slices)
+            rows = rows.withColumn(SLICE, F.pmod(F.xxhash64(*rows.columns), slices).cast("int"))
+        distinct.append(rows.withColumnsRenamed({k: f"{k}_{suffix}" for k in (ID_KEY, NAME_KEY)}))
+    return link.hot.join_pairs(*distinct, KEY)
+
+
 def unmatched(link: Linkage, side: Side) -> DataFrame:
     """Rows of one side, with all columns, whose key the other side does not have."""
     known = link.other(side).select(KEY).distinct()

@@ -116,6 +116,10 @@ def _key_rows() -> str:
     return _both(names.format("primero"), names.format("sebt")).format(p="pj", s="sj")
 
 
+def _outer_pair_columns() -> str:
+    return ", ".join([*_P, *_S, "p.join_key", *(f"{t}.join_key{i} AS join_key{i}_{t}" for t in "ps" for i in (1, 2))])
+
+
 _LENGTH = "CASE WHEN length({0}) = 10 THEN 'TRUE' ELSE CAST(length({0}) AS VARCHAR) END AS flag"
 
 _SUMMARY = """SELECT AUN,
@@ -149,8 +153,8 @@ _FIELDS = ("school_code", "parent_name", "address", "case_number")
 
 # The queries that also run on rosters with crowded keys.
 CROWDED = (
-    "batch_semi_join", "one_sided_ids", "key_cascade", "linked_pairs", "link_sizes",
-    "unmatched_registry", "unmatched_upload", "duplicate_key_rows", "eligibility_wide",
+    "batch_semi_join", "one_sided_ids", "key_cascade", "linked_pairs",
+    "linked_distinct_pairs", "link_sizes", "unmatched_registry", "unmatched_upload", "duplicate_key_rows", "eligibility_wide",
     *(f"{f}_mismatch" for f in _FIELDS), "district_summary",
 )
 
@@ -161,6 +165,10 @@ _TAILS: dict[str, str] = {
     "one_sided_ids": _ONE_SIDED,
     "key_cascade": _key_rows(),
     "linked_pairs": "SELECT * FROM match1",
+    "linked_distinct_pairs": f"""SELECT {_outer_pair_columns()}, p.n_p, s.n_s
+FROM (SELECT {', '.join(_P)}, join_key1, join_key2, join_key, count(*) AS n_p FROM pj GROUP BY ALL) p
+JOIN (SELECT {', '.join(_S)}, join_key1, join_key2, join_key, count(*) AS n_s FROM sj GROUP BY ALL) s
+ON p.join_key = s.join_key""",
     "link_sizes": "SELECT join_key, n_p, n_s FROM (SELECT join_key, count(*) AS n_p FROM pj GROUP BY 1) "
                   "JOIN (SELECT join_key, count(*) AS n_s FROM sj GROUP BY 1) USING (join_key)",
     "unmatched_registry": "SELECT * FROM pj WHERE join_key NOT IN (SELECT join_key FROM sj)",

@@ -15,8 +15,8 @@ from rosterloom.operators import compare
 from rosterloom.operators.clean import clean_roster, restrict_to_batch
 from rosterloom.operators.exceptions import id_list, one_sided_ids
 from rosterloom.operators.link import (
-    KEY, Linkage, duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, linked_pairs,
-    many_to_many_keys, unmatched,
+    KEY, Linkage, duplicate_key_rows, duplicate_keys, link_rosters, link_sizes,
+    linked_distinct_pairs, linked_pairs, many_to_many_keys, unmatched,
 )
 from rosterloom.plans import summary
 from rosterloom.plans.enrollment import district_count, enrollment_check
@@ -162,6 +162,8 @@ QUERIES: dict[str, Query] = {
     "key_cascade_named_only": _keys(NAMED_ONLY),
     "linked_pairs": _over_link(linked_pairs),
     "linked_pairs_crowded": _over_link(linked_pairs, cfg=CROWDED),
+    "linked_distinct_pairs": _over_link(linked_distinct_pairs),
+    "linked_distinct_pairs_crowded": _over_link(linked_distinct_pairs, cfg=CROWDED),
     "linked_pairs_named_only": _over_link(linked_pairs, cfg=NAMED_ONLY),
     "link_sizes": _over_link(link_sizes),
     "link_sizes_crowded": _over_link(link_sizes, cfg=CROWDED),
