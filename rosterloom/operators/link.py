@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ class Linkage:
     plain: tuple[DataFrame, DataFrame]
     hot: HotKeys
     cfg: MatchConfig
+    tables: tuple[str, ...] = ()
 
     def rows(self, side: Side) -> DataFrame:
         return self.registry if side == self.cfg.registry else self.upload
@@ -41,17 +43,32 @@ class Linkage:
     def stored(self, folder: str) -> "Linkage":
         """Write both keyed rosters as Parquet and go on from there.
 
-        For jobs that draw several results from one linkage: the keys are then worked
-        out once, and a lost executor costs no more than re-reading files. `folder`
-        must be on storage all executors share.
+        For jobs that draw several results from one linkage: the keys are then worked out
+        once, and a lost executor costs no more than re-reading files. The tables are
+        bucketed by the chosen key, so no join or count by key shuffles the rows again;
+        only with hot keys they are not, as a bucket cannot be spread. `folder` must be on
+        storage all executors share. `release` takes the tables out of the catalog.
         """
         spark = self.registry.sparkSession
-        kept = {}
+        kept, tables = {}, []
         for name in ("registry", "upload"):
-            path = f"{folder}/{name}"
-            getattr(self, name).write.mode("error").parquet(path)
-            kept[name] = spark.read.parquet(path)
-        return replace(self, **kept, plain=(kept["registry"], kept["upload"]))
+            df, path = getattr(self, name), f"{folder}/{name}"
+            if self.hot.keys:
+                df.write.parquet(path)
+                kept[name] = spark.read.parquet(path)
+                continue
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            table = f"rosterloom_{name}_{uuid.uuid4().hex}"
+            (df.repartition(buckets, KEY).write.format("parquet").option("path", path)
+             .bucketBy(buckets, KEY).sortBy(KEY).saveAsTable(table))
+            kept[name] = spark.table(table)
+            tables.append(table)
+        return replace(self, **kept, plain=(kept["registry"], kept["upload"]), tables=tuple(tables))
+
+    def release(self) -> None:
+        """Forget stored tables. Their files stay; results not computed yet need them."""
+        for table in self.tables:
+            self.registry.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def add_keys(df: DataFrame, side: Side, cfg: MatchConfig = MatchConfig()) -> DataFrame:

@@ -12,6 +12,7 @@ is run again after an executor loss gives every row the same slice.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,15 @@ class HotKeys:
 
     @staticmethod
     def find(sides: list[tuple[DataFrame, list[str]]], limits: ScaleLimits) -> "HotKeys":
-        """Look for crowded values in the named columns of each side, in one small job.
+        """Look for crowded values in the named columns of each side.
 
-        What reaches the driver is at most 1,000 hashes per column, by construction.
+        Sides too small to have a hot key are only counted. What reaches the driver is at
+        most 1,000 hashes per column, by construction.
         """
-        sketches = None
+        sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df, _ in sides]
+        if max(r.n for r in reduce(DataFrame.unionAll, sizes).collect()) < limits.hot_min_rows:
+            return HotKeys(limits, tuple({} for _ in sides))
+        sketches = []
         for number, (df, columns) in enumerate(sides):
             hashes = df.select(*[F.xxhash64(c).alias(c) for c in columns])
             one = hashes.agg(
@@ -58,9 +63,9 @@ class HotKeys:
                 F.count(F.lit(1)).alias("n"),
                 F.array(*[F.expr(_SKETCH.format(column=c)) for c in columns]).alias("tops"),
             )
-            sketches = one if sketches is None else sketches.unionAll(one)
+            sketches.append(one)
         rows: list[dict[int, int]] = [{} for _ in sides]
-        for found in sketches.collect():
+        for found in reduce(DataFrame.unionAll, sketches).collect():
             least = max(limits.hot_share * found.n, limits.hot_min_rows)
             for item in (item for top in found.tops for item in top):
                 if item["count"] >= least:

@@ -55,5 +55,8 @@ def run_batch(spark: SparkSession, snapshot: str, upload_folder: str, out: str,
     prepare(raw, cfg.upload, cfg).write.parquet(f"{work}/upload-clean")
     upload = spark.read.parquet(f"{work}/upload-clean")
     link = link_rosters(load_snapshot(spark, snapshot), upload, cfg).stored(f"{work}/keyed")
-    return {name: write_batch(result, f"{out.rstrip('/')}/{name}", batch, form)
-            for name, result in batch_results(link).items()}
+    try:
+        return {name: write_batch(result, f"{out.rstrip('/')}/{name}", batch, form)
+                for name, result in batch_results(link).items()}
+    finally:
+        link.release()

@@ -1,14 +1,11 @@
 """The shape of plans: what is read, pushed down, broadcast and joined."""
 
 import re
-from dataclasses import replace
 
 import pytest
-from helpers import TIGHT
-from test_linkage import random_rosters
 
-from rosterloom.config import MatchConfig
 from rosterloom.operators.clean import restrict_to_batch
+from rosterloom.plans.batch import batch_results
 from rosterloom.plans.summary import head_counts
 from rosterloom.queries import CROWDED, QUERIES, linked, snapshots
 
@@ -56,3 +53,12 @@ def test_hot_keys_join_on_slices(large, sf_dir):
     link = linked(large, sf_dir, CROWDED)
     assert link.hot.keys
     assert re.search(r"hashpartitioning\(join_key1#\d+, _at#", plan(link.registry))
+
+
+def test_a_stored_linkage_is_not_shuffled_again(large, sf_dir, tmp_path):
+    kept = linked(large, sf_dir).stored(str(tmp_path / "keyed"))
+    results = batch_results(kept)
+    for name in ("unmatched_registry", "unmatched_upload", "duplicate_keys_registry",
+                 "duplicate_key_rows", "many_to_many_keys", "district_summary"):
+        assert not re.search(r"Exchange hashpartitioning\(join_key", plan(results[name])), name
+    kept.release()
