@@ -21,8 +21,14 @@ def count_name(field: str) -> str:
     return f"{field}_mismatch_count"
 
 
-def comparable(df: DataFrame, side: Side, cfg: MatchConfig, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One roster reduced to what comparisons read, named by the side's short name.
+def value_names(field: str) -> tuple[str, ...]:
+    """The values a field is made of."""
+    return ("parent_first", "parent_last") if field == PARENT else (field,)
+
+
+def comparable(df: DataFrame, side: Side, cfg: MatchConfig, fields: list[str],
+               extra: tuple[str, ...] = ()) -> DataFrame:
+    """One roster reduced to what comparing these fields reads, named by the side's short name.
 
     Texts are normalised here, once per row, and not once per pair.
     """
@@ -43,7 +49,7 @@ def comparable(df: DataFrame, side: Side, cfg: MatchConfig, extra: tuple[str, ..
         kept.append(F.col(SLICE))
     if side == cfg.upload:
         kept.append(at(cfg.district).alias("AUN"))
-    return df.select(*kept, *[v.alias(f"{side.short}_{n}") for n, v in values.items()])
+    return df.select(*kept, *[values[n].alias(f"{side.short}_{n}") for f in fields for n in value_names(f)])
 
 
 def both(field: str, cfg: MatchConfig) -> tuple[Column, Column]:
@@ -92,9 +98,8 @@ def mismatched_pairs(link: Linkage, field: str) -> DataFrame:
     """The linked pairs that differ in one field: both IDs and both values, compared form."""
     cfg = link.cfg
     p_id, s_id = cfg.registry.col(cfg.student_id), cfg.upload.col(cfg.student_id)
-    p = comparable(link.registry, cfg.registry, cfg, (p_id,))
-    s = comparable(link.upload, cfg.upload, cfg, (s_id,))
-    names = ("parent_first", "parent_last") if field == PARENT else (field,)
-    values = [c for n in names for c in both(n, cfg)]
+    p = comparable(link.registry, cfg.registry, cfg, [field], (p_id,))
+    s = comparable(link.upload, cfg.upload, cfg, [field], (s_id,))
+    values = [c for n in value_names(field) for c in both(n, cfg)]
     pairs = link.hot.join_pairs(p, s, KEY).filter(differs(field, cfg))
     return pairs.select("AUN", KEY, p_id, s_id, *values)

@@ -51,7 +51,8 @@ def has_crowded_keys(link: Linkage) -> bool:
     """
     counts = []
     for rows, n_p, n_s in zip(link.plain, (1, 0), (0, 1)):
-        keys = F.explode(F.array(F.xxhash64(ID_KEY), F.xxhash64(NAME_KEY)))
+        by_name = F.when(F.col(NAME_KEY).isNotNull(), F.xxhash64(NAME_KEY))
+        keys = F.explode(F.array_compact(F.array(F.xxhash64(ID_KEY), by_name)))
         counts.append(rows.select(keys.alias("key"), F.lit(n_p).alias("n_p"), F.lit(n_s).alias("n_s")))
     per_key = counts[0].unionAll(counts[1]).groupBy("key").agg(
         F.sum("n_p").cast("double").alias("n_p"), F.sum("n_s").alias("n_s"))
@@ -62,7 +63,8 @@ def has_crowded_keys(link: Linkage) -> bool:
 def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bool = True) -> DataFrame:
     """One row per district with linked pairs, and the requested counts over its pairs."""
     cfg = link.cfg
-    rows = [comparable(link.rows(side), side, cfg) for side in cfg.sides]
+    needed = [*(["elig"] if eligibility else []), *fields]
+    rows = [comparable(link.rows(side), side, cfg, needed) for side in cfg.sides]
     if not has_crowded_keys(link):
         return _count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)
 
