@@ -21,11 +21,7 @@ _CELLS = 1 << 18
 
 
 def _code_points(texts: list[str], width: int) -> np.ndarray:
-    grid = np.zeros((len(texts), width), dtype=np.uint32)
-    for row, text in enumerate(texts):
-        grid[row, : len(text)] = np.frombuffer(
-            text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return grid
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
 
 
 def _matched_first(grid: np.ndarray, matched: np.ndarray, width: int) -> np.ndarray:
@@ -96,14 +92,17 @@ def _jaro_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(jaro_scores(left, right))
 
 
-def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity in [0, 1]: 1 for equal texts, 0 if just one is empty, null if one is null.
+def jaro_where(condition: Column, a: Column, b: Column) -> Column:
+    """Jaro similarity in [0, 1] where the condition holds, else null.
 
-    Only unequal texts go to Python; the UDF sees nulls for all the others.
+    The UDF sees nulls for the other rows, so they cost next to nothing in Python.
     """
-    differ = a != b
-    score = _jaro_udf(F.when(differ, a), F.when(differ, b))
-    return F.when(a == b, F.lit(1.0)).when(differ, score)
+    return _jaro_udf(F.when(condition, a), F.when(condition, b))
+
+
+def jaro(a: Column, b: Column) -> Column:
+    """Jaro similarity: 1 for equal texts, 0 if just one is empty, null if one is null."""
+    return F.when(a == b, F.lit(1.0)).otherwise(jaro_where(a != b, a, b))
 
 
 # Send the code of this module along with the UDF: executors then need numpy and pandas,

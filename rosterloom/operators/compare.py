@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
-from rosterloom.functions.jaro import jaro
+from rosterloom.functions.jaro import jaro, jaro_where
 from rosterloom.functions.text import is_filled, standardize_address, tidy
 from rosterloom.operators.link import KEY, Linkage, linked_pairs
 from rosterloom.operators.skew import SLICE
@@ -57,12 +57,6 @@ def both(field: str, cfg: MatchConfig) -> tuple[Column, Column]:
     return F.col(f"{cfg.registry.short}_{field}"), F.col(f"{cfg.upload.short}_{field}")
 
 
-def address_score(cfg: MatchConfig) -> Column:
-    """Jaro similarity of the standardised addresses; null if either is missing."""
-    p, s = both(ADDRESS, cfg)
-    return jaro(s, p)
-
-
 def lengths_too_far(a: Column, b: Column, threshold: float) -> Column:
     """True where the lengths alone keep the Jaro score under the threshold.
 
@@ -81,8 +75,7 @@ def differs(field: str, cfg: MatchConfig) -> Column:
     p, s = both(field, cfg)
     if field == ADDRESS:
         far = lengths_too_far(p, s, cfg.address_threshold)
-        scored = jaro(F.when(~far, s), F.when(~far, p)) < cfg.address_threshold
-        return far | scored
+        return far | (jaro_where((p != s) & ~far, s, p) < cfg.address_threshold)
     return p != s
 
 

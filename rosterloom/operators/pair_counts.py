@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig
-from rosterloom.functions.jaro import jaro
+from rosterloom.functions.jaro import jaro_where
 from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
@@ -257,6 +257,7 @@ def _close_pairs(pv: DataFrame, sv: DataFrame, cfg: MatchConfig) -> DataFrame:
     alike = apart <= p_length + s_length - 2 * _least_common(p_length, s_length, t)
     # A pair may meet under several shared characters: keep its first meeting only.
     first = F.get(F.array_intersect("p_head", "s_head"), F.lit(0)) == F.col("shared")
-    pairs = pairs.filter(alike & (F.col("p_value") != F.col("s_value"))).filter(first)
-    close = pairs.filter(jaro(F.col("s_value"), F.col("p_value")) >= t)
+    unequal = F.col("p_value") != F.col("s_value")
+    close = pairs.filter(alike & unequal & first).filter(
+        jaro_where(unequal, F.col("s_value"), F.col("p_value")) >= t)
     return close.groupBy("AUN").agg(_product().alias("n")).withColumn("field", F.lit(ADDRESS))
