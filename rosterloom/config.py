@@ -43,23 +43,21 @@ class ScaleLimits:
     listed_districts  up to so many districts of a batch are written into the filter
     broadcast_bytes   a set is broadcast only if its measured size is at most this
     hot_share         a key is hot if it may hold at least this share of a side ...
-    hot_min_rows      ... and at least this many rows
-    slices            number of slices the rows of a hot key are spread over
+    slice_rows        ... and at least this many rows; its rows go to slices of about this size
     pair_limit        keys with more pairs than this are counted without forming pairs
     """
 
     listed_districts: int = 1_000
     broadcast_bytes: int = 8 * 1024 * 1024
     hot_share: float = 0.001
-    hot_min_rows: int = 1_000_000
-    slices: int = 64
+    slice_rows: int = 1_000_000
     pair_limit: int = 10_000
 
     def __post_init__(self):
         if not 0.001 <= self.hot_share <= 1:
             raise ValueError("hot_share must lie between 0.001 and 1")
-        if self.slices < 1 or self.pair_limit < 1 or self.hot_min_rows < 1:
-            raise ValueError("slices, pair_limit and hot_min_rows must be positive")
+        if self.slice_rows < 1 or self.pair_limit < 1:
+            raise ValueError("slice_rows and pair_limit must be positive")
 
 
 @dataclass(frozen=True)

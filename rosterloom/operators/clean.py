@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import is_filled, tidy_key
-from rosterloom.operators.skew import SLICE, HotKeys, broadcast_if_small, with_slice
+from rosterloom.operators.skew import ROW, HotKeys, broadcast_if_small, with_row_numbers
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,6 +51,6 @@ def restrict_to_batch(registry: DataFrame, upload: DataFrame,
     if checked is not batch:
         return registry.join(checked, mine, "left_semi")
     hot = HotKeys.find([(registry, [mine]), (upload, [theirs])], cfg.limits)
-    if SLICE in registry.columns:
+    if ROW in registry.columns:
         return hot.join_lookup(registry, batch, [mine], "left_semi")
-    return hot.join_lookup(with_slice(registry, cfg.limits), batch, [mine], "left_semi").drop(SLICE)
+    return hot.join_lookup(with_row_numbers(registry), batch, [mine], "left_semi").drop(ROW)

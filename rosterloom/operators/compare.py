@@ -11,7 +11,7 @@ from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.jaro import jaro, jaro_where
 from rosterloom.functions.text import is_filled, standardize_address, tidy
 from rosterloom.operators.link import KEY, Linkage, linked_pairs
-from rosterloom.operators.skew import SLICE
+from rosterloom.operators.skew import ROW
 
 SCHOOL, PARENT, ADDRESS, CASE = "school_code", "parent_name", "address", "case_number"
 FIELDS = (SCHOOL, PARENT, ADDRESS, CASE)
@@ -45,8 +45,8 @@ def comparable(df: DataFrame, side: Side, cfg: MatchConfig, fields: list[str],
         ADDRESS: address,
     }
     kept = [F.col(c) for c in (KEY, *extra)]
-    if SLICE in df.columns:
-        kept.append(F.col(SLICE))
+    if ROW in df.columns:
+        kept.append(F.col(ROW))
     if side == cfg.upload:
         kept.append(at(cfg.district).alias("AUN"))
     return df.select(*kept, *[values[n].alias(f"{side.short}_{n}") for f in fields for n in value_names(f)])

@@ -11,7 +11,7 @@ from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import text_key
 from rosterloom.operators.clean import keep_identified
 from rosterloom.operators.link import Linkage
-from rosterloom.operators.skew import SLICE
+from rosterloom.operators.skew import ROW
 
 ID = ["AUN", "PAsecureID"]
 
@@ -34,9 +34,8 @@ def one_sided_ids(link: Linkage) -> DataFrame:
     lists = {side: id_list(link.plain_rows(side), side, cfg) for side in cfg.sides}
     out = []
     for side, other in (cfg.sides, cfg.sides[::-1]):
-        # The listed rows are distinct, so their own content spreads a crowded ID.
-        slice_of = F.pmod(F.xxhash64("FirstName", "LastName"), F.lit(cfg.limits.slices)).cast("int")
-        rows = lists[side].withColumn(SLICE, slice_of) if link.hot.keys else lists[side]
+        # The listed rows are distinct, so their content can number them.
+        rows = lists[side].withColumn(ROW, F.xxhash64("FirstName", "LastName")) if link.hot else lists[side]
         alone = link.hot.join_lookup(rows, lists[other].select(*ID).distinct(), ID, "left_anti", key)
-        out.append(alone.drop(SLICE).withColumn("Source", F.lit(side.label)))
+        out.append(alone.drop(ROW).withColumn("Source", F.lit(side.label)))
     return reduce(DataFrame.unionByName, out)

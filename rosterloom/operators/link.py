@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import text_key
 from rosterloom.operators.clean import restrict_to_batch
-from rosterloom.operators.skew import SLICE, HotKeys, with_slice
+from rosterloom.operators.skew import ROW, HotKeys, with_row_numbers
 
 ID_KEY, NAME_KEY, KEY = "join_key1", "join_key2", "join_key"
 
@@ -53,7 +53,7 @@ class Linkage:
         kept, tables = {}, []
         for name in ("registry", "upload"):
             df, path = getattr(self, name), f"{folder}/{name}"
-            if self.hot.keys:
+            if self.hot:
                 df.write.parquet(path)
                 kept[name] = spark.read.parquet(path)
                 continue
@@ -96,12 +96,12 @@ def choose_key(rows: DataFrame, other: DataFrame, hot: HotKeys) -> DataFrame:
 def link_rosters(registry: DataFrame, upload: DataFrame,
                  cfg: MatchConfig = MatchConfig()) -> Linkage:
     """Restrict the clean registry roster to the batch, then choose a key for every row."""
-    registry = restrict_to_batch(with_slice(registry, cfg.limits), upload, cfg)
+    registry = restrict_to_batch(with_row_numbers(registry), upload, cfg)
     registry = add_keys(registry, cfg.registry, cfg)
-    upload = add_keys(with_slice(upload, cfg.limits), cfg.upload, cfg)
+    upload = add_keys(with_row_numbers(upload), cfg.upload, cfg)
     hot = HotKeys.find([(registry, [ID_KEY, NAME_KEY]), (upload, [ID_KEY, NAME_KEY])], cfg.limits)
-    if not hot.keys:
-        registry, upload = registry.drop(SLICE), upload.drop(SLICE)
+    if not hot:
+        registry, upload = registry.drop(ROW), upload.drop(ROW)
     return Linkage(choose_key(registry, upload, hot), choose_key(upload, registry, hot),
                    (registry, upload), hot, cfg)
 
@@ -135,12 +135,11 @@ def linked_distinct_pairs(link: Linkage) -> DataFrame:
     """
     distinct = []
     for side, n, suffix in zip(link.cfg.sides, ("n_p", "n_s"), "ps"):
-        rows = link.rows(side).drop(SLICE)
+        rows = link.rows(side).drop(ROW)
         rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(n))
-        if link.hot.keys:
-            # No copies are left, so the content of a row can give its slice.
-            slices = F.lit(link.cfg.limits.slices)
-            rows = rows.withColumn(SLICE, F.pmod(F.xxhash64(*rows.columns), slices).cast("int"))
+        if link.hot:
+            # No copies are left, so the content of a row can number it.
+            rows = rows.withColumn(ROW, F.xxhash64(*rows.columns))
         distinct.append(rows.withColumnsRenamed({k: f"{k}_{suffix}" for k in (ID_KEY, NAME_KEY)}))
     return link.hot.join_pairs(*distinct, KEY)
 
@@ -148,7 +147,7 @@ def linked_distinct_pairs(link: Linkage) -> DataFrame:
 def unmatched(link: Linkage, side: Side) -> DataFrame:
     """Rows of one side, with all columns, whose key the other side does not have."""
     known = link.other(side).select(KEY).distinct()
-    return link.hot.join_lookup(link.rows(side), known, [KEY], "left_anti").drop(SLICE)
+    return link.hot.join_lookup(link.rows(side), known, [KEY], "left_anti").drop(ROW)
 
 
 def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
@@ -159,7 +158,7 @@ def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
 def duplicate_key_rows(link: Linkage) -> DataFrame:
     """Upload rows linked to a key that is duplicated in the registry, one-to-many included."""
     dups = duplicate_keys(link, link.cfg.registry)
-    return link.hot.join_lookup(link.upload, dups, [KEY], "inner").drop(SLICE)
+    return link.hot.join_lookup(link.upload, dups, [KEY], "inner").drop(ROW)
 
 
 def many_to_many_keys(link: Linkage) -> DataFrame:

@@ -27,7 +27,7 @@ from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
 from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, key_counts
-from rosterloom.operators.skew import SLICE, broadcast_if_small
+from rosterloom.operators.skew import ROW, broadcast_if_small
 from rosterloom.workspace import work_folder
 
 # Any order is right; rare characters first makes the candidate search selective.
@@ -103,7 +103,7 @@ def _apart(link: Linkage, rows: list[DataFrame]) -> list[tuple[DataFrame, DataFr
             return df.join(checked, KEY, how)
         return link.hot.join_lookup(df, listed, [KEY], how)
 
-    return [(pick(df, "left_anti"), pick(df, "left_semi").drop(SLICE)) for df in stored]
+    return [(pick(df, "left_anti"), pick(df, "left_semi").drop(ROW)) for df in stored]
 
 
 def _count_pairs(pairs: DataFrame, cfg: MatchConfig, fields: tuple[str, ...],

@@ -2,11 +2,13 @@
 
 Two tools. `broadcast_if_small` broadcasts a set only after measuring it. `HotKeys` finds
 the few keys that may hold a large share of a side (with a frequent-items sketch, one
-pass, no shuffle of the rows) and spreads the rows of just these keys over slices. Keys
-are known by hash here: a collision merely spreads one key more.
+pass, no shuffle of the rows) and spreads the rows of just these keys over slices, the
+more rows the more slices. Keys are known by hash here: a collision merely spreads one
+key more.
 
-The slice of a row is taken where the roster is read, before any shuffle, so a task that
-is run again after an executor loss gives every row the same slice.
+The slice of a row comes from its number, given where the roster is read, before any
+shuffle, so a task that is run again after an executor loss puts every row in the same
+slice.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import ScaleLimits
 
-SLICE = "_slice"
+ROW = "_row"
 
 # The sketch keeps 10,000 candidates; its error is then well below the smallest
 # hot_share allowed (0.001), and at most 1,000 keys can have that share.
@@ -33,9 +35,9 @@ def broadcast_if_small(df: DataFrame, limits: ScaleLimits) -> DataFrame:
     return F.broadcast(df) if size <= limits.broadcast_bytes else df
 
 
-def with_slice(df: DataFrame, limits: ScaleLimits) -> DataFrame:
-    """Number the rows of a freshly read roster into slices."""
-    return df.withColumn(SLICE, F.pmod(F.monotonically_increasing_id(), F.lit(limits.slices)).cast("int"))
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """Number the rows of a freshly read roster."""
+    return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ class HotKeys:
         most 1,000 hashes per column, by construction.
         """
         sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df, _ in sides]
-        if max(r.n for r in reduce(DataFrame.unionAll, sizes).collect()) < limits.hot_min_rows:
+        if max(r.n for r in reduce(DataFrame.unionAll, sizes).collect()) < limits.slice_rows:
             return HotKeys(limits, tuple({} for _ in sides))
         sketches = []
         for number, (df, columns) in enumerate(sides):
@@ -66,50 +68,59 @@ class HotKeys:
             sketches.append(one)
         rows: list[dict[int, int]] = [{} for _ in sides]
         for found in reduce(DataFrame.unionAll, sketches).collect():
-            least = max(limits.hot_share * found.n, limits.hot_min_rows)
+            least = max(limits.hot_share * found.n, limits.slice_rows)
             for item in (item for top in found.tops for item in top):
                 if item["count"] >= least:
                     known = rows[found.side]
                     known[item["item"]] = known.get(item["item"], 0) + item["count"]
         return HotKeys(limits, tuple(rows))
 
-    @property
-    def keys(self) -> list[int]:
-        return sorted(set().union(*self.rows))
+    def __bool__(self) -> bool:
+        return any(self.rows)
 
-    def heavier_on(self, side: int) -> list[int]:
-        """Hot keys with more rows on this side than on the other; ties go to the first side."""
-        mine, other = self.rows[side], self.rows[1 - side]
-        return [k for k in self.keys if (mine.get(k, 0), -side) > (other.get(k, 0), side - 1)]
+    def _slices(self, key: Column, rows: dict[int, int]) -> Column:
+        """Number of slices of a key: a power of two, 1 for keys that are not hot."""
+        levels: dict[int, list[int]] = {}
+        for known, n in rows.items():
+            wanted = -(-n // self.limits.slice_rows)
+            levels.setdefault(max(2, 1 << (wanted - 1).bit_length()), []).append(known)
+        out = F.lit(1)
+        for slices, known in sorted(levels.items()):
+            out = F.when(F.xxhash64(key).isin(known), F.lit(slices)).otherwise(out)
+        return out
 
-    def _slice_of(self, key: Column, hot: list[int]) -> Column:
-        return F.when(F.xxhash64(key).isin(hot), F.col(SLICE)).otherwise(F.lit(0))
+    def _own_slice(self, key: Column, rows: dict[int, int]) -> Column:
+        return F.pmod(F.col(ROW), self._slices(key, rows)).cast("int")
 
-    def _all_slices(self, key: Column, hot: list[int]) -> Column:
-        every = F.sequence(F.lit(0), F.lit(self.limits.slices - 1))
-        return F.when(F.xxhash64(key).isin(hot), every).otherwise(F.array(F.lit(0)))
+    def _every_slice(self, key: Column, rows: dict[int, int]) -> Column:
+        return F.explode(F.sequence(F.lit(0), self._slices(key, rows) - 1))
 
     def join_lookup(self, rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
                     key: Column | None = None) -> DataFrame:
         """Join rows to a lookup that has at most one row per key.
 
-        `key` is the text by which hot keys are known; by default the only join column.
+        The lookup row of a hot key is repeated for every slice. `key` is the text by which
+        hot keys are known; by default the only join column.
         """
-        if not self.keys:
+        if not self:
             return rows.join(lookup, on, how)
         key = F.col(on[0]) if key is None else key
-        spread = rows.withColumn("_at", self._slice_of(key, self.keys))
-        copies = lookup.withColumn("_at", F.explode(self._all_slices(key, self.keys)))
+        most = {k: max(side.get(k, 0) for side in self.rows) for k in set().union(*self.rows)}
+        spread = rows.withColumn("_at", self._own_slice(key, most))
+        copies = lookup.withColumn("_at", self._every_slice(key, most))
         return spread.join(copies, [*on, "_at"], how).drop("_at")
 
     def join_pairs(self, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-        """Many-to-many inner join. A hot key is sliced on its heavier side."""
-        if not self.keys:
+        """Many-to-many inner join.
+
+        Each side of a hot key is sliced by its own size and repeated for the slices of the
+        other: every pair of slices meets in one place, and no task sees a whole side.
+        """
+        if not self:
             return left.join(right, on, "inner")
-        key = F.col(on)
-        by_left, by_right = self.heavier_on(0), self.heavier_on(1)
-        left = (left.withColumn("_left_at", self._slice_of(key, by_left))
-                .withColumn("_right_at", F.explode(self._all_slices(key, by_right))).drop(SLICE))
-        right = (right.withColumn("_right_at", self._slice_of(key, by_right))
-                 .withColumn("_left_at", F.explode(self._all_slices(key, by_left))).drop(SLICE))
-        return left.join(right, [on, "_left_at", "_right_at"], "inner").drop("_left_at", "_right_at")
+        key, (on_left, on_right) = F.col(on), self.rows
+        left = (left.withColumn("_left", self._own_slice(key, on_left))
+                .withColumn("_right", self._every_slice(key, on_right)).drop(ROW))
+        right = (right.withColumn("_right", self._own_slice(key, on_right))
+                 .withColumn("_left", self._every_slice(key, on_left)).drop(ROW))
+        return left.join(right, [on, "_left", "_right"], "inner").drop("_left", "_right")

@@ -175,12 +175,12 @@ def test_empty_rosters(spark):
         assert [(r.AUN, r.p_total, r.s_total) for r in district_summary(found).collect()] == [("1", 0, 1)]
 
 
-@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(hot_min_rows=3, hot_share=0.01)])
+@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(slice_rows=8, hot_share=0.01)])
 def test_stored_linkage(spark, tmp_path, limits):
     registry, upload = random_rosters(4)
     found = link(spark, registry, upload, replace(CFG, limits=limits))
     kept = found.stored(str(tmp_path / "keyed"))
-    assert bool(kept.tables) != bool(found.hot.keys)
+    assert bool(kept.tables) != bool(found.hot)
     assert district_summary(found).collect() == district_summary(kept).collect()
     kept.release()
     assert not [t for t in spark.catalog.listTables() if t.name in kept.tables]

@@ -152,14 +152,14 @@ def random_rosters(seed, n=120):
 def test_slicing_changes_nothing(spark, seed):
     registry, upload = random_rosters(seed)
     usual, sliced = (link(spark, registry, upload, cfg) for cfg in (CFG, TIGHT_CFG))
-    assert not usual.hot.keys and sliced.hot.keys
+    assert not usual.hot and sliced.hot
 
     def rows(df):
         return Counter(tuple(r) for r in df.select(*sorted(df.columns)).collect())
 
     for result in (linked_pairs, one_sided_ids, duplicate_key_rows, link_sizes,
                    lambda x: unmatched(x, CFG.registry), lambda x: unmatched(x, CFG.upload),
-                   lambda x: x.rows(CFG.upload).drop("_slice")):
+                   lambda x: x.rows(CFG.upload).drop("_row")):
         assert rows(result(usual)) == rows(result(sliced))
     p = usual.registry.count()
     matched = usual.registry.join(usual.upload.select("join_key").distinct(), "join_key", "left_semi").count()
@@ -169,14 +169,20 @@ def test_slicing_changes_nothing(spark, seed):
 def test_hot_keys_are_spread(spark):
     registry, upload = random_rosters(5, 300)
     found = link(spark, registry, upload, TIGHT_CFG)
-    spread = found.hot._slice_of(F.col("join_key"), found.hot.keys)
-    rows = found.registry.filter(F.col("join_key") == "1_placeholder").select(spread.alias("at"))
-    assert {r.at for r in rows.collect()} == {0, 1, 2}
-
-
-def test_orientation_of_hot_keys():
-    hot = HotKeys(ScaleLimits(), ({1: 10, 2: 5, 4: 7}, {1: 3, 3: 9, 4: 7}))
-    assert hot.heavier_on(0) == [1, 2, 4] and hot.heavier_on(1) == [3]
+    spread = found.hot._own_slice(F.col("join_key"), found.hot.rows[0])
+    rows = found.registry.withColumn("at", spread).groupBy("join_key").agg(
+        F.count("*").alias("n"), F.count_distinct("at").alias("slices")).collect()
+    crowd = next(r for r in rows if r.join_key == "1_placeholder")
+    assert crowd.n > 90 and crowd.slices == 16  # 12 slices of 8 rows or so, to a power of two
+
+
+def test_slices_grow_with_the_rows(spark):
+    hot = HotKeys(ScaleLimits(slice_rows=10), ({}, {}))
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    hashes = [r[0] for r in df.select(F.xxhash64("k")).collect()]
+    slices = hot._slices(F.col("k"), {hashes[0]: 10, hashes[1]: 41})
+    assert [r[0] for r in df.select(slices).collect()] == [2, 8, 1, 1]
+    assert not hot and HotKeys(ScaleLimits(), ({}, {5: 1}))
 
 
 def test_broadcast_only_after_measuring(spark):
