@@ -60,10 +60,17 @@ class ScaleLimits:
             raise ValueError("slice_rows and pair_limit must be positive")
 
 
+# Prefix, label and count prefix of both sides, as results spell them.
+REGISTRY_SIDE = Side("primero", "Primero", "p")
+UPLOAD_SIDE = Side("sebt", "SEBT", "s")
+
+
 @dataclass(frozen=True)
 class MatchConfig:
-    registry: Side = Side("primero", "Primero", "p")
-    upload: Side = Side("sebt", "SEBT", "s")
+    """What is matched and how. The defaults give the results their usual names."""
+
+    registry: Side = REGISTRY_SIDE
+    upload: Side = UPLOAD_SIDE
     key_columns: tuple[str, ...] = KEY_COLUMNS
     district: str = "aun9_3"
     student_id: str = "pasecureid"
@@ -89,6 +96,8 @@ class MatchConfig:
         # the exact candidate search for crowded keys relies on.
         if not 2 / 3 < self.address_threshold <= 1:
             raise ValueError("address_threshold must lie above 2/3 and at most 1")
+        if not self.key_separator:
+            raise ValueError("key_separator must not be empty")
 
     @property
     def sides(self) -> tuple[Side, Side]:

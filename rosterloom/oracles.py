@@ -32,35 +32,35 @@ def _keys(prefix: str, named_only: bool) -> str:
 
 def _common(named_only: bool = False, crowded: bool = False) -> str:
     return f"""WITH {roster_ctes(crowded)},
-p0 AS (SELECT * FROM (SELECT {_cleaned(_P, 'primero')} FROM registry_raw)
+registry_clean AS (SELECT * FROM (SELECT {_cleaned(_P, 'primero')} FROM registry_raw)
        WHERE primero_aun9_3 <> '' AND primero_pasecureid <> ''),
-s2 AS (SELECT * FROM (SELECT {_cleaned(_S, 'sebt')} FROM upload_raw)
+upload_rows AS (SELECT * FROM (SELECT {_cleaned(_S, 'sebt')} FROM upload_raw)
        WHERE sebt_aun9_3 <> '' AND sebt_pasecureid <> ''),
-p2 AS (SELECT * FROM p0 WHERE primero_aun9_3 IN (SELECT sebt_aun9_3 FROM s2)),
-p_ids AS (SELECT DISTINCT primero_aun9_3 AS AUN, primero_pasecureid AS PAsecureID,
-          primero_student_first_name AS FirstName, primero_student_last_name AS LastName FROM p2),
-s_ids AS (SELECT DISTINCT sebt_aun9_3 AS AUN, sebt_pasecureid AS PAsecureID,
-          sebt_student_first_name AS FirstName, sebt_student_last_name AS LastName FROM s2),
-pk AS (SELECT *, {_keys('primero', named_only)} FROM p2),
-sk AS (SELECT *, {_keys('sebt', named_only)} FROM s2),
-pj AS (SELECT *, CASE WHEN join_key1 IN (SELECT join_key1 FROM sk) THEN join_key1 ELSE join_key2 END AS join_key FROM pk),
-sj AS (SELECT *, CASE WHEN join_key1 IN (SELECT join_key1 FROM pk) THEN join_key1 ELSE join_key2 END AS join_key FROM sk),
-p_dups AS (SELECT join_key, count(*) AS n FROM pj WHERE join_key IS NOT NULL GROUP BY join_key HAVING count(*) > 1),
-s_dups AS (SELECT join_key, count(*) AS n FROM sj WHERE join_key IS NOT NULL GROUP BY join_key HAVING count(*) > 1),
-match1 AS (SELECT pj.* EXCLUDE (join_key1, join_key2), sj.* EXCLUDE (join_key1, join_key2, join_key),
-           pj.join_key1 AS join_key1_p, pj.join_key2 AS join_key2_p,
-           sj.join_key1 AS join_key1_s, sj.join_key2 AS join_key2_s
-           FROM pj JOIN sj ON pj.join_key = sj.join_key),
+registry_rows AS (SELECT * FROM registry_clean WHERE primero_aun9_3 IN (SELECT sebt_aun9_3 FROM upload_rows)),
+registry_ids AS (SELECT DISTINCT primero_aun9_3 AS AUN, primero_pasecureid AS PAsecureID,
+          primero_student_first_name AS FirstName, primero_student_last_name AS LastName FROM registry_rows),
+upload_ids AS (SELECT DISTINCT sebt_aun9_3 AS AUN, sebt_pasecureid AS PAsecureID,
+          sebt_student_first_name AS FirstName, sebt_student_last_name AS LastName FROM upload_rows),
+registry_keys AS (SELECT *, {_keys('primero', named_only)} FROM registry_rows),
+upload_keys AS (SELECT *, {_keys('sebt', named_only)} FROM upload_rows),
+registry_keyed AS (SELECT *, CASE WHEN join_key1 IN (SELECT join_key1 FROM upload_keys) THEN join_key1 ELSE join_key2 END AS join_key FROM registry_keys),
+upload_keyed AS (SELECT *, CASE WHEN join_key1 IN (SELECT join_key1 FROM registry_keys) THEN join_key1 ELSE join_key2 END AS join_key FROM upload_keys),
+registry_dups AS (SELECT join_key, count(*) AS n FROM registry_keyed WHERE join_key IS NOT NULL GROUP BY join_key HAVING count(*) > 1),
+upload_dups AS (SELECT join_key, count(*) AS n FROM upload_keyed WHERE join_key IS NOT NULL GROUP BY join_key HAVING count(*) > 1),
+pairs AS (SELECT registry_keyed.* EXCLUDE (join_key1, join_key2), upload_keyed.* EXCLUDE (join_key1, join_key2, join_key),
+           registry_keyed.join_key1 AS join_key1_p, registry_keyed.join_key2 AS join_key2_p,
+           upload_keyed.join_key1 AS join_key1_s, upload_keyed.join_key2 AS join_key2_s
+           FROM registry_keyed JOIN upload_keyed ON registry_keyed.join_key = upload_keyed.join_key),
 standard AS (SELECT *,
              CASE WHEN primero_student_address1 <> '' THEN {_standard('primero_student_address1')} END AS p_address,
              CASE WHEN sebt_student_address1 <> '' THEN {_standard('sebt_student_address1')} END AS s_address
-             FROM match1),
+             FROM pairs),
 scored AS (SELECT *, CASE WHEN p_address = s_address THEN 1.0::DOUBLE
            ELSE jaro_similarity(s_address, p_address) END AS addr_similarity FROM standard),
 head AS (SELECT coalesce(p.AUN, s.AUN) AS AUN, coalesce(p_total, 0) AS p_total, coalesce(s_total, 0) AS s_total,
          coalesce(p_total, 0) - coalesce(s_total, 0) AS difference
-         FROM (SELECT primero_aun9_3 AS AUN, count(*) AS p_total FROM p2 GROUP BY 1) p
-         FULL JOIN (SELECT sebt_aun9_3 AS AUN, count(*) AS s_total FROM s2 GROUP BY 1) s ON p.AUN = s.AUN),
+         FROM (SELECT primero_aun9_3 AS AUN, count(*) AS p_total FROM registry_rows GROUP BY 1) p
+         FULL JOIN (SELECT sebt_aun9_3 AS AUN, count(*) AS s_total FROM upload_rows GROUP BY 1) s ON p.AUN = s.AUN),
 {_eligible('sebt')},
 {_eligible('primero')},
 elig AS (SELECT coalesce(s.AUN, p.AUN) AS AUN, sebt_free, sebt_paid, sebt_reduced,
@@ -68,17 +68,17 @@ elig AS (SELECT coalesce(s.AUN, p.AUN) AS AUN, sebt_free, sebt_paid, sebt_reduce
          sebt_free - primero_free AS diff_free, sebt_paid - primero_paid AS diff_paid,
          sebt_reduced - primero_reduced AS diff_reduced
          FROM sebt_elig s FULL JOIN primero_elig p ON s.AUN = p.AUN),
-p_len AS (SELECT primero_aun9_3 AS AUN, count(*) FILTER (WHERE length(primero_pasecureid) = 10) AS "p10digit_pasecureIDs",
-          count(*) FILTER (WHERE length(primero_pasecureid) <> 10) AS p_not_pasecure FROM p2 GROUP BY 1),
-s_len AS (SELECT sebt_aun9_3 AS AUN, count(*) FILTER (WHERE length(sebt_pasecureid) = 10) AS "s10digit_pasecureIDs",
-          count(*) FILTER (WHERE length(sebt_pasecureid) <> 10) AS s_not_pasecure FROM s2 GROUP BY 1),
+registry_lengths AS (SELECT primero_aun9_3 AS AUN, count(*) FILTER (WHERE length(primero_pasecureid) = 10) AS "p10digit_pasecureIDs",
+          count(*) FILTER (WHERE length(primero_pasecureid) <> 10) AS p_not_pasecure FROM registry_rows GROUP BY 1),
+upload_lengths AS (SELECT sebt_aun9_3 AS AUN, count(*) FILTER (WHERE length(sebt_pasecureid) = 10) AS "s10digit_pasecureIDs",
+          count(*) FILTER (WHERE length(sebt_pasecureid) <> 10) AS s_not_pasecure FROM upload_rows GROUP BY 1),
 school_code_pairs AS (SELECT sebt_aun9_3 AS AUN, join_key, primero_pasecureid, sebt_pasecureid,
     primero_school_code4 AS p_school_code, sebt_school_code4 AS s_school_code
-    FROM match1 WHERE sebt_school_code4 <> primero_school_code4),
+    FROM pairs WHERE sebt_school_code4 <> primero_school_code4),
 parent_name_pairs AS (SELECT sebt_aun9_3 AS AUN, join_key, primero_pasecureid, sebt_pasecureid,
     primero_parent_first_name AS p_parent_first, sebt_parent_first_name AS s_parent_first,
     primero_parent_last_name AS p_parent_last, sebt_parent_last_name AS s_parent_last
-    FROM match1 WHERE sebt_parent_first_name IS NOT NULL AND primero_parent_first_name IS NOT NULL
+    FROM pairs WHERE sebt_parent_first_name IS NOT NULL AND primero_parent_first_name IS NOT NULL
     AND sebt_parent_last_name IS NOT NULL AND primero_parent_last_name IS NOT NULL
     AND (lower(trim(sebt_parent_first_name)) <> lower(trim(primero_parent_first_name))
       OR lower(trim(sebt_parent_last_name)) <> lower(trim(primero_parent_last_name)))),
@@ -86,12 +86,12 @@ address_pairs AS (SELECT sebt_aun9_3 AS AUN, join_key, primero_pasecureid, sebt_
     p_address, s_address FROM scored WHERE addr_similarity < 0.9),
 case_number_pairs AS (SELECT sebt_aun9_3 AS AUN, join_key, primero_pasecureid, sebt_pasecureid,
     primero_case_number AS p_case_number, sebt_case_number AS s_case_number
-    FROM match1 WHERE sebt_case_number <> primero_case_number),
+    FROM pairs WHERE sebt_case_number <> primero_case_number),
 {_counted('school_code')}, {_counted('parent_name')}, {_counted('address')}, {_counted('case_number')}
 """
 
 
-def _eligible(prefix: str, district: str = "sebt_aun9_3", table: str = "match1", named: bool = True) -> str:
+def _eligible(prefix: str, district: str = "sebt_aun9_3", table: str = "pairs", named: bool = True) -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE e = '{v}') AS {prefix}_{v}" for v in ("free", "paid", "reduced"))
     query = (f"SELECT AUN, {counts} FROM (SELECT {district} AS AUN, lower({prefix}_eligibility) AS e "
              f"FROM {table}) WHERE e IN ('free', 'reduced', 'paid') GROUP BY AUN")
@@ -113,7 +113,7 @@ def _bare(columns: list[str], prefix: str) -> str:
 
 def _key_rows() -> str:
     names = "{0}_aun9_3 AS aun9_3, {0}_pasecureid AS pasecureid, join_key1, join_key2, join_key"
-    return _both(names.format("primero"), names.format("sebt")).format(p="pj", s="sj")
+    return _both(names.format("primero"), names.format("sebt")).format(p="registry_keyed", s="upload_keyed")
 
 
 def _outer_pair_columns() -> str:
@@ -134,20 +134,20 @@ coalesce(school_code_mismatch_count, 0) AS school_code_mismatch_count,
 coalesce(parent_name_mismatch_count, 0) AS parent_name_mismatch_count,
 coalesce(address_mismatch_count, 0) AS address_mismatch_count,
 coalesce(case_number_mismatch_count, 0) AS case_number_mismatch_count
-FROM head FULL JOIN elig USING (AUN) FULL JOIN p_len USING (AUN) FULL JOIN s_len USING (AUN)
+FROM head FULL JOIN elig USING (AUN) FULL JOIN registry_lengths USING (AUN) FULL JOIN upload_lengths USING (AUN)
 FULL JOIN school_code_counts USING (AUN) FULL JOIN parent_name_counts USING (AUN)
 FULL JOIN address_counts USING (AUN) FULL JOIN case_number_counts USING (AUN)
 ORDER BY AUN NULLS LAST"""
 
-_ONE_SIDED = """SELECT *, 'Primero' AS Source FROM p_ids p WHERE NOT EXISTS
-(SELECT 1 FROM s_ids s WHERE s.AUN = p.AUN AND s.PAsecureID = p.PAsecureID)
-UNION ALL SELECT *, 'SEBT' AS Source FROM s_ids s WHERE NOT EXISTS
-(SELECT 1 FROM p_ids p WHERE s.AUN = p.AUN AND s.PAsecureID = p.PAsecureID)"""
+_ONE_SIDED = """SELECT *, 'Primero' AS Source FROM registry_ids p WHERE NOT EXISTS
+(SELECT 1 FROM upload_ids s WHERE s.AUN = p.AUN AND s.PAsecureID = p.PAsecureID)
+UNION ALL SELECT *, 'SEBT' AS Source FROM upload_ids s WHERE NOT EXISTS
+(SELECT 1 FROM registry_ids p WHERE s.AUN = p.AUN AND s.PAsecureID = p.PAsecureID)"""
 
 # The distinct lists of both whole snapshots, before the registry is cut to the batch.
 _ID_LISTS = ("SELECT DISTINCT primero_aun9_3 AS AUN, primero_pasecureid AS PAsecureID, "
              "primero_student_first_name AS FirstName, primero_student_last_name AS LastName, "
-             "'Primero' AS Source FROM p0 UNION ALL SELECT *, 'SEBT' AS Source FROM s_ids")
+             "'Primero' AS Source FROM registry_clean UNION ALL SELECT *, 'SEBT' AS Source FROM upload_ids")
 
 _FIELDS = ("school_code", "parent_name", "address", "case_number")
 
@@ -159,37 +159,37 @@ CROWDED = (
 )
 
 _TAILS: dict[str, str] = {
-    "clean_rosters": _both(_bare(_P, "primero"), _bare(_S, "sebt")).format(p="p0", s="s2"),
-    "batch_semi_join": "SELECT * FROM p2",
+    "clean_rosters": _both(_bare(_P, "primero"), _bare(_S, "sebt")).format(p="registry_clean", s="upload_rows"),
+    "batch_semi_join": "SELECT * FROM registry_rows",
     "id_lists": _ID_LISTS,
     "one_sided_ids": _ONE_SIDED,
     "key_cascade": _key_rows(),
-    "linked_pairs": "SELECT * FROM match1",
+    "linked_pairs": "SELECT * FROM pairs",
     "linked_distinct_pairs": f"""SELECT {_outer_pair_columns()}, p.n_p, s.n_s
-FROM (SELECT {', '.join(_P)}, join_key1, join_key2, join_key, count(*) AS n_p FROM pj GROUP BY ALL) p
-JOIN (SELECT {', '.join(_S)}, join_key1, join_key2, join_key, count(*) AS n_s FROM sj GROUP BY ALL) s
+FROM (SELECT {', '.join(_P)}, join_key1, join_key2, join_key, count(*) AS n_p FROM registry_keyed GROUP BY ALL) p
+JOIN (SELECT {', '.join(_S)}, join_key1, join_key2, join_key, count(*) AS n_s FROM upload_keyed GROUP BY ALL) s
 ON p.join_key = s.join_key""",
-    "link_sizes": "SELECT join_key, n_p, n_s FROM (SELECT join_key, count(*) AS n_p FROM pj GROUP BY 1) "
-                  "JOIN (SELECT join_key, count(*) AS n_s FROM sj GROUP BY 1) USING (join_key)",
-    "unmatched_registry": "SELECT * FROM pj WHERE join_key NOT IN (SELECT join_key FROM sj)",
-    "unmatched_upload": "SELECT * FROM sj WHERE join_key NOT IN (SELECT join_key FROM pj)",
-    "duplicate_keys": _both("join_key, n", "join_key, n").format(p="p_dups", s="s_dups"),
-    "duplicate_key_rows": "SELECT p_dups.n, sj.* FROM p_dups JOIN sj ON p_dups.join_key = sj.join_key",
-    "many_to_many_keys": "SELECT join_key, p_dups.n AS n_p, s_dups.n AS n_s FROM p_dups JOIN s_dups USING (join_key)",
+    "link_sizes": "SELECT join_key, n_p, n_s FROM (SELECT join_key, count(*) AS n_p FROM registry_keyed GROUP BY 1) "
+                  "JOIN (SELECT join_key, count(*) AS n_s FROM upload_keyed GROUP BY 1) USING (join_key)",
+    "unmatched_registry": "SELECT * FROM registry_keyed WHERE join_key NOT IN (SELECT join_key FROM upload_keyed)",
+    "unmatched_upload": "SELECT * FROM upload_keyed WHERE join_key NOT IN (SELECT join_key FROM registry_keyed)",
+    "duplicate_keys": _both("join_key, n", "join_key, n").format(p="registry_dups", s="upload_dups"),
+    "duplicate_key_rows": "SELECT registry_dups.n, upload_keyed.* FROM registry_dups JOIN upload_keyed ON registry_dups.join_key = upload_keyed.join_key",
+    "many_to_many_keys": "SELECT join_key, registry_dups.n AS n_p, upload_dups.n AS n_s FROM registry_dups JOIN upload_dups USING (join_key)",
     "head_counts": "SELECT * FROM head",
-    "count_eligibility": "SELECT * FROM (" + _eligible("primero", "primero_aun9_3", "p0", False) + ") FULL JOIN ("
-                         + _eligible("sebt", "sebt_aun9_3", "s2", False) + ") USING (AUN)",
+    "count_eligibility": "SELECT * FROM (" + _eligible("primero", "primero_aun9_3", "registry_clean", False) + ") FULL JOIN ("
+                         + _eligible("sebt", "sebt_aun9_3", "upload_rows", False) + ") USING (AUN)",
     "eligibility_wide": "SELECT * FROM elig",
     "id_length_flags": _both(
         "primero_aun9_3 AS aun9_3, primero_pasecureid AS pasecureid, " + _LENGTH.format("primero_pasecureid"),
         "sebt_aun9_3 AS aun9_3, sebt_pasecureid AS pasecureid, " + _LENGTH.format("sebt_pasecureid"),
-    ).format(p="p0", s="s2"),
-    "id_lengths": "SELECT * FROM p_len FULL JOIN s_len USING (AUN)",
+    ).format(p="registry_clean", s="upload_rows"),
+    "id_lengths": "SELECT * FROM registry_lengths FULL JOIN upload_lengths USING (AUN)",
     "standardized_addresses": _both(
         f"primero_pasecureid AS pasecureid, primero_student_address1 AS student_address1, "
         f"{_standard('primero_student_address1')} AS standard",
         f"sebt_pasecureid AS pasecureid, sebt_student_address1 AS student_address1, "
-        f"{_standard('sebt_student_address1')} AS standard").replace("FROM {p}", "FROM p0").replace("FROM {s}", "FROM s2"),
+        f"{_standard('sebt_student_address1')} AS standard").replace("FROM {p}", "FROM registry_clean").replace("FROM {s}", "FROM upload_rows"),
     "address_similarity": "SELECT join_key, primero_pasecureid, sebt_pasecureid, primero_student_address1, "
                           "sebt_student_address1, addr_similarity FROM scored",
     **{f"{f}_mismatch": f"SELECT * FROM {f}_counts" for f in _FIELDS},
