@@ -7,8 +7,7 @@ gives the score. It is fitted on a bounded sample of the labelled rows (`per_cla
 class, those whose hashed id comes first) in one task; the weights (4 MB) go to every worker, which
 scores whole texts.
 
-Defined results: a null or empty text has no features and gets the score that the intercept gives,
-the share of toxic rows among the labelled ones. Rows with a null id are held out by no one and
+Defined results: a null or empty text has no features and gets the score that the intercept gives. Rows with a null id are held out by no one and
 never learnt from. Ids that are labelled twice are learnt from by their larger label; null labels
 count as none. Without toxic training rows all scores are 0. Each row is scored alone; an empty
 table gives no rows; other columns do not matter.
@@ -26,72 +25,99 @@ from pyspark.sql.functions import arrow_udf
 
 PLACES = 1 << 20
 SIZES = (3, 4, 5)
+_SPACE = np.array([32], np.uint32)
 
 
 @dataclass(frozen=True)
 class Fit:
     """Settings of the training. At most 2 * per_class texts are learnt from."""
-    per_class: int = 2000
+    per_class: int = 2500
     smooth: float = 1.0
-    rounds: int = 12
+    rounds: int = 8
     step: float = 0.05
     penalty: float = 1e-4
     seed: int = 4
 
 
-def places(text: str, seen: np.ndarray) -> np.ndarray:
-    """The places of a text's n-grams, each once. `seen`: PLACES falses, left as they were."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def places(text: str, stamp: np.ndarray) -> np.ndarray:
+    """The places of a text's n-grams, each once. `stamp`: PLACES numbers, of any value."""
+    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     chars[chars <= 32] = 32
     keep = np.ones(len(chars), bool)
     keep[1:] = (chars[1:] != 32) | (chars[:-1] != 32)
-    chars = np.concatenate([[np.uint64(32)], chars[keep], [np.uint64(32)]])
-    h, spots = chars * np.uint64(0x9E3779B97F4A7C15), []
+    chars = np.concatenate([_SPACE, chars[keep], _SPACE])
+    known = chars * np.uint32(0x9E3779B1)
+    h, spots = known, []
     for n in range(2, max(SIZES) + 1):
         if len(h) < 2:
             break
-        h = (h[:-1] ^ (h[:-1] >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + chars[n - 1:] * np.uint64(0x9E3779B97F4A7C15)
+        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + known[n - 1:]
         if n in SIZES:
-            spots.append(((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64))
+            spots.append((h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE3D) >> np.uint32(12))
     if not spots:
         return np.zeros(0, np.int64)
-    all_spots = np.concatenate(spots)
-    if len(all_spots) < 20_000:
-        return np.unique(all_spots)
-    seen[all_spots] = True
-    found = np.flatnonzero(seen)
-    seen[found] = False
-    return found
+    found = np.concatenate(spots).astype(np.int64)
+    order = np.arange(len(found), dtype=stamp.dtype)
+    stamp[found] = order  # of equal places the last one stays
+    return found[stamp[found] == order]
+
+
+def new_stamp() -> np.ndarray:
+    return np.zeros(PLACES, np.int64)
 
 
 def fit(texts: list[str], toxic: np.ndarray, base_rate: float, how: Fit = Fit()) -> np.ndarray:
-    """Weights by place, and the intercept at the end."""
-    seen = np.zeros(PLACES, bool)
-    rows = [places(t, seen) for t in texts]
+    """Weights by place, and the intercept at the end.
+
+    Every fourth text is kept from the regression; on these its values are turned into
+    probabilities (slope and intercept, by Newton's method on smoothed targets), each class
+    weighing what it weighs among all labelled rows.
+    """
+    stamp = new_stamp()
+    rows = [places(t, stamp) for t in texts]
+    apart = np.arange(len(rows)) % 4 == 3
+    if any(len(set(toxic[part])) < 2 for part in (apart, ~apart)):
+        apart = np.zeros(len(rows), bool)
     counts = [np.full(PLACES, how.smooth), np.full(PLACES, how.smooth)]
-    for row, y in zip(rows, toxic):
-        counts[y][row] += 1
-    n = np.bincount(toxic, minlength=2) + 2 * how.smooth
+    for i in np.flatnonzero(~apart):
+        counts[toxic[i]][rows[i]] += 1
+    n = np.bincount(toxic[~apart], minlength=2) + 2 * how.smooth
     ratio = np.log((counts[1] / n[1]) / (counts[0] / n[0])).astype(np.float32)
     weights, squares = np.zeros(PLACES, np.float32), np.full(PLACES, 1e-6, np.float32)
-    shift = np.log(n[1] / n[0])  # of the sample; put right below
+    shift = np.log(n[1] / n[0])
+    xs = [ratio[row] / np.sqrt(np.float32(max(len(row), 1))) for row in rows]
     order = np.random.default_rng(how.seed)
     for _ in range(how.rounds):
-        for i in order.permutation(len(rows)):
-            row = rows[i]
-            if not len(row):
-                continue
-            x = ratio[row] / np.sqrt(np.float32(len(row)))
+        for i in order.permutation(np.flatnonzero(~apart)):
+            row, x = rows[i], xs[i]
             p = 1 / (1 + np.exp(-np.clip(x @ weights[row] + shift, -30, 30)))
             g = (p - toxic[i]) * x + how.penalty * weights[row]
             squares[row] += g * g
             weights[row] -= how.step * g / np.sqrt(squares[row])
-    rate = min(max(base_rate, 1e-6), 1 - 1e-6)
-    return np.append(weights * ratio, [np.log(rate / (1 - rate))]).astype(np.float32)
+    tried = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
+    values = np.array([x @ weights[row] for row, x in zip((rows[i] for i in tried), (xs[i] for i in tried))])
+    slope, intercept = calibrated(values, toxic[tried], base_rate)
+    return np.append(weights * ratio * slope, [intercept]).astype(np.float32)
 
 
-def score(text: str | None, weights: np.ndarray, seen: np.ndarray) -> float:
-    row = places(text or "", seen)
+def calibrated(values: np.ndarray, toxic: np.ndarray, base_rate: float) -> tuple[float, float]:
+    """Slope and intercept of the log-odds over the classifier's values."""
+    n = np.bincount(toxic, minlength=2)
+    target = np.where(toxic == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    rate = min(max(base_rate, 1e-6), 1 - 1e-6)
+    weight = np.where(toxic == 1, rate / max(n[1], 1), (1 - rate) / max(n[0], 1))
+    x = np.stack([values, np.ones(len(values))])
+    b = np.array([1.0, np.log(rate / (1 - rate))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(b @ x, -30, 30)))
+        slope = (x * weight * p * (1 - p)) @ x.T + 1e-9 * np.eye(2)
+        step = np.linalg.solve(slope, x @ (weight * (p - target)))
+        b = b - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+    return (max(float(b[0]), 1e-3), float(b[1]))
+
+
+def score(text: str | None, weights: np.ndarray, stamp: np.ndarray) -> float:
+    row = places(text or "", stamp)
     z = float(weights[row].sum(dtype=np.float64)) / np.sqrt(max(len(row), 1)) + float(weights[PLACES])
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -131,8 +157,8 @@ def scores(docs: DataFrame, weights: np.ndarray | None) -> Column:
 
     @arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        seen = np.zeros(PLACES, bool)
-        return pa.array([score(t, sent.value, seen) for t in texts.to_pylist()], pa.float64())
+        stamp = new_stamp()
+        return pa.array([score(t, sent.value, stamp) for t in texts.to_pylist()], pa.float64())
 
     return run(F.col("text"))
 
