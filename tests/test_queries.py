@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from rosterloom import oracles
+from rosterloom.queries import QUERIES
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+ORACLES = oracles.oracle_sql()
 SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE"}
 
 
@@ -21,6 +23,8 @@ def duck(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
