@@ -1,7 +1,9 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five lower-cased words in a row. Its weight in a text is how often it occurs there,
-times an inverse document frequency between 1 and 2: 1 + log((1 + N) / (1 + df)) / log(1 + N).
+times an inverse document frequency: 1 + range * log((1 + N) / (1 + df)) / log(1 + N). The range
+is small, so that large groups of near copies, whose shingles are frequent for that very reason,
+do not come apart.
 Document frequencies are counted over all documents in 2^18 places into which shingles are
 hashed, so what the workers are sent has one size whatever the corpus; the texts that share a
 place by chance add to df the same share of N at every size.
@@ -9,7 +11,7 @@ place by chance add to df the same share of N at every size.
 Weighted min-wise samples (their gamma and uniform variables come from a table of 2^16 entries,
 chosen by hash) are banded, 16 bands of 4. Texts that agree in a band are candidates, and
 candidates are linked if their weighted Jaccard similarity, from all their shingles, is 0.8 or
-more. Pairs within a band are not all formed: each text is compared with one of the band; those
+more, with the inverse document frequencies or without. Pairs within a band are not all formed: each text is compared with one of the band; those
 that then are in another component than that one are compared with all texts of the band that
 are in other components than theirs. So every link between candidates counts for the
 components, and the pairs grow with the rows as long as bands hold near-duplicates.
@@ -47,6 +49,7 @@ class Near:
     similarity: float = 0.8
     bands: int = 16
     rows: int = 4
+    idf_range: float = 0.25
     seed: int = 6
 
 
@@ -80,12 +83,12 @@ def document_frequencies(docs: DataFrame, how: Near = Near()) -> tuple[np.ndarra
     return counts[:-1], int(counts[-1])
 
 
-def idf(frequencies: np.ndarray, n: int) -> np.ndarray:
-    """Weights by place, from 1 (in every document) to 2 (in none)."""
+def idf(frequencies: np.ndarray, n: int, span: float) -> np.ndarray:
+    """Weights by place, from 1 (in every document) to 1 + span (in none)."""
     if not n:
         return np.ones(len(frequencies), np.float32)
     ratio = np.log((1 + n) / (1 + np.minimum(frequencies, n))) / np.log(1 + n)
-    return (1 + ratio).astype(np.float32)
+    return (1 + span * ratio).astype(np.float32)
 
 
 def sampling_table(how: Near) -> tuple[np.ndarray, ...]:
@@ -178,16 +181,19 @@ def _shingled(docs: DataFrame, how: Near) -> DataFrame:
     return docs.mapInArrow(run, "key string, hashes binary, counts binary")
 
 
-def weighted_jaccard(a: tuple, b: tuple, weights: np.ndarray) -> float:
-    """Of two texts, each as sorted hashes and counts: the weights they share by those they have."""
+def weighted_jaccard(a: tuple, b: tuple, weights: np.ndarray) -> tuple[float, float]:
+    """Of two texts, each as sorted hashes and counts: the weights they share by those they have,
+    with the places' weights and with counts alone."""
     (ha, ca), (hb, cb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    wa, wb = ca * weights[place_of(ha)].astype(np.float64), cb * weights[place_of(hb)].astype(np.float64)
     at = np.searchsorted(hb, ha)
     at[at == len(hb)] = 0
     hit = hb[at] == ha if len(hb) else np.zeros(len(ha), bool)
-    shared = np.minimum(wa[hit], wb[at[hit]]).sum()
-    total = wa.sum() + wb.sum() - shared
-    return float(shared / total) if total else 0.0
+    out = []
+    for wa, wb in ((ca * weights[place_of(ha)].astype(np.float64), cb * weights[place_of(hb)].astype(np.float64)), (ca, cb)):
+        shared = np.minimum(wa[hit], wb[at[hit]]).sum()
+        total = wa.sum() + wb.sum() - shared
+        out.append(float(shared / total) if total else 0.0)
+    return out[0], out[1]
 
 
 def verified(pairs: DataFrame, found: DataFrame, weights, how: Near) -> DataFrame:
@@ -198,7 +204,7 @@ def verified(pairs: DataFrame, found: DataFrame, weights, how: Near) -> DataFram
         sets = ((np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for hs, cs in ((ha, ca), (hb, cb))
                 for h, c in zip(hs.to_pylist(), cs.to_pylist()))
         rows = list(sets)
-        return pa.array([weighted_jaccard(x, y, weights.value) for x, y in zip(rows[:len(ha)], rows[len(ha):])], pa.float64())
+        return pa.array([max(weighted_jaccard(x, y, weights.value)) for x, y in zip(rows[:len(ha)], rows[len(ha):])], pa.float64())
 
     a, b = (found.select(F.col("key").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").filter(similarity("ha", "ca", "hb", "cb") >= how.similarity).select("a", "b")
@@ -214,7 +220,7 @@ def text_classes(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     folder = work_folder(spark, "near-duplicates")
     frequencies, n = document_frequencies(docs, how)
-    weights = spark.sparkContext.broadcast(idf(frequencies, n))
+    weights = spark.sparkContext.broadcast(idf(frequencies, n, how.idf_range))
     members = kept_as(signed(docs, weights, how), f"{folder}/signed")
     texts = kept_as(members.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")),
                     f"{folder}/texts")
