@@ -11,10 +11,11 @@ place by chance add to df the same share of N at every size.
 Weighted min-wise samples (their gamma and uniform variables come from a table of 2^16 entries,
 chosen by hash) are banded, 16 bands of 4. Texts that agree in a band are candidates, and
 candidates are linked if their weighted Jaccard similarity, from all their shingles, is 0.8 or
-more, with the inverse document frequencies or without. Pairs within a band are not all formed: each text is compared with one of the band; those
-that then are in another component than that one are compared with all texts of the band that
-are in other components than theirs. So every link between candidates counts for the
-components, and the pairs grow with the rows as long as bands hold near-duplicates.
+more, with the inverse document frequencies or without. Pairs within a band are not all formed.
+Each text is compared with one of the band. Bands whose texts then are in several components are
+compared as a whole, in tasks of two slices each, by products of matrices; what leaves a
+task is links enough to connect what is connected. So every link between candidates counts for the
+components, and pairs are never rows but for those with the one.
 
 Defined results: equal texts are one class from the start, and are compared once. Texts without words (null,
 empty) are near-duplicates of nothing but equal texts are one class all the same, null counting as
@@ -41,6 +42,7 @@ from rosterloom.workspace import work_folder
 PLACE_BITS = 18
 TABLE_BITS = 16
 SLICE = 256
+COLUMNS = 2048
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,8 @@ class Near:
     bands: int = 16
     rows: int = 4
     idf_range: float = 0.25
+    tile: int = 1024
+    tile_shingles: int = 1_000_000
     seed: int = 6
 
 
@@ -214,6 +218,87 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def similar(sets: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, least: float) -> np.ndarray:
+    """Which of these texts (hashes, counts) are similar enough, as a matrix.
+
+    A shingle that occurs c times is c columns of a 0/1 matrix, so what two texts share is a
+    product of rows; columns with a single text count for the sizes alone.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    h, c = np.concatenate([h for h, _ in sets]), np.concatenate([c for _, c in sets])
+    row, h, level = np.repeat(row, c), np.repeat(h, c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    value = weights[place_of(h)].astype(np.float64)
+    _, column, often = np.unique(h + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15),
+                                 return_inverse=True, return_counts=True)
+    some = often[column] > 1
+    order = np.argsort(column[some], kind="stable")
+    spots, rows, values = column[some][order], row[some][order], value[some][order]
+    spots = np.cumsum(np.diff(spots, prepend=-1) > 0) - 1
+    shared = [np.zeros((n, n)), np.zeros((n, n))]
+    for first in range(0, int(spots[-1]) + 1 if len(spots) else 0, COLUMNS):
+        a, b = np.searchsorted(spots, [first, first + COLUMNS])
+        x = np.zeros((n, int(spots[b - 1]) - first + 1))
+        x[rows[a:b], spots[a:b] - first] = 1
+        per_column = np.zeros(x.shape[1])
+        per_column[spots[a:b] - first] = values[a:b]
+        shared[0] += x @ x.T
+        shared[1] += (x * per_column) @ x.T
+    out = np.zeros((n, n), bool)
+    for part, worth in zip(shared, (np.ones(len(h)), value)):
+        size = np.bincount(row, weights=worth, minlength=n)
+        out |= part >= least * (size[:, None] + size[None, :] - part) - 1e-9
+    np.fill_diagonal(out, False)
+    return out
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the matrix connects: at most one per row."""
+    left, edges = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if left[root]:
+            left[root], front = False, np.array([root])
+            while len(front):
+                reached = np.flatnonzero(near[front].any(axis=0) & left)
+                left[reached] = False
+                edges += [(int(x), root) for x in reached]
+                front = reached
+    return edges
+
+
+def linked_in_bands(placed: DataFrame, found: DataFrame, weights, how: Near) -> DataFrame:
+    """Links (a, b) that connect all similar texts of the bands that hold several components.
+
+    A band is cut into slices of at most `tile` texts and `tile_shingles` shingles, and a task gets two
+    of them; pairs are cells of its matrix and never rows.
+    """
+    sized = placed.join(found.select("key", (F.octet_length("hashes") / 8).alias("size")), "key")
+    bands = sized.groupBy("band").agg(
+        F.count_distinct("group").alias("groups"),
+        F.ceil(F.greatest(F.count("*") / how.tile, F.sum("size") / how.tile_shingles)).cast("int").alias("slices"))
+    mixed = placed.join(bands.filter("groups > 1").select("band", "slices"), "band").withColumn(
+        "side", F.pmod(F.xxhash64("key"), "slices").cast("int"))
+    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "group")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, edges = table["key"].to_pylist(), []
+        if len(set(table["group"].to_pylist())) > 1:
+            near = similar([(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for h, c in zip(
+                table["hashes"].to_pylist(), table["counts"].to_pylist())], weights.value, how.similarity)
+            edges = forest(near)
+        return pa.table({"a": pa.array([keys[a] for a, _ in edges], pa.string()),
+                         "b": pa.array([keys[b] for _, b in edges], pa.string())})
+
+    return dealt.join(found, "key").groupBy("band", "i", "j").applyInArrow(run, "a string, b string")
+
+
+def _placed(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, key, group): the texts of bands, with their component by these links."""
+    groups = components(links).withColumnsRenamed({"node": "key", "component": "group"})
+    return crowd.join(groups, "key", "left").select("band", "key", F.coalesce("group", "key").alias("group"))
+
+
 def text_classes(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFrame]:
     """`members`: doc_id and key of each row. `classes`: each key with its class: its id, and
     the key and number of rows that stand for it."""
@@ -236,16 +321,8 @@ def text_classes(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFr
         "left_semi").select("key", "text")
     found = kept_as(_shingled(one, how).dropDuplicates(["key"]), f"{folder}/shingles")
     links = kept_as(verified(pairs, found, weights, how), f"{folder}/links-0")
-    groups = components(links).withColumnsRenamed({"node": "key", "component": "group"})
-    placed = crowd.join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    head_groups = groups.select(F.col("key").alias("head"), F.col("group").alias("head_group"))
-    placed = kept_as(placed.join(head_groups, "head", "left").withColumn("head_group", F.coalesce("head_group", "head")),
-                     f"{folder}/placed")
-    apart = placed.filter(F.col("group") != F.col("head_group")).select(
-        "band", F.col("key").alias("other"), F.col("group").alias("other_group"))
-    more = placed.filter("key <> head").join(apart, "band").filter("group <> other_group").select(
-        *_ordered("key", "other")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more_links = kept_as(verified(more, found, weights, how), f"{folder}/links-1")
+    placed = kept_as(_placed(crowd, links), f"{folder}/placed")
+    more_links = kept_as(linked_in_bands(placed, found, weights, how), f"{folder}/links-1")
     final = components(links.unionByName(more_links)).withColumnsRenamed({"node": "key", "component": "group"})
     grouped = kept_as(texts.select("key", "first").join(final, "key", "left").withColumn(
         "group", F.coalesce("group", "key")), f"{folder}/groups")

@@ -62,8 +62,8 @@ def shingles(texts: pa.Array, words: int = WORDS) -> list[tuple[np.ndarray, np.n
         if count >= words:
             out.append(np.unique(rolled[start:end - words + 1], return_counts=True))
         elif count:
-            whole = sum((h[start + k] * _ODD[k] for k in range(count)), np.uint64(count))
-            out.append((_mixed(np.array([whole], np.uint64)), np.ones(1, np.int64)))
+            whole = (h[start:end] * np.array(_ODD[:count], np.uint64)).sum(keepdims=True) + np.uint64(count)
+            out.append((_mixed(whole), np.ones(1, np.int64)))
         else:
             out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out

@@ -2,9 +2,9 @@
 
 The ids of all documents, each ended by an end id, run on in document order and are cut into
 sequences of one length. A shard is two Arrow files of fixed layout: `<shard>.arrow` with
-record batches of two fixed-size-list columns, `ids` and `mask` (1: an id, 2: the last id of a
-document, 0: padding behind the last document of the shard), and `<shard>.index.arrow` with
-doc_id, start and n_tokens of its documents. All batches but the last hold the same number of
+record batches of two fixed-size-list columns, `ids` and `mask` (false: padding behind the last
+document of the shard; a bit each), and `<shard>.index.arrow` with doc_id, start and n_tokens of
+its documents. All batches but the last hold the same number of
 sequences, so sequence i is found by division; from a memory-mapped file it is read in place.
 
 Shards are ranges of doc_id, written by one task each; a task that runs again writes new
@@ -70,39 +70,36 @@ class ShardWriter:
         store, self.stem = _opened(stem)
         self.kind, self.length, self.rows = kind, length, batch
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)),
-                                 ("mask", pa.list_(pa.uint8(), length))])
+                                 ("mask", pa.list_(pa.bool_(), length))])
         self.index = pa.schema([("doc_id", doc_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         if isinstance(store, fs.LocalFileSystem):
             store.create_dir(self.stem.rpartition("/")[0])
         self.files = [store.open_output_stream(f"{self.stem}{end}") for end in (".arrow", ".index.arrow")]
         self.out, self.index_out = (pa.ipc.new_file(f, s) for f, s in zip(self.files, (self.schema, self.index)))
-        self.ids, self.mask = np.zeros(0, kind), np.zeros(0, np.uint8)
+        self.ids = np.zeros(0, kind)
         self.docs = self.tokens = 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
         ends = np.cumsum(sizes)
-        mask = np.ones(len(ids), np.uint8)
-        mask[ends - 1] = 2
         self.index_out.write_batch(pa.RecordBatch.from_arrays(
             [doc_ids, pa.array(self.tokens + ends - sizes), pa.array(sizes)], schema=self.index))
         self.docs += len(sizes)
         self.tokens += len(ids)
-        self.ids, self.mask = np.append(self.ids, ids.astype(self.kind)), np.append(self.mask, mask)
+        self.ids = np.append(self.ids, ids.astype(self.kind))
         step = self.length * self.rows
-        full = len(self.ids) // step
-        for i in range(full):
-            self._write(slice(i * step, (i + 1) * step))
-        self.ids, self.mask = self.ids[full * step:].copy(), self.mask[full * step:].copy()
+        full = len(self.ids) // step * step
+        for i in range(0, full, step):
+            self._write(self.ids[i:i + step], step)
+        self.ids = self.ids[full:].copy()
 
-    def _write(self, part: slice) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), self.length) for x in (self.ids, self.mask)]
-        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+    def _write(self, ids: np.ndarray, real: int) -> None:
+        columns = (pa.array(ids), pa.array(np.arange(len(ids)) < real))
+        self.out.write_batch(pa.RecordBatch.from_arrays(
+            [pa.FixedSizeListArray.from_arrays(c, self.length) for c in columns], schema=self.schema))
 
     def close(self) -> None:
         if len(self.ids):
-            short = -len(self.ids) % self.length
-            self.ids, self.mask = np.pad(self.ids, (0, short)), np.pad(self.mask, (0, short))
-            self._write(slice(0, len(self.ids)))
+            self._write(np.pad(self.ids, (0, -len(self.ids) % self.length)), len(self.ids))
         for part in (self.out, self.index_out, *self.files):
             part.close()
 
@@ -119,27 +116,30 @@ class Shard:
         self.length = self.reader.schema.field("ids").type.list_size
         self.rows = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """The ids and the mask of sequence i, without a copy."""
         batch, row = self.reader.get_batch(i // self.rows), i % self.rows
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * self.length:(row + 1) * self.length]
-                     for c in (0, 1))
+        part = slice(row * self.length, (row + 1) * self.length)
+        return (batch.column(0).values.to_numpy(zero_copy_only=True)[part],
+                batch.column(1).values[part.start:part.stop])
 
     def documents(self) -> Iterator[tuple[object, np.ndarray]]:
-        """Every document's id and token ids; where a document ends the mask tells."""
-        names = (d for b in range(self.index.num_record_batches)
-                 for d in self.index.get_batch(b).column("doc_id").to_pylist())
-        rest: list[np.ndarray] = []
-        for b in range(self.reader.num_record_batches):
-            batch = self.reader.get_batch(b)
-            ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True) for c in (0, 1))
-            at = 0
-            for end in np.flatnonzero(mask == 2) + 1:
-                yield next(names), np.concatenate([*rest, ids[at:end]]) if rest else ids[at:end]
-                rest, at = [], end
-            tail = ids[at:][mask[at:] > 0]
-            if len(tail):
-                rest.append(tail)
+        """Every document's id and token ids, one after another."""
+        batches = (self.reader.get_batch(b).column(0).values.to_numpy(zero_copy_only=True)
+                   for b in range(self.reader.num_record_batches))
+        ids = np.zeros(0, np.int64)
+        at = 0
+        for b in range(self.index.num_record_batches):
+            batch = self.index.get_batch(b)
+            for doc_id, size in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist()):
+                parts = []
+                while size > len(ids) - at:
+                    parts.append(ids[at:])
+                    size -= len(ids) - at
+                    ids, at = next(batches), 0
+                parts.append(ids[at:at + size])
+                at += size
+                yield doc_id, np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def _write_shard(folder: str, path: str, end_id: int, length: int, kind):
@@ -201,5 +201,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, doc_type: str = "
     """
     before = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")
     shards = manifest.filter("n_docs > 0").select("path", before.alias("first"))
-    return shards.repartition("path").mapInArrow(
+    # A task per shard: so many were given, since Spark would join what looks small to it.
+    return shards.repartition(max(manifest.count(), 1)).mapInArrow(
         _read_shard, f"doc_id {doc_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
