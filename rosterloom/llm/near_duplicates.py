@@ -8,7 +8,7 @@ Document frequencies are counted over all documents in 2^18 places into which sh
 hashed, so what the workers are sent has one size whatever the corpus; the texts that share a
 place by chance add to df the same share of N at every size.
 
-Weighted min-wise samples (their gamma and uniform variables come from a table of 2^16 entries,
+Weighted min-wise samples (their gamma and uniform variables come from tables of 2^16 entries,
 chosen by hash) are banded, 16 bands of 4. Texts that agree in a band are candidates, and
 candidates are linked if their weighted Jaccard similarity, from all their shingles, is 0.8 or
 more, with the inverse document frequencies or without. Pairs within a band are not all formed.
@@ -115,10 +115,11 @@ def samples(h: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, table) ->
     sizes = np.diff(np.append(starts, len(h)))
     out = np.zeros((len(starts), len(factors)), np.uint64)
     for j, factor in enumerate(factors):
-        slot = ((h * factor) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-        b = beta[slot]
-        t = np.floor(log_weight * inverse[slot] + b)
-        a = log_c[slot] - r[slot] * (t - b + np.float32(1))
+        mixed = h * factor
+        for_c, for_r, for_b = ((mixed >> np.uint64(s)).astype(np.uint16) for s in (48, 32, 16))
+        b = beta[for_b]
+        t = np.floor(log_weight * inverse[for_r] + b)
+        a = log_c[for_c] - r[for_r] * (t - b + np.float32(1))
         least = np.minimum.reduceat(a, starts)
         hits = np.flatnonzero(a == np.repeat(least, sizes))
         if len(hits) > len(starts):

@@ -61,19 +61,27 @@ WITH split AS (
     SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n,
            CAST(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS bad
     FROM named JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY ALL
-), overall AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM hosts
-), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM hosts, overall GROUP BY suffix
+), overall AS (
+    SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m,
+           coalesce(sum(n), 0) + 1.0::DOUBLE AS worth FROM hosts
+), s0 AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m, any_value(worth) AS known FROM hosts, overall GROUP BY suffix
 ), sk AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 1e-3), 0.5) - 1 AS k FROM s0
-), s1 AS (SELECT suffix, (k * m + bad) / (k + n) AS mean FROM s0, sk
-), d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS m FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix
+), s1 AS (SELECT suffix, 1 / (1 / k + 1 / known) AS k0, (k0 * m + bad) / (k0 + n) AS mean, k0 + n AS worth FROM s0, sk
+), d0 AS (
+    SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS m, any_value(worth) AS known
+    FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix
 ), dk AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 1e-3), 0.5) - 1 AS k FROM d0
-), d1 AS (SELECT domain, (k * m + bad) / (k + n) AS mean FROM d0, dk
+), d1 AS (SELECT domain, 1 / (1 / k + 1 / known) AS k0, (k0 * m + bad) / (k0 + n) AS mean, k0 + n AS worth FROM d0, dk
 ), h0 AS (SELECT host, n, bad, mean AS m FROM hosts JOIN d1 USING (domain)
 ), hk AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 1e-3), 0.5) - 1 AS k FROM h0
 ), beta AS (
-    SELECT page_id, named.host, path, k * coalesce(d1.mean, s1.mean, overall.m) + coalesce(h0.bad, 0) AS a,
-           k * (1 - coalesce(d1.mean, s1.mean, overall.m)) + coalesce(h0.n, 0) - coalesce(h0.bad, 0) AS b
-    FROM named LEFT JOIN s1 USING (suffix) LEFT JOIN d1 USING (domain) LEFT JOIN h0 ON h0.host = named.host, overall, hk
+    SELECT page_id, named.host, path, coalesce(d1.mean, s1.mean, overall.m) AS mh,
+           coalesce(s1.worth, 1 / (1 / sk.k + 1 / overall.worth)) AS of_suffix,
+           coalesce(d1.worth, 1 / (1 / dk.k + 1 / of_suffix)) AS of_domain, 1 / (1 / hk.k + 1 / of_domain) AS kh,
+           kh * mh + coalesce(h0.bad, 0) AS a, kh * (1 - mh) + coalesce(h0.n, 0) - coalesce(h0.bad, 0) AS b
+    FROM named LEFT JOIN s1 USING (suffix) LEFT JOIN d1 USING (domain) LEFT JOIN h0 ON h0.host = named.host,
+         overall, sk, dk, hk
 ), ruled AS (
     SELECT *, '.' || host AS dotted,
            CASE WHEN dotted LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'

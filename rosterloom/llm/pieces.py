@@ -227,7 +227,7 @@ def _encode(path: str, theta: float):
     def run(batches):
         words = vocabulary(path, theta)
         lattices = Lattices(words)
-        for batch in batches:
+        for batch in (p for b in batches for p in U.parts(b, "text")):
             n = batch.num_rows
             keys = batch.column("key").to_numpy().astype(np.int64).view(np.uint64)
             texts = batch.column("text").cast(pa.large_string()).fill_null("")

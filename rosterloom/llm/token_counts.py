@@ -38,7 +38,7 @@ def _frequencies(path: str):
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(counts[:known.n])], ["unit", "n"])
 
         safe = U.safe_pairs(special_strings(path))
-        for batch in batches:
+        for batch in (p for b in batches for p in U.parts(b, "text")):
             for w in U.windows(batch.column(0), safe):
                 at, new = known.add(w.h, w.v)
                 raw.extend(w.raw(i) for i in new)
@@ -79,7 +79,7 @@ def _per_document(path: str, head):
         worth = np.zeros(known.n + 1, np.int64)
         worth[at] = pieces
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (p for b in batches for p in U.parts(b, "text")):
             texts, n = batch.column("text"), batch.num_rows
             total = np.zeros(n, np.int64)
             rest: list[dict] = [{} for _ in range(n)]

@@ -42,7 +42,7 @@ def document_ids(path: str, end_id: int, batches) -> Iterator[tuple[pa.Array, np
     """For each batch of (doc_id, text): the doc ids, all token ids, and each document's number."""
     safe = U.safe_pairs(special_strings(path))
     known, pool = U.Known(), U.Pool(np.int32)
-    for batch in batches:
+    for batch in (p for b in batches for p in U.parts(b, "text")):
         n = batch.num_rows
         ids, sizes = [], np.zeros(n, np.int64)
         for w in U.windows(batch.column("text"), safe):

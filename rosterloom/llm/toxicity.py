@@ -8,8 +8,8 @@ class, those whose hashed id comes first) in one task; the weights (4 MB) go to
 scores whole texts.
 
 Defined results: a null or empty text has no features and gets the score that the intercept gives. Rows with a null id are held out by no one and
-never learnt from. Ids that are labelled twice are learnt from by their larger label; null labels
-count as none. Without toxic training rows all scores are 0. Each row is scored alone; an empty
+never learnt from. Ids that are labelled twice are learnt from by their larger label, ids with
+several texts by the first text; null labels count as none. Without toxic training rows all scores are 0. Each row is scored alone; an empty
 table gives no rows; other columns do not matter.
 """
 
@@ -136,16 +136,19 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> np.ndarray |
     first = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.per_class)
              for y in (0, 1)]
     # At most 2 * per_class ids.
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].unionAll(first[1])), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].unionAll(first[1])), "doc_id").groupBy(
+        "doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches):
         rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
         order = pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         toxic = order["toxic"].to_numpy().astype(np.int64)
         weights = fit([t or "" for t in order["text"].to_pylist()], toxic, sums["toxic"] / sums["n"], how)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    found = sample.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "weights binary").first()
+    found = sample.repartition(1).mapInArrow(run, "weights binary").first()
     return np.frombuffer(found["weights"], np.float32) if found else None
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 20
 LONG = 256
@@ -50,6 +51,15 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def parts(batch: pa.RecordBatch, column: str, size: int = 4 * WINDOW) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of text, at least a row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    slot = (np.cumsum(sizes) - sizes) // size
+    cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), batch.num_rows)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def safe_pairs(specials: tuple[str, ...] = ()) -> np.ndarray:
     """For pre-tokenizers that part letters, digits, marks and white space: the byte pairs
     between which they always part. A space belongs to what follows; an apostrophe may."""

@@ -3,8 +3,9 @@
 Reputation is empirical Bayes. The share of bad pages among a host's labelled pages is shrunk
 towards that of its registered domain, that towards its suffix, that towards all pages. At each
 level the prior is a beta distribution around the parent's mean; how strongly it pulls is
-estimated from the spread of the groups (beta-binomial, by moments). A page is blocked if even
-the lower bound of its host's posterior is above the limit.
+estimated from the spread of the groups (beta-binomial, by moments), and it pulls less where the
+parent itself is known by few pages. A page is blocked if even the lower bound of its host's
+posterior is above the limit.
 
 Defined results: a null URL, or one without "://", has an empty host and path; such pages count as
 one host. Labels that are null do not count; a page with several label rows counts once for each.
@@ -82,25 +83,32 @@ def pull(groups: DataFrame) -> float:
     return 1 / min(max(rho, 1e-3), 0.5) - 1
 
 
-def reputation(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float, dict[str, float]]:
-    """Per level a table (level, m) of posterior means, the mean of all pages, and the pulls.
+def strength(pull_: float, parent: Column) -> Column:
+    """Pages that a prior is worth: variances of the group around its parent and of what is known
+    of the parent add up."""
+    return F.lit(1.0) / (F.lit(1 / pull_) + F.lit(1.0) / parent)
+
+
+def reputation(outcomes: DataFrame) -> tuple[dict[str, DataFrame], tuple[float, float], dict[str, float]]:
+    """Per level a table (level, n, bad, mean, worth) of posteriors, the mean and the worth of all
+    pages, and the pulls.
 
     The driver gets four sums and three pulls; the tables stay distributed.
     """
     sums = outcomes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    overall = ((sums["bad"] or 0) + 0.5) / ((sums["n"] or 0) + 1.0)
+    overall = ((sums["bad"] or 0) + 0.5) / ((sums["n"] or 0) + 1.0), (sums["n"] or 0) + 1.0
     tables, pulls, above = {}, {}, None
     for level, parent in zip(LEVELS, (None, *LEVELS)):
         keys = [level] + [parent] * (parent is not None)
         groups = outcomes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         if above is None:
-            groups = groups.withColumn("m", F.lit(overall))
+            groups = groups.select("*", F.lit(overall[0]).alias("m"), F.lit(overall[1]).alias("known"))
         else:
-            groups = groups.join(above.select(parent, F.col("mean").alias("m")), parent)
+            groups = groups.join(above.select(parent, F.col("mean").alias("m"), F.col("worth").alias("known")), parent)
         pulls[level] = pull(groups)
-        k = F.lit(pulls[level])
-        above = groups.withColumn("mean", (k * F.col("m") + F.col("bad")) / (k + F.col("n")))
-        tables[level] = above.select(level, "n", "bad", "mean")
+        groups = groups.withColumn("k", strength(pulls[level], F.col("known")))
+        above = groups.withColumn("mean", F.expr("(k * m + bad) / (k + n)")).withColumn("worth", F.expr("k + n"))
+        tables[level] = above.select(level, "n", "bad", "mean", "worth")
     return tables, overall, pulls
 
 
@@ -116,11 +124,13 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
         "*", domain.alias("domain"), suffix.alias("suffix"), rule.alias("rule"), says.alias("says"))
     hosts = rows.select("host", "domain", "suffix").distinct()
     for level in LEVELS:
-        one = tables[level].select(level, *[F.col(c).alias(f"{level}_{c}") for c in ("n", "bad", "mean")])
+        one = tables[level].select(level, *[F.col(c).alias(f"{level}_{c}") for c in ("n", "bad", "mean", "worth")])
         hosts = hosts.join(one, level, "left")
-    parent = F.coalesce("domain_mean", "suffix_mean", F.lit(overall))
-    a = F.lit(pulls["host"]) * parent + F.coalesce("host_bad", F.lit(0))
-    b = F.lit(pulls["host"]) * (1 - parent) + F.coalesce("host_n", F.lit(0)) - F.coalesce("host_bad", F.lit(0))
+    parent = F.coalesce("domain_mean", "suffix_mean", F.lit(overall[0]))
+    of_suffix = F.coalesce("suffix_worth", strength(pulls["suffix"], F.lit(overall[1])))
+    k = strength(pulls["host"], F.coalesce("domain_worth", strength(pulls["domain"], of_suffix)))
+    a = k * parent + F.coalesce("host_bad", F.lit(0))
+    b = k * (1 - parent) + F.coalesce("host_n", F.lit(0)) - F.coalesce("host_bad", F.lit(0))
     known = hosts.select("host", a.alias("a"), b.alias("b")).select(
         "host", (F.expr("a / (a + b)") - F.lit(z) * F.sqrt(F.expr("a * b / ((a + b) * (a + b) * (a + b + 1))"))).alias("bound"))
     judged = rows.join(known, "host")
