@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.graph import components
-from rosterloom.llm.tables import kept_as
+from rosterloom.llm.tables import kept_as, small_batches
 from rosterloom.workspace import work_folder
 
 
@@ -213,6 +213,7 @@ def linked_in(table: pa.Table, codes: Codes, how: Caps) -> tuple[np.ndarray, lis
 def link_vectors(vectors: DataFrame, how: Caps = Caps()) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
+    small_batches(spark)
     folder = work_folder(spark, "caps")
     kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = kept_as(vectors.select("vec_id", "embedding").mapInArrow(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rosterloom.llm.tables import unused
+from rosterloom.llm.tables import small_batches, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -131,17 +131,20 @@ def line_rules(text: Column, rules: Rules = Rules(), with_text: bool = True) ->
         return pa.StructArray.from_arrays([pa.array([r[c] for r in found], t) for c, t in fields],
                                           [c for c, _ in fields])
 
-    return run(text)
+    # Said to be not deterministic, so that a filter on it does not have it computed twice.
+    return run.asNondeterministic()(text)
 
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id and all counts and verdicts, one row per row of (doc_id, text)."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", line_rules(F.col("text"), rules, False).alias("found")).select("doc_id", "found.*")
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, without their failed lines. n_chars, where there is one,
     follows the text; all other columns stay."""
+    small_batches(docs.sparkSession)
     found = unused("found", docs)
     columns = {"text": F.col(f"{found}.clean_text")}
     if "n_chars" in docs.columns:

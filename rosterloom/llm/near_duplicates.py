@@ -36,7 +36,7 @@ from pyspark.sql.functions import arrow_udf
 
 from rosterloom.llm.graph import components
 from rosterloom.llm.shingles import WORDS, shingles
-from rosterloom.llm.tables import kept_as, same, unused
+from rosterloom.llm.tables import kept_as, same, small_batches, unused
 from rosterloom.workspace import work_folder
 
 PLACE_BITS = 18
@@ -304,6 +304,7 @@ def text_classes(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFr
     """`members`: doc_id and key of each row. `classes`: each key with its class: its id, and
     the key and number of rows that stand for it."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_folder(spark, "near-duplicates")
     frequencies, n = document_frequencies(docs, how)
     weights = spark.sparkContext.broadcast(idf(frequencies, n, how.idf_range))

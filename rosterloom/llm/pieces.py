@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from rosterloom.llm import units as U
+from rosterloom.llm.tables import small_batches
 from rosterloom.llm.vocabularies import default_path
 
 THETA = 1.0
-MOST_EDGES = 10_000_000
+MOST_EDGES = 6_000_000
+STEP = 1 << 14  # units whose lattices are built together; rows decoded together hold 16 times as many pieces
 _SPACE = "▁"
 
 
@@ -238,8 +240,8 @@ def _encode(path: str, theta: float):
                 if lattices.edges > MOST_EDGES:
                     lattices.clear()
                 at, new = lattices.known.add(w.h, w.v)
-                if len(new):
-                    lattices.add([w.raw(i) for i in new])
+                for i in range(0, len(new), STEP):
+                    lattices.add([w.raw(j) for j in new[i:i + STEP]])
                 per_doc = np.bincount(w.doc, minlength=n)
                 firsts = np.cumsum(per_doc) - per_doc
                 number = np.arange(len(at)) - firsts[w.doc] + before[w.doc]
@@ -250,44 +252,53 @@ def _encode(path: str, theta: float):
                 sizes += np.bincount(docs, minlength=n)
             flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
             ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "text", "pieces"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            lossless = pc.equal(decoded(lists, words), texts.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, lossless], ["doc_id", "pieces", "lossless"])
 
     return run
 
 
 def sample_pieces(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 9) -> DataFrame:
-    """doc_id, text and pieces (a sampled segmentation) of every row of (doc_id, text)."""
+    """doc_id, pieces (a sampled segmentation), and lossless: whether decoding them gives back the
+    text, for every row of (doc_id, text)."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     return docs.select("doc_id", "text", key.alias("key")).mapInArrow(
-        _encode(path or default_path("piece_bpe_32k.model"), theta), f"doc_id {kind}, text string, pieces array<int>")
+        _encode(path or default_path("piece_bpe_32k.model"), theta), f"doc_id {kind}, pieces array<int>, lossless boolean")
+
+
+def decoded(lists: pa.Array, words: Vocabulary) -> pa.Array:
+    """The text of each list of pieces; empty of a null or empty list."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    slot = (np.cumsum(sizes) - sizes) // (16 * STEP)
+    cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(sizes))
+    out = [pa.array([], pa.string())]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        raw, per_piece = words.bytes.rows(lists[a:b].flatten().to_numpy(zero_copy_only=False))
+        reach = np.append(0, np.cumsum(per_piece))
+        ends = reach[np.append(0, np.cumsum(sizes[a:b]))]
+        keep = np.ones(len(raw), bool)
+        keep[ends[:-1][np.diff(ends) > 0]] = False  # the space in front
+        offsets = np.append(0, np.cumsum(keep))[ends].astype(np.int64)
+        out.append(pa.LargeStringArray.from_buffers(
+            b - a, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[keep].tobytes())).cast(pa.string()))
+    return pa.concat_arrays(out)
 
 
 def decode_pieces(pieces: Column, path: str | None = None) -> Column:
-    """The text of a list of pieces; empty of a null or empty list."""
+    """The text of a column of lists of pieces."""
     path = path or default_path("piece_bpe_32k.model")
 
     @arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        words = vocabulary(path, THETA)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        raw, per_piece = words.bytes.rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        reach = np.append(0, np.cumsum(per_piece))
-        ends = reach[np.append(0, np.cumsum(sizes))]
-        keep = np.ones(len(raw), bool)
-        keep[ends[:-1][np.diff(ends) > 0]] = False  # the space in front
-        offsets = np.append(0, np.cumsum(keep))[ends].astype(np.int64)
-        text = raw[keep].tobytes()
-        return pa.LargeStringArray.from_buffers(
-            len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)).cast(pa.string())
+        return decoded(lists, vocabulary(path, THETA))
 
     return run(pieces)
 
 
 def segmented(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 9) -> DataFrame:
     """doc_id, n_pieces, pieces, and whether decoding them gives back the text, per row."""
-    found = sample_pieces(docs, path, theta, seed)
-    return found.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces",
-                        (decode_pieces(F.col("pieces"), path) == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return sample_pieces(docs, path, theta, seed).select(
+        "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", "lossless")

@@ -20,6 +20,12 @@ def kept_as(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get texts a few MB at a time; long texts go one by one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """`name`, with underscores in front until no frame has a column of that name."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm import units as U
-from rosterloom.llm.tables import kept_as
+from rosterloom.llm.tables import kept_as, small_batches
 from rosterloom.llm.vocabularies import default_path, encoded, special_strings
 from rosterloom.workspace import work_folder
 
@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
     """doc_id, n_bytes and n_tokens of every row of (doc_id, text)."""
     path = path or default_path("byte_bpe_50k.json")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     vocabulary = kept_as(pretoken_pieces(docs, path), work_folder(spark, "pretokens"))
     frequent = (vocabulary.filter(F.octet_length("unit") <= HEAD_BYTES)

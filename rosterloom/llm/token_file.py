@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterloom.llm import units as U
-from rosterloom.llm.tables import kept_as
+from rosterloom.llm.tables import kept_as, small_batches
 from rosterloom.llm.vocabularies import default_path, encoded, special_strings, tokenizer
 
 LENGTH = 2048
@@ -165,6 +165,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Writes (doc_id, text) into shards below `folder`, and returns their manifest."""
     path = path or default_path("word_bpe_49k.json")
     kind = np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32
+    small_batches(docs.sparkSession)
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return kept_as(ranged.mapInArrow(_write_shard(f"{folder}/shards", path, end_id, length, kind), MANIFEST),

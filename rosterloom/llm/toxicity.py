@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from rosterloom.llm.tables import small_batches
+
 PLACES = 1 << 20
 SIZES = (3, 4, 5)
 _SPACE = np.array([32], np.uint32)
@@ -156,6 +158,7 @@ def scores(docs: DataFrame, weights: np.ndarray | None) -> Column:
     """The score of the column `text`."""
     if weights is None:
         return F.lit(0.0)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @arrow_udf("double")

@@ -151,6 +151,8 @@ def test_pieces_decode_and_repeat(spark):
     assert key(got) != key(pieces.segmented(frame(spark, ODD), seed=1).collect())
     model = pieces.processor(default_path("piece_bpe_32k.model"))
     assert all(model.decode(r.pieces) == (ODD[r.doc_id] or "") for r in got if r.doc_id)
+    back = pieces.sample_pieces(frame(spark, ODD)).select("doc_id", pieces.decode_pieces(F.col("pieces")).alias("text"))
+    assert all(r.text == (ODD[r.doc_id] or "") for r in back.collect() if r.doc_id)
     assert pieces.segmented(empty(spark)).count() == 0
 
 
