@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,9 +84,16 @@ def differs(field: str, cfg: MatchConfig) -> Column:
 def scored_pairs(link: Linkage) -> DataFrame:
     """All linked pairs with the similarity of their addresses."""
     cfg = link.cfg
-    std = {side: F.when(is_filled(F.col(side.col(cfg.address))),
-                        standardize_address(F.col(side.col(cfg.address)))) for side in cfg.sides}
-    return linked_pairs(link).withColumn("addr_similarity", jaro(std[cfg.upload], std[cfg.registry]))
+
+    def with_standard(rows: DataFrame, side: Side) -> DataFrame:
+        """Once per row, and not once per pair."""
+        address = F.col(side.col(cfg.address))
+        return rows.withColumn(f"_{side.short}_standard", F.when(is_filled(address), standardize_address(address)))
+
+    standard = replace(link, registry=with_standard(link.registry, cfg.registry),
+                       upload=with_standard(link.upload, cfg.upload))
+    names = [f"_{side.short}_standard" for side in (cfg.upload, cfg.registry)]
+    return linked_pairs(standard).withColumn("addr_similarity", jaro(*map(F.col, names))).drop(*names)
 
 
 def mismatched_pairs(link: Linkage, field: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterloom.config import MatchConfig, Side
 from rosterloom.operators.clean import clean_roster, prefix_columns
+from rosterloom.operators.compare import FIELDS, mismatched_pairs
 from rosterloom.operators.exceptions import one_sided_ids
 from rosterloom.operators.link import (
-    Linkage, duplicate_key_rows, duplicate_keys, link_rosters, many_to_many_keys, unmatched,
+    Linkage, duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, many_to_many_keys, unmatched,
 )
 from rosterloom.plans.summary import district_summary
 from rosterloom.sources.csv_folder import read_roster_folder
@@ -40,6 +41,8 @@ def batch_results(link: Linkage) -> dict[str, DataFrame]:
         "duplicate_keys_upload": duplicate_keys(link, cfg.upload),
         "duplicate_key_rows": duplicate_key_rows(link),
         "many_to_many_keys": many_to_many_keys(link),
+        "link_sizes": link_sizes(link),
+        **{f"{field}_mismatch_pairs": mismatched_pairs(link, field) for field in FIELDS},
     }
 
 

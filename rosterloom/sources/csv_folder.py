@@ -16,6 +16,10 @@ class ColumnCountMismatch(ValueError):
     """A file does not have the expected number of columns."""
 
 
+class EmptyInput(ValueError):
+    """There is no file to read."""
+
+
 def _reader(spark: SparkSession, schema: StructType, header: bool, multiline: bool, encoding: str):
     # escape: a quote within quotes is doubled. Names in the files are never used.
     return (spark.read.schema(schema).option("pathGlobFilter", "*.csv")
@@ -60,10 +64,17 @@ def check_widths(spark: SparkSession, folder: str, columns: tuple[str, ...] = RO
     """
     widths = file_widths(spark, folder, columns, multiline, encoding)
     wrong = widths.filter((F.col("header_fields") != len(columns)) | (F.col("widest") > len(columns)))
-    shown = [row.file for row in wrong.select("file").orderBy("file").limit(11).collect()]
+    shown = [row.file for row in wrong.select("file").orderBy("file").collect()]
     if shown:
-        more = " and others" if len(shown) > 10 else ""
-        raise ColumnCountMismatch(f"Column count mismatch in file: {', '.join(shown[:10])}{more}")
+        raise ColumnCountMismatch(f"Column count mismatch in file: {', '.join(shown)}")
+
+
+def check_files(spark: SparkSession, folder: str) -> None:
+    """Stop if the folder has no `.csv` file of any bytes. Reads names only; Spark does not show
+    files of no bytes among others."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    if files.isEmpty():
+        raise EmptyInput(f"No .csv file with content in folder: {folder}")
 
 
 def read_roster_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
@@ -75,6 +86,7 @@ def read_roster_folder(spark: SparkSession, folder: str, columns: tuple[str, ...
     the columns in `blank_as_null`, null. Line breaks within quotes need `multiline`, with
     which a file is read by one task; switch it off for large files without such breaks.
     """
+    check_files(spark, folder)
     if check:
         check_widths(spark, folder, columns, multiline, encoding)
     cells = _reader(spark, _text_schema(columns), True, multiline, encoding).csv(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import ROSTER_COLUMNS, MatchConfig
 from rosterloom.plans.batch import build_registry_snapshot, run_batch
-from rosterloom.sources.csv_folder import ColumnCountMismatch, file_widths, read_roster_folder
+from rosterloom.sources.csv_folder import ColumnCountMismatch, EmptyInput, file_widths, read_roster_folder
 from rosterloom.sources.tables import batch_path, read_enrollment, write_batch
 
 CFG = MatchConfig()
@@ -122,3 +122,13 @@ def test_whole_job_on_files(spark, tmp_path):
     assert "primero_parent_email" in left.columns
     assert spark.read.parquet(paths["unmatched_upload"]).count() == 1
     assert spark.read.parquet(paths["many_to_many_keys"]).count() == 0
+    assert spark.read.parquet(paths["link_sizes"]).count() == 2
+    assert spark.read.parquet(paths["parent_name_mismatch_pairs"]).count() == 0
+
+
+def test_nothing_to_read_is_an_error(spark, tmp_path):
+    with pytest.raises(EmptyInput, match="No .csv"):
+        read_roster_folder(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("")
+    with pytest.raises(EmptyInput, match="No .csv"):
+        read_roster_folder(spark, str(tmp_path), check=False)
