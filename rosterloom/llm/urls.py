@@ -25,6 +25,9 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Suffixes of two labels under which names are registered.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 LEVELS = ("suffix", "domain", "host")
+# A host with more than one of so many equal shares of the pages is spread over as many parts as
+# it has shares. Fewer hosts than shares can have more than one, so their list can be broadcast.
+SHARES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -122,7 +125,10 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).select(
         "*", domain.alias("domain"), suffix.alias("suffix"), rule.alias("rule"), says.alias("says"))
-    hosts = rows.select("host", "domain", "suffix").distinct()
+    hosts = kept_as(rows.groupBy("host", "domain", "suffix").agg(F.count("*").alias("pages")),
+                    work_folder(pages.sparkSession, "hosts"))
+    total = hosts.agg(F.sum("pages").alias("pages")).first()["pages"] or 0
+    parts = F.ceil(F.col("pages") * SHARES / F.lit(max(total, 1))).cast("bigint")
     for level in LEVELS:
         one = tables[level].select(level, *[F.col(c).alias(f"{level}_{c}") for c in ("n", "bad", "mean", "worth")])
         hosts = hosts.join(one, level, "left")
@@ -131,8 +137,11 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     k = strength(pulls["host"], F.coalesce("domain_worth", strength(pulls["domain"], of_suffix)))
     a = k * parent + F.coalesce("host_bad", F.lit(0))
     b = k * (1 - parent) + F.coalesce("host_n", F.lit(0)) - F.coalesce("host_bad", F.lit(0))
-    known = hosts.select("host", a.alias("a"), b.alias("b")).select(
-        "host", (F.expr("a / (a + b)") - F.lit(z) * F.sqrt(F.expr("a * b / ((a + b) * (a + b) * (a + b + 1))"))).alias("bound"))
-    judged = rows.join(known, "host")
+    known = hosts.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"),
+                         a.alias("a"), b.alias("b")).select(
+        "host", "part", (F.expr("a / (a + b)") - F.lit(z) * F.sqrt(F.expr("a * b / ((a + b) * (a + b) * (a + b + 1))"))).alias("bound"))
+    hot = hosts.select("host", parts.alias("parts")).filter("parts > 1")
+    spread = rows.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot), "host", "left")
+    judged = spread.withColumn("part", F.expr("pmod(row, coalesce(parts, 1))")).join(known, ["host", "part"])
     verdict = F.coalesce("says", F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bound")
