@@ -42,22 +42,20 @@ class ScaleLimits:
 
     listed_districts  up to so many districts of a batch are written into the filter
     broadcast_bytes   a set is broadcast only if its measured size is at most this
-    hot_share         a key is hot if it may hold at least this share of a side ...
-    slice_rows        ... and at least this many rows; its rows go to slices of about this size
+    slice_rows        a key with more rows than this on a side goes to slices of about this size
+    slice_pairs       of a key with more pairs than this, slices that meet have about so many at most
     pair_limit        keys with more pairs than this are counted without forming pairs
     """
 
     listed_districts: int = 1_000
     broadcast_bytes: int = 8 * 1024 * 1024
-    hot_share: float = 0.001
     slice_rows: int = 1_000_000
+    slice_pairs: int = 100_000_000
     pair_limit: int = 10_000
 
     def __post_init__(self):
-        if not 0.001 <= self.hot_share <= 1:
-            raise ValueError("hot_share must lie between 0.001 and 1")
-        if self.slice_rows < 1 or self.pair_limit < 1:
-            raise ValueError("slice_rows and pair_limit must be positive")
+        if min(self.slice_rows, self.slice_pairs, self.pair_limit) < 1:
+            raise ValueError("slice_rows, slice_pairs and pair_limit must be positive")
 
 
 # Prefix, label and count prefix of both sides, as results spell them.

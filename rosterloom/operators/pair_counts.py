@@ -26,7 +26,7 @@ from rosterloom.functions.jaro import jaro_where
 from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
-from rosterloom.operators.link import ID_KEY, KEY, NAME_KEY, Linkage, key_counts
+from rosterloom.operators.link import KEY, Linkage, key_counts
 from rosterloom.operators.skew import ROW, broadcast_if_small
 from rosterloom.workspace import work_folder
 
@@ -44,20 +44,9 @@ def eligibility_columns(cfg: MatchConfig) -> dict[str, tuple[str, str]]:
 
 
 def has_crowded_keys(link: Linkage) -> bool:
-    """Whether any key may stand for more than `pair_limit` pairs; one small job.
-
-    Counts the rows under either candidate key, by hash: that is never less than the rows
-    under the chosen key, and needs one shuffle of numbers only, pre-aggregated.
-    """
-    counts = []
-    for rows, n_p, n_s in zip(link.plain, (1, 0), (0, 1)):
-        by_name = F.when(F.col(NAME_KEY).isNotNull(), F.xxhash64(NAME_KEY))
-        keys = F.explode(F.array_compact(F.array(F.xxhash64(ID_KEY), by_name)))
-        counts.append(rows.select(keys.alias("key"), F.lit(n_p).alias("n_p"), F.lit(n_s).alias("n_s")))
-    per_key = counts[0].unionAll(counts[1]).groupBy("key").agg(
-        F.sum("n_p").cast("double").alias("n_p"), F.sum("n_s").alias("n_s"))
-    most = per_key.agg(F.max(F.col("n_p") * F.col("n_s")).alias("most")).first()["most"]
-    return most is not None and most > link.cfg.limits.pair_limit
+    """Whether any key may stand for more than `pair_limit` pairs, by the rows under either
+    candidate key: never less than those under the chosen one."""
+    return link.hot.most_pairs > link.cfg.limits.pair_limit
 
 
 def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bool = True) -> DataFrame:

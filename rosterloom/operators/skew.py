@@ -1,10 +1,10 @@
 """Joins that hold up when one key has a large share of the rows.
 
-Two tools. `broadcast_if_small` broadcasts a set only after measuring it. `HotKeys` finds
-the few keys that may hold a large share of a side (with a frequent-items sketch, one
-pass, no shuffle of the rows) and spreads the rows of just these keys over slices, the
-more rows the more slices. Keys are known by hash here: a collision merely spreads one
-key more.
+Two tools. `broadcast_if_small` broadcasts a set only after measuring it. `HotKeys` counts the
+rows of every key on both sides, exactly and pre-aggregated, and keeps a table of the keys that
+are too much for one task: by their rows on a side, or by the pairs they stand for. The rows of
+just these keys are spread over slices, the more of them the more slices. Keys are known by hash
+here: a collision merely spreads one key more.
 
 The slice of a row comes from its number, given where the roster is read, before any
 shuffle, so a task that is run again after an executor loss puts every row in the same
@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.config import ScaleLimits
+from rosterloom.workspace import work_folder
 
 ROW = "_row"
-
-# The sketch keeps 10,000 candidates; its error is then well below the smallest
-# hot_share allowed (0.001), and at most 1,000 keys can have that share.
-_SKETCH = "approx_top_k({column}, 1000, 10000)"
+_HASH = "_key_hash"
+# Bytes of one row of the table of hot keys, at most, once broadcast.
+_ENTRY = 64
 
 
 def broadcast_if_small(df: DataFrame, limits: ScaleLimits) -> DataFrame:
@@ -42,58 +42,79 @@ def with_row_numbers(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of keys that may be crowded, with the estimated rows of each, one dict per side."""
+    """The keys that are too much for one task: their hash and their rows on either side.
+
+    `sizes` is a stored table, None if there are no such keys; `small` says that it may be
+    broadcast. `most_pairs` is the pairs of the largest key, 0 if it is under all limits.
+    """
 
     limits: ScaleLimits
-    rows: tuple[dict[int, int], ...] = ()
+    sizes: DataFrame | None = None
+    small: bool = False
+    most_pairs: float = 0.0
 
     @staticmethod
     def find(sides: list[tuple[DataFrame, list[str]]], limits: ScaleLimits) -> "HotKeys":
-        """Look for crowded values in the named columns of each side.
+        """Count the rows under every value of the named columns, left side and right side.
 
-        Sides too small to have a hot key are only counted. What reaches the driver is at
-        most 1,000 hashes per column, by construction.
+        A row counts for each of its columns, so a key chosen among them is never larger
+        than its count here. One shuffle of numbers; the driver gets one row.
         """
-        sizes = [df.agg(F.count(F.lit(1)).alias("n")) for df, _ in sides]
-        if max(r.n for r in reduce(DataFrame.unionAll, sizes).collect()) < limits.slice_rows:
-            return HotKeys(limits, tuple({} for _ in sides))
-        sketches = []
-        for number, (df, columns) in enumerate(sides):
-            hashes = df.select(*[F.xxhash64(c).alias(c) for c in columns])
-            one = hashes.agg(
-                F.lit(number).alias("side"),
-                F.count(F.lit(1)).alias("n"),
-                F.array(*[F.expr(_SKETCH.format(column=c)) for c in columns]).alias("tops"),
-            )
-            sketches.append(one)
-        rows: list[dict[int, int]] = [{} for _ in sides]
-        for found in reduce(DataFrame.unionAll, sketches).collect():
-            least = max(limits.hot_share * found.n, limits.slice_rows)
-            for item in (item for top in found.tops for item in top):
-                if item["count"] >= least:
-                    known = rows[found.side]
-                    known[item["item"]] = known.get(item["item"], 0) + item["count"]
-        return HotKeys(limits, tuple(rows))
+        counts = []
+        for (df, columns), ones in zip(sides, ((1, 0), (0, 1))):
+            hashes = F.explode(F.array(*[F.xxhash64(c) for c in columns]))
+            counts.append(df.select(hashes.alias(_HASH), *[
+                F.lit(one).cast("bigint").alias(n) for n, one in zip("nm", ones)]))
+        # A null matches nothing: its rows have to be spread, but make no pairs.
+        is_null = F.col(_HASH) == F.xxhash64(F.lit(None).cast("string"))
+        pairs = F.when(is_null, F.lit(0.0)).otherwise(F.col("n").cast("double") * F.col("m"))
+        per_key = (reduce(DataFrame.unionAll, counts).groupBy(_HASH)
+                   .agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("pairs", pairs))
+        crowded = F.greatest("n", "m") > limits.slice_rows
+        spark, folder = sides[0][0].sparkSession, work_folder(sides[0][0].sparkSession, "key-sizes")
+        per_key.filter(crowded | (F.col("pairs") > min(limits.slice_pairs, limits.pair_limit))).write.parquet(folder)
+        large = spark.read.schema(per_key.schema).parquet(folder)
+        sliced = crowded | (F.col("pairs") > limits.slice_pairs)
+        found = large.agg(F.count_if(sliced).alias("keys"), F.max("pairs").alias("most")).first()
+        return HotKeys(limits, large.filter(sliced) if found["keys"] else None,
+                       found["keys"] * _ENTRY <= limits.broadcast_bytes, found["most"] or 0.0)
 
     def __bool__(self) -> bool:
-        return any(self.rows)
-
-    def _slices(self, key: Column, rows: dict[int, int]) -> Column:
-        """Number of slices of a key: a power of two, 1 for keys that are not hot."""
-        levels: dict[int, list[int]] = {}
-        for known, n in rows.items():
-            wanted = -(-n // self.limits.slice_rows)
-            levels.setdefault(max(2, 1 << (wanted - 1).bit_length()), []).append(known)
-        out = F.lit(1)
-        for slices, known in sorted(levels.items()):
-            out = F.when(F.xxhash64(key).isin(known), F.lit(slices)).otherwise(out)
-        return out
+        return self.sizes is not None
+
+    def _slices(self) -> Column:
+        """Slices that keep the rows of a key on either side within the limit."""
+        return F.ceil(F.greatest("n", "m") / F.lit(self.limits.slice_rows))
+
+    def _grid(self) -> tuple[Column, Column]:
+        """Slices of the left and of the right side, such that no two slices that meet stand for
+        more pairs than the limit. Cells are square unless one side is short as it is."""
+        most = self.limits.slice_pairs
+        edge, cells = F.lit(most ** 0.5), F.ceil(F.col("pairs") / F.lit(most))
+        out = []
+        for mine, other in (("n", "m"), ("m", "n")):
+            cut = (F.when((F.col("pairs") <= most) | (F.col(mine) <= edge), F.lit(1))
+                   .when(F.col(other) <= edge, cells).otherwise(F.ceil(F.col(mine) / edge)))
+            out.append(F.greatest(cut, F.ceil(F.col(mine) / F.lit(self.limits.slice_rows)), F.lit(1)))
+        return out[0], out[1]
+
+    def _sized(self, df: DataFrame, key: Column, **slices: Column) -> DataFrame:
+        """`df` with the named numbers of slices of its keys, 1 for keys that are not hot.
+
+        A table too large to broadcast is joined by a shuffle, in which adaptive execution
+        splits the crowded partitions of `df`.
+        """
+        sizes = self.sizes.select(_HASH, *[c.cast("bigint").alias(name) for name, c in slices.items()])
+        out = df.withColumn(_HASH, F.xxhash64(key)).join(F.broadcast(sizes) if self.small else sizes, _HASH, "left")
+        return out.withColumns({name: F.coalesce(name, F.lit(1).cast("bigint")) for name in slices}).drop(_HASH)
 
-    def _own_slice(self, key: Column, rows: dict[int, int]) -> Column:
-        return F.pmod(F.col(ROW), self._slices(key, rows)).cast("int")
+    @staticmethod
+    def _own(slices: str) -> Column:
+        return F.pmod(F.xxhash64(ROW), F.col(slices))
 
-    def _every_slice(self, key: Column, rows: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), self._slices(key, rows) - 1))
+    @staticmethod
+    def _every(slices: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(slices) - 1))
 
     def join_lookup(self, rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
                     key: Column | None = None) -> DataFrame:
@@ -105,22 +126,23 @@ class HotKeys:
         if not self:
             return rows.join(lookup, on, how)
         key = F.col(on[0]) if key is None else key
-        most = {k: max(side.get(k, 0) for side in self.rows) for k in set().union(*self.rows)}
-        spread = rows.withColumn("_at", self._own_slice(key, most))
-        copies = lookup.withColumn("_at", self._every_slice(key, most))
+        spread, copies = (self._sized(df, key, _slices=self._slices()) for df in (rows, lookup))
+        spread = spread.withColumn("_at", self._own("_slices")).drop("_slices")
+        copies = copies.withColumn("_at", self._every("_slices")).drop("_slices")
         return spread.join(copies, [*on, "_at"], how).drop("_at")
 
     def join_pairs(self, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
         """Many-to-many inner join.
 
-        Each side of a hot key is sliced by its own size and repeated for the slices of the
-        other: every pair of slices meets in one place, and no task sees a whole side.
+        Both sides of a hot key are sliced, by their rows and by their pairs, and repeated for
+        the slices of the other: every two slices meet in one place, and no two stand for more
+        pairs than the limit.
         """
         if not self:
             return left.join(right, on, "inner")
-        key, (on_left, on_right) = F.col(on), self.rows
-        left = (left.withColumn("_left", self._own_slice(key, on_left))
-                .withColumn("_right", self._every_slice(key, on_right)).drop(ROW))
-        right = (right.withColumn("_right", self._own_slice(key, on_right))
-                 .withColumn("_left", self._every_slice(key, on_left)).drop(ROW))
+        of_left, of_right = self._grid()
+        left, right = (self._sized(df, F.col(on), _lefts=of_left, _rights=of_right) for df in (left, right))
+        left = left.withColumn("_left", self._own("_lefts")).withColumn("_right", self._every("_rights"))
+        right = right.withColumn("_right", self._own("_rights")).withColumn("_left", self._every("_lefts"))
+        left, right = (df.drop(ROW, "_lefts", "_rights") for df in (left, right))
         return left.join(right, [on, "_left", "_right"], "inner").drop("_left", "_right")

@@ -28,7 +28,7 @@ CFG = MatchConfig()
 # For the crowded rosters: limits low enough for the small tables to take the plans for
 # hot keys, crowded keys and long district lists.
 CROWDED = replace(CFG, limits=ScaleLimits(
-    listed_districts=1, broadcast_bytes=1, hot_share=0.005, slice_rows=5, pair_limit=100))
+    listed_districts=1, broadcast_bytes=1, slice_rows=5, slice_pairs=50, pair_limit=100))
 NAMED_ONLY = replace(CFG, match_missing_names=False)
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -12,8 +12,8 @@ DEFAULTS = {"aun9_3": "1", "student_first_name": "ann", "student_last_name": "as
             "parent_last_name": "ash"}
 
 # Low limits: small rosters then take the plans for hot and crowded keys.
-TIGHT = ScaleLimits(listed_districts=1, broadcast_bytes=1, hot_share=0.01, slice_rows=8,
-                    pair_limit=4)
+TIGHT = ScaleLimits(listed_districts=1, broadcast_bytes=1, slice_rows=8,
+                    slice_pairs=20, pair_limit=4)
 
 
 def roster(spark, rows):

@@ -175,7 +175,7 @@ def test_empty_rosters(spark):
         assert [(r.AUN, r.p_total, r.s_total) for r in district_summary(found).collect()] == [("1", 0, 1)]
 
 
-@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(slice_rows=8, hot_share=0.01)])
+@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(slice_rows=8)])
 def test_stored_linkage(spark, tmp_path, limits):
     registry, upload = random_rosters(4)
     found = link(spark, registry, upload, replace(CFG, limits=limits))

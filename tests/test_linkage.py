@@ -13,7 +13,7 @@ from rosterloom.operators.exceptions import one_sided_ids
 from rosterloom.operators.link import (
     duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, linked_pairs, many_to_many_keys, unmatched,
 )
-from rosterloom.operators.skew import HotKeys, broadcast_if_small
+from rosterloom.operators.skew import HotKeys, broadcast_if_small, with_row_numbers
 
 CFG = MatchConfig()
 TIGHT_CFG = replace(CFG, limits=TIGHT)
@@ -169,20 +169,37 @@ def test_slicing_changes_nothing(spark, seed):
 def test_hot_keys_are_spread(spark):
     registry, upload = random_rosters(5, 300)
     found = link(spark, registry, upload, TIGHT_CFG)
-    spread = found.hot._own_slice(F.col("join_key"), found.hot.rows[0])
-    rows = found.registry.withColumn("at", spread).groupBy("join_key").agg(
+    sized = found.hot._sized(found.registry, F.col("join_key"), _slices=found.hot._slices())
+    rows = sized.withColumn("at", found.hot._own("_slices")).groupBy("join_key").agg(
         F.count("*").alias("n"), F.count_distinct("at").alias("slices")).collect()
     crowd = next(r for r in rows if r.join_key == "1_placeholder")
-    assert crowd.n > 90 and crowd.slices == 16  # 12 slices of 8 rows or so, to a power of two
-
-
-def test_slices_grow_with_the_rows(spark):
-    hot = HotKeys(ScaleLimits(slice_rows=10), ({}, {}))
-    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
-    hashes = [r[0] for r in df.select(F.xxhash64("k")).collect()]
-    slices = hot._slices(F.col("k"), {hashes[0]: 10, hashes[1]: 41})
-    assert [r[0] for r in df.select(slices).collect()] == [2, 8, 1, 1]
-    assert not hot and HotKeys(ScaleLimits(), ({}, {5: 1}))
+    assert crowd.n > 90 and crowd.slices >= crowd.n // 8
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("n, m", [(95, 95), (1, 99), (99, 2), (40, 30)])
+def test_no_two_slices_stand_for_many_pairs(spark, n, m, small):
+    """Sides just under the limit of rows are sliced by their pairs, and no pair is lost."""
+    limits = ScaleLimits(slice_rows=100, slice_pairs=50, broadcast_bytes=10_000 if small else 1)
+    left, right = (with_row_numbers(spark.range(size).selectExpr("'k' AS k", f"id AS {name}"))
+                   for name, size in (("a", n), ("b", m)))
+    hot = HotKeys.find([(left, ["k"]), (right, ["k"])], limits)
+    assert hot and hot.small == small and hot.most_pairs == n * m
+    joined = hot.join_pairs(left, right, "k")
+    assert joined.count() == joined.distinct().count() == n * m
+    sizes = hot.sizes.select(*[c.alias(x) for x, c in zip("xy", hot._grid())], "n", "m").first()
+    assert (sizes.n / sizes.x) * (sizes.m / sizes.y) <= 50
+
+
+def test_keys_under_all_limits_are_not_hot(spark):
+    rows = with_row_numbers(spark.createDataFrame([("a",), ("a",), (None,)], "k string"))
+    hot = HotKeys.find([(rows, ["k"]), (rows, ["k"])], ScaleLimits(slice_rows=2, slice_pairs=4, pair_limit=4))
+    assert not hot and hot.most_pairs == 0
+    nulls = with_row_numbers(spark.createDataFrame([(None,)] * 9, "k string"))
+    hot = HotKeys.find([(nulls, ["k"]), (nulls, ["k"])], ScaleLimits(slice_rows=2, slice_pairs=4, pair_limit=4))
+    assert hot and hot.most_pairs == 0
+    assert hot.join_lookup(nulls, rows.select("k").distinct(), ["k"], "left_anti").count() == 9
+    assert hot.join_pairs(nulls, nulls, "k").count() == 0
 
 
 def test_broadcast_only_after_measuring(spark):
@@ -193,6 +210,6 @@ def test_broadcast_only_after_measuring(spark):
 
 def test_limits_are_checked():
     with pytest.raises(ValueError):
-        ScaleLimits(hot_share=0.0001)
+        ScaleLimits(slice_pairs=0)
     with pytest.raises(ValueError):
         MatchConfig(address_threshold=0.5)
