@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterloom.config import ROSTER_COLUMNS
+
 BASE = {
     "k": "o_orderkey",
     "nk": "c_nationkey",
@@ -94,6 +96,17 @@ RAW_UPLOAD = {
     "county": "concat('County ', CAST(nk % 6 AS STRING))",
 }
 
+# Uploads as files hold them, all 25 columns: separators, quotes and line breaks in cells, leading
+# zeros, letters outside ASCII, the missing marker, blanks.
+FILE_UPLOAD = {c: "CAST(NULL AS STRING)" for c in ROSTER_COLUMNS} | {
+    c.removeprefix("sebt_"): recipe for c, recipe in UPLOAD.items()} | {
+    "school_name": "concat('School \"', CAST(k%5 AS STRING), '\", ', st)",
+    "student_middle_name": "CASE WHEN k%4=0 THEN 'NA' ELSE 'Lee' END",
+    "student_address2": "CASE WHEN k%9=0 THEN concat('Floor 2', chr(10), 'rear') ELSE '' END",
+    "student_apt_no": "lpad(CAST(k%30 AS STRING),3,'0')",
+    "student_city": "CASE WHEN k%6=0 THEN 'Ærø' ELSE 'Saint-Rémy' END",
+}
+
 # The official table: one row per district but one, totals counted from all customers.
 OFFICIAL = {
     "AUN": "lpad(CAST(100000000 + c_nationkey*1013 AS STRING),9,'0')",
@@ -138,6 +151,10 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roster(base(spark, sf_dir), UPLOAD_ROWS, RAW_UPLOAD)
 
 
+def file_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roster(base(spark, sf_dir), UPLOAD_ROWS, FILE_UPLOAD)
+
+
 def official_enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     counted = customer.filter("c_nationkey <> 20").groupBy("c_nationkey").count()
@@ -160,4 +177,5 @@ base AS (SELECT {", ".join(_aliased(BASE))} FROM orders JOIN customer ON o_custk
 registry_raw AS ({table(registry, REGISTRY_ROWS)}),
 upload_raw AS ({table(upload, UPLOAD_ROWS)}),
 upload_file AS ({table(RAW_UPLOAD, UPLOAD_ROWS)}),
+upload_cells AS ({table(FILE_UPLOAD, UPLOAD_ROWS)}),
 official AS (SELECT {official} FROM customer WHERE c_nationkey <> 20 GROUP BY c_nationkey)"""

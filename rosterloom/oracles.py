@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from rosterloom.config import KEY_COLUMNS
-from rosterloom.fixtures import REGISTRY, UPLOAD, roster_ctes
-from rosterloom.functions.text import ADDRESS_WORDS
+from rosterloom.fixtures import FILE_UPLOAD, REGISTRY, UPLOAD, roster_ctes
+
+# Fixed values, spelt out here too, so that a slip in the library shows.
+KEY_COLUMNS = ("aun9_3", "pasecureid", "student_dob", "student_last_name", "student_first_name",
+               "parent_first_name", "parent_last_name")
+ADDRESS_WORDS = (("street", "st"), ("avenue", "ave"), ("drive", "dr"), ("road", "rd"), ("lane", "ln"),
+                 ("court", "ct"), ("place", "pl"), ("boulevard", "blvd"))
 
 _P, _S = list(REGISTRY), list(UPLOAD)
 
@@ -202,6 +206,25 @@ ON p.join_key = s.join_key""",
 }
 
 
+def _cells(city: str = "student_city", prefix: str = "") -> str:
+    """The cells of the uploaded files as they should be read."""
+    special = {"student_city": city}
+    return ", ".join(f"nullif({special.get(c, c)}, 'NA') AS {prefix}{c}" for c in FILE_UPLOAD)
+
+
+_FILE = [f"sebt_{c}" for c in FILE_UPLOAD]
+_BLANK_AS_NULL = "* REPLACE (nullif(student_address2, '') AS student_address2)"
+_TAILS |= {
+    "csv_roster": f"SELECT * FROM (SELECT {_cleaned(_FILE, 'sebt')} FROM (SELECT {_cells(prefix='sebt_')} "
+                  "FROM upload_cells)) WHERE sebt_aun9_3 <> '' AND sebt_pasecureid <> ''",
+    "csv_cells_latin1": f"SELECT {_BLANK_AS_NULL} FROM (SELECT {_cells()} FROM upload_cells)",
+    "csv_cells_bad_bytes": f"SELECT {_BLANK_AS_NULL} FROM (SELECT "
+                           + _cells("regexp_replace(student_city, '[Æøé]', chr(65533), 'g')") + " FROM upload_cells)",
+    "written_summary": f"SELECT s.*, b.batch FROM ({_SUMMARY}) s, (VALUES ('batch1'), ('batch2')) b(batch)",
+    "enrollment_from_csv": _TAILS["enrollment_check"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _common() + tail for name, tail in _TAILS.items()}
     for name in CROWDED:

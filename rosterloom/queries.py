@@ -19,8 +19,10 @@ from rosterloom.operators.link import (
     linked_distinct_pairs, linked_pairs, many_to_many_keys, unmatched,
 )
 from rosterloom.plans import summary
+from rosterloom.plans.batch import prepare
 from rosterloom.plans.enrollment import district_count, enrollment_check
-from rosterloom.sources.tables import load_snapshot, save_snapshot
+from rosterloom.sources.csv_folder import read_roster_folder
+from rosterloom.sources.tables import load_snapshot, read_enrollment, save_snapshot, write_batch
 from rosterloom.workspace import work_folder
 
 CFG = MatchConfig()
@@ -150,6 +152,40 @@ def _enrollment(spark, sf_dir):
     return enrollment_check(fixtures.raw_upload(spark, sf_dir), fixtures.official_enrollment(spark, sf_dir))
 
 
+def _csv_files(df: DataFrame, encoding: str = "UTF-8") -> str:
+    """`df` as a folder of CSV files whose headers do not name the columns."""
+    folder = work_folder(df.sparkSession, "csv")
+    (df.toDF(*[f"column {i}" for i in range(len(df.columns))]).write
+     .options(header=True, escape='"', nullValue="NA", emptyValue="", encoding=encoding,
+              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder))
+    return folder
+
+
+def _csv_roster(spark, sf_dir):
+    return prepare(read_roster_folder(spark, _csv_files(fixtures.file_upload(spark, sf_dir))), CFG.upload)
+
+
+def _csv_cells(read_as: str) -> Query:
+    def query(spark, sf_dir):
+        folder = _csv_files(fixtures.file_upload(spark, sf_dir), "ISO-8859-1")
+        return read_roster_folder(spark, folder, encoding=read_as, blank_as_null=("student_address2",))
+    return query
+
+
+def _written_summary(spark, sf_dir):
+    folder = work_folder(spark, "written")
+    result = summary.district_summary(linked(spark, sf_dir))
+    for batch in ("batch1", "batch2", "batch1"):
+        write_batch(result, folder, batch)
+    return spark.read.parquet(folder)
+
+
+def _enrollment_from_csv(spark, sf_dir):
+    folder = work_folder(spark, "official")
+    fixtures.official_enrollment(spark, sf_dir).write.option("header", True).csv(folder)
+    return enrollment_check(fixtures.raw_upload(spark, sf_dir), read_enrollment(spark, folder, "csv"))
+
+
 QUERIES: dict[str, Query] = {
     "clean_rosters": _clean,
     "batch_semi_join": _semi_join(),
@@ -191,4 +227,9 @@ QUERIES: dict[str, Query] = {
     "district_summary_crowded": _over_link(summary.district_summary, cfg=CROWDED),
     "district_count": _district_count,
     "enrollment_check": _enrollment,
+    "enrollment_from_csv": _enrollment_from_csv,
+    "csv_roster": _csv_roster,
+    "csv_cells_latin1": _csv_cells("ISO-8859-1"),
+    "csv_cells_bad_bytes": _csv_cells("UTF-8"),
+    "written_summary": _written_summary,
 }
