@@ -42,7 +42,8 @@ from rosterloom.workspace import work_folder
 PLACE_BITS = 18
 TABLE_BITS = 16
 SLICE = 256
-COLUMNS = 2048
+COLUMNS = 512
+LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -219,36 +220,51 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _columns(sets: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
+    """Row, column and weight of every shingle that two texts or more have, by column, and the
+    texts' sizes, in shingles and in weights. A shingle that occurs c times is c columns."""
+    codes, places, sizes = [], [], np.zeros((2, len(sets)))
+    for i, (h, c) in enumerate(sets):
+        sizes[:, i] = c.sum(), (c * weights[place_of(h)].astype(np.float64)).sum()
+        level = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        codes.append(np.repeat(h, c) + level.astype(np.uint64) * LEVEL)
+        places.append(np.repeat(place_of(h).astype(np.int32), c))
+    lengths = [len(x) for x in codes]
+    codes, places = np.concatenate(codes), np.concatenate(places)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    fresh = np.append(True, codes[1:] != codes[:-1])[:len(codes)]
+    shared = ~(fresh & np.append(fresh[1:], True)[:len(codes)])
+    del codes
+    order = order[shared]
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[order]
+    return rows, np.cumsum(fresh[shared], dtype=np.int32) - 1, weights[places[order]], sizes
+
+
 def similar(sets: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, least: float) -> np.ndarray:
     """Which of these texts (hashes, counts) are similar enough, as a matrix.
 
-    A shingle that occurs c times is c columns of a 0/1 matrix, so what two texts share is a
-    product of rows; columns with a single text count for the sizes alone.
+    What two texts share is a product of their rows of a 0/1 matrix, formed some columns and some
+    rows at a time; columns with a single text count for the sizes alone.
     """
     n = len(sets)
-    row = np.repeat(np.arange(n), [len(h) for h, _ in sets])
-    h, c = np.concatenate([h for h, _ in sets]), np.concatenate([c for _, c in sets])
-    row, h, level = np.repeat(row, c), np.repeat(h, c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    value = weights[place_of(h)].astype(np.float64)
-    _, column, often = np.unique(h + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15),
-                                 return_inverse=True, return_counts=True)
-    some = often[column] > 1
-    order = np.argsort(column[some], kind="stable")
-    spots, rows, values = column[some][order], row[some][order], value[some][order]
-    spots = np.cumsum(np.diff(spots, prepend=-1) > 0) - 1
-    shared = [np.zeros((n, n)), np.zeros((n, n))]
-    for first in range(0, int(spots[-1]) + 1 if len(spots) else 0, COLUMNS):
-        a, b = np.searchsorted(spots, [first, first + COLUMNS])
-        x = np.zeros((n, int(spots[b - 1]) - first + 1))
-        x[rows[a:b], spots[a:b] - first] = 1
+    rows, columns, values, sizes = _columns(sets, weights)
+    shared = np.zeros((2, n, n))
+    for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        a, b = np.searchsorted(columns, [first, first + COLUMNS])
+        x = np.zeros((n, int(columns[b - 1]) - first + 1))
+        x[rows[a:b], columns[a:b] - first] = 1
         per_column = np.zeros(x.shape[1])
-        per_column[spots[a:b] - first] = values[a:b]
-        shared[0] += x @ x.T
-        shared[1] += (x * per_column) @ x.T
+        per_column[columns[a:b] - first] = values[a:b]
+        for i in range(0, n, SLICE):
+            part = x[i:i + SLICE]
+            shared[0, i:i + SLICE] += part @ x.T
+            shared[1, i:i + SLICE] += (part * per_column) @ x.T
     out = np.zeros((n, n), bool)
-    for part, worth in zip(shared, (np.ones(len(h)), value)):
-        size = np.bincount(row, weights=worth, minlength=n)
-        out |= part >= least * (size[:, None] + size[None, :] - part) - 1e-9
+    for part, size in zip(shared, sizes):
+        for i in range(0, n, SLICE):
+            cells = part[i:i + SLICE]
+            out[i:i + SLICE] |= cells >= least * (size[i:i + SLICE, None] + size - cells) - 1e-9
     np.fill_diagonal(out, False)
     return out
 
@@ -285,9 +301,9 @@ def linked_in_bands(placed: DataFrame, found: DataFrame, weights, how: Near) ->
     def run(table: pa.Table) -> pa.Table:
         keys, edges = table["key"].to_pylist(), []
         if len(set(table["group"].to_pylist())) > 1:
-            near = similar([(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for h, c in zip(
-                table["hashes"].to_pylist(), table["counts"].to_pylist())], weights.value, how.similarity)
-            edges = forest(near)
+            sets = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)) for h, c in zip(
+                table["hashes"].to_pylist(), table["counts"].to_pylist())]
+            edges = forest(similar(sets, weights.value, how.similarity))
         return pa.table({"a": pa.array([keys[a] for a, _ in edges], pa.string()),
                          "b": pa.array([keys[b] for _, b in edges], pa.string())})
 
