@@ -4,9 +4,11 @@ Vectors are turned by a random rotation and cut into blocks; each block has its
 codewords, and every choice of one codeword per block is a filter direction. A vector is in all
 filters whose direction it is close to (its inner product exceeds a quantile). These are listed by
 list decoding: block after block, leaving choices that cannot exceed it any more. There are
-several such codes, each with its own rotation, since one alone may serve a vector badly. Vectors
-of a cosine of 0.95 share about two thirds of their filters, others next to none. Vectors are
-joined on filters, and every pair within one is verified by its cosine in double precision.
+several such codes, each with its own rotation, since one alone may serve a vector badly. How often a
+pair of the least cosine shares no filter of a code is measured for the number and length of the
+vectors, and there are so many codes that it shares none of all with a chance of at most `miss`,
+whatever the number. Vectors are joined on filters, and every pair within one is verified by its
+cosine in double precision.
 
 Filters grow in number with the vectors, so that one holds about `load` of vectors that are not
 alike, and each vector is in about `lists` of each code. A filter with more than `tile` vectors is cut into
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,17 @@ from rosterloom.llm.tables import kept_as, small_batches
 from rosterloom.workspace import work_folder
 
 
+TURN, LENGTH = 34, 44  # the bits of a filter's number at which its rotation and its length begin
+PAIRS = 500
+MOST_TURNS = 64
+
+
 @dataclass(frozen=True)
 class Caps:
     cosine: float = 0.95
     load: int = 128
-    rotations: int = 8
+    rotations: int = 8  # at least
+    miss: float = 1e-5
     lists: int = 6
     tile: int = 2048
     seed: int = 5
@@ -96,6 +105,51 @@ def cap_bound(length: int, share: float) -> float:
     return float(t[np.searchsorted(area, (1 - share) * area[-1])])
 
 
+def least_pairs(length: int, count: int, how: Caps, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors whose cosine is the least that counts."""
+    x, y = np.random.default_rng([how.seed, length, seed]).normal(size=(2, count, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, how.cosine * x + math.sqrt(1 - how.cosine ** 2) * y
+
+
+def apart(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], count: int) -> int:
+    """Of so many pairs, given by the (vector, filter) of their sides: those that share no filter."""
+    rows, found = (np.concatenate(x) for x in zip(first, second))
+    side = np.repeat([0, 1], [len(first[0]), len(second[0])])
+    order = np.lexsort((side, found, rows))
+    rows, found = rows[order], found[order]
+    both = (rows[1:] == rows[:-1]) & (found[1:] == found[:-1])
+    return count - len(np.unique(rows[1:][both]))
+
+
+@lru_cache(maxsize=1 << 16)
+def planned(length: int, n: int, how: Caps) -> tuple[int, int]:
+    """The number of vectors to make codes for, and the number of codes.
+
+    Rotations are independent, so a pair is missed by all with the chance of one to the power of
+    their number. That of one is taken three standard errors above what is measured. Where filters
+    are so narrow that it takes too many codes (few dimensions), they are made wider.
+    """
+    if length < 4:
+        n = min(n, 10_000)  # few directions differ; more filters are copies
+    if length == 1:
+        return n, how.rotations  # one sign, the same filters
+    x, y = least_pairs(length, PAIRS, how)
+    trials = PAIRS * how.rotations
+    while True:
+        codes = (Code.of(length, n, turn, how) for turn in range(how.rotations))
+        one = sum(apart(code.filters(x), code.filters(y), PAIRS) for code in codes) / trials
+        one += 3 * math.sqrt(max(one * (1 - one), 1 / trials) / trials)
+        turns = math.ceil(math.log(how.miss) / math.log(one)) if one < 1 else MOST_TURNS + 1
+        if turns <= MOST_TURNS:
+            return n, max(how.rotations, turns)
+        if n <= how.load:
+            raise ValueError(f"no filters that find pairs at a cosine of {how.cosine}")
+        n //= 4
+
+
 class Codes:
     """All codes that a task has needed."""
 
@@ -106,12 +160,13 @@ class Codes:
         """(vector, filter) for vectors of one length, ordered by vector."""
         length = unit.shape[1]
         if length not in self.known:
-            self.known[length] = [Code.of(length, self.n, turn, self.how) for turn in range(self.how.rotations)]
+            n, turns = planned(length, self.n, self.how)
+            self.known[length] = [Code.of(length, n, turn, self.how) for turn in range(turns)]
         rows, found = [], []
         for turn, code in enumerate(self.known[length]):
             row, filter_ = code.filters(unit)
             rows.append(row)
-            found.append(filter_ + (turn << 40) + (length << 44))
+            found.append(filter_ + (turn << TURN) + (length << LENGTH))
         row, filter_ = np.concatenate(rows), np.concatenate(found)
         order = np.argsort(row, kind="stable")
         return row[order], filter_[order]

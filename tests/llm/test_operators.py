@@ -241,6 +241,17 @@ def test_vectors(spark, how):
     assert caps.link_vectors(df.limit(0), how).count() == 0
 
 
+@pytest.mark.parametrize("length, n", [(64, 2_000_000), (64, 10 ** 7), (64, 10 ** 8), (8, 10 ** 7), (2, 10 ** 8)])
+def test_least_pairs_share_a_filter_at_every_size(length, n):
+    how, count = caps.Caps(), 2000
+    x, y = caps.least_pairs(length, count, how, seed=1)
+    assert np.allclose((x * y).sum(axis=1), how.cosine)
+    codes = caps.Codes(n, how)
+    first, second = codes.filters(x), codes.filters(y)
+    assert caps.apart(first, second, count) <= 1  # 2,000 times a chance of 1e-5 is 0.02
+    assert set(np.unique(first[1] >> caps.LENGTH)) == {length}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100), (91, 91), (60, 50), (70, 60), (50, 45)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
