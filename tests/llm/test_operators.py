@@ -312,6 +312,72 @@ def test_near_duplicates(spark, copies):
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def plain_weights(rows, span=near_duplicates.Near().idf_range):
+    """The weight of every shingle, document frequencies counted over rows by the places of its hash."""
+    sets = [plain_shingles(text) for _, text in rows]
+    every = sorted(set().union(*sets))
+    hashes = [h[0] for h, _ in shingles.shingles(pa.array([" ".join(x) for x in every], pa.string()))]
+    places = dict(zip(every, (int(h) >> (64 - near_duplicates.PLACE_BITS) for h in hashes)))
+    counts, n = Counter(places[x] for found in sets for x in found), sum(map(bool, sets))
+    return {x: 1 + span * math.log((1 + n) / (1 + min(counts[places[x]], n))) / math.log(1 + n) for x in every}
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return Counter(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_weighted(rows):
+    """Per row its class, as the number of the class's first row: links by either similarity."""
+    weights, sets = plain_weights(rows), [plain_shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            near = (rows[a][1] or "") == (rows[b][1] or "")
+            if not near and not x.keys().isdisjoint(y):
+                both, either = x & y, x | y
+                weighted = [sum(c * weights[k] for k, c in z.items()) for z in (both, either)]
+                near = both.total() >= 0.8 * either.total() or weighted[0] >= 0.8 * weighted[1]
+            if near:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(rows))]
+
+
+def class_ids(rows, roots):
+    ids = defaultdict(list)
+    for (doc_id, _), root in zip(rows, roots):
+        ids[root].append(doc_id)
+    return [min((x for x in ids[root] if x is not None), default=None) for root in roots]
+
+
+@pytest.fixture(scope="module")
+def weighted_copies(copies):
+    """And pairs that only the weights link: they share rare shingles and end in frequent ones."""
+    rng = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    ends, texts = [words(12), words(12)], []
+    texts += [f"{words(60)} {ends[i % 2]}" for i in range(80)]
+    for _ in range(4):
+        start = words(97)
+        texts += [f"{start} {end}" for end in ends]
+    return copies + [(1000 + i, t) for i, t in enumerate(texts)]
+
+
+def test_near_duplicates_by_weights(spark, weighted_copies):
+    rows = weighted_copies
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter(zip((i for i, _ in rows), class_ids(rows, brute_weighted(rows))))
+    assert (brute_classes(rows) - want).total() == 4  # the second of each pair is alone by plain counts
+    got = near_duplicates.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_similar_is_weighted_jaccard():
     rng = np.random.default_rng(4)
     weights = rng.uniform(1, 2, 1 << near_duplicates.PLACE_BITS).astype(np.float32)
