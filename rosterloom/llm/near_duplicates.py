@@ -19,8 +19,9 @@ components, and pairs are never rows but for those with the one.
 
 Defined results: equal texts are one class from the start, and are compared once. Texts without words (null,
 empty) are near-duplicates of nothing but equal texts are one class all the same, null counting as
-empty. Null ids are in classes like others; the class id is the smallest id that is not null.
-Repeated rows with one id and one text stay together. An empty table gives no rows. Columns with
+empty. Null ids are in classes like others; the class id is the smallest id that is not null, or null
+if there is none. Repeated rows with one id and one text are in one class. Of each class one row is
+kept: one with the class id (a null one if that is null), whichever of repeated rows. An empty table gives no rows. Columns with
 clashing names are left alone.
 """
 
@@ -352,11 +353,15 @@ def text_classes(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFr
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """doc_id, component_id (the smallest id of the class) and kept (it is that one), per row."""
+    """doc_id, component_id (the smallest id of the class) and kept, per row; one row of each class is kept."""
     members, classes = text_classes(docs.select("doc_id", "text"), how)
-    kept = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("stands")), F.lit(False))
-    return members.join(classes, "key").select(
-        "doc_id", F.col("class_id").alias("component_id"), (kept | F.col("class_id").isNull()).alias("kept"))
+    stands = (F.col("key") == F.col("stands")) & same(F.col("doc_id"), F.col("class_id"))
+    placed = kept_as(members.join(classes, "key").select("doc_id", "key", "class_id", stands.alias("first"))
+                     .withColumn("row", F.monotonically_increasing_id()), work_folder(docs.sparkSession, "near-duplicates"))
+    # Several rows that could stand for a class are equal here: any one of them.
+    chosen = placed.filter("first").groupBy("key").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
+    return placed.join(chosen, "row", "left").select(
+        "doc_id", F.col("class_id").alias("component_id"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:

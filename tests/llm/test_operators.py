@@ -378,6 +378,21 @@ def test_near_duplicates_by_weights(spark, weighted_copies):
     assert Counter((r.doc_id, r.component_id) for r in got) == want
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    a, b, c = words(60), words(60), words(60)
+    rows = [(None, a)] * 3 + [(None, f"{a} more")] * 2 + [(3, b)] * 3 + [(None, b), (4, b), (3, f"{b} more")]
+    rows += [(None, None), (None, ""), (6, c), (None, words(60))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = near_duplicates.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(
+        {(None, None): 8, (3, 3): 4, (None, 3): 1, (4, 3): 1, (6, 6): 1})
+    kept = Counter(r.doc_id for r in got if r.kept)
+    assert kept == {None: 3, 3: 1, 6: 1}
+    assert kept == Counter(r.doc_id for r in near_duplicates.without_near_duplicates(df).collect())
+
+
 def test_similar_is_weighted_jaccard():
     rng = np.random.default_rng(4)
     weights = rng.uniform(1, 2, 1 << near_duplicates.PLACE_BITS).astype(np.float32)
