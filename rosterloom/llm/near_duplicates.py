@@ -367,11 +367,11 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """One row of each class, with all its columns: that with the smallest id."""
     members, classes = text_classes(docs.select("doc_id", "text"), how)
-    key, chosen, rank = (unused(c, docs) for c in ("key", "chosen", "rank"))
+    key, chosen, rank, row = (unused(c, docs) for c in ("key", "chosen", "rank", "row"))
     stand = classes.filter(F.col("key") == F.col("stands")).select(
         F.col("key").alias(key), F.col("class_id").alias(chosen))
-    rows = docs.withColumn(key, text_key(F.col("text")))
+    rows = docs.withColumns({key: text_key(F.col("text")), row: F.monotonically_increasing_id()})
     kept = rows.join(stand, [key]).filter(same(F.col("doc_id"), F.col(chosen)))
-    # Rows with the same text and id are equal but for other columns: one of them stays.
-    first = kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))))
+    # Rows with the same text and id are equal but for other columns, of any type: the first read stays.
+    first = kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(row)))
     return first.filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
