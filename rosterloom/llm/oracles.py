@@ -128,7 +128,74 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
+REPAIR = r"""
+WITH RECURSIVE places AS (
+    SELECT [list_reduce([k::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR k IN range(256)] AS crc
+), fates AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce([4294967295::BIGINT] || [unicode(c)::BIGINT FOR c IN string_split(
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+               lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS fate
+    FROM conversations, places
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM fates WHERE fate <> 0
+), numbered AS (
+    SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, E' \t\n\x0B\x0C\r') AS bare,
+           row_number() OVER w AS n,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+           lag(left(role, 1)) OVER w || left(role, 1) AS pair
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(concat(length(role), ':', role, text)), copy)
+), turns AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM numbered
+), faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n_turns,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM turns GROUP BY conv_id
+), inserts AS (  -- from a state, so many inserted turns: the state then, and what they add
+    SELECT * FROM (VALUES ('', 0, '', ''), ('', 1, 'u', E'user:\n'), ('', 2, 'a', E'user:\nassistant:\n'),
+        ('s', 0, 's', ''), ('s', 1, 'u', E'user:\n'), ('s', 2, 'a', E'user:\nassistant:\n'),
+        ('u', 0, 'u', ''), ('u', 1, 'a', E'assistant:\n'), ('u', 2, 'u', E'assistant:\nuser:\n'),
+        ('a', 0, 'a', ''), ('a', 1, 'u', E'user:\n'), ('a', 2, 'a', E'user:\nassistant:\n')) AS t(old, k, mid, added)
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS n, '' AS state, 0::BIGINT AS cost, '' AS audit, '' AS written FROM faults
+    UNION ALL
+    SELECT conv_id, n, state, cost, audit, written FROM (
+        SELECT w.conv_id, w.n + 1 AS n, e.state, w.cost + 2 * k + e.cost AS cost,
+               w.audit || repeat('I', CAST(k AS BIGINT)) || e.edit AS audit, w.written || added || e.line AS written
+        FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n + 1
+        JOIN inserts i ON i.old = w.state,
+        LATERAL (SELECT 'D' AS edit, mid AS state, 3 AS cost, '' AS line
+                 UNION ALL SELECT 'K', initial, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END, role || ':' || text || chr(10)
+                 WHERE fault NOT IN ('blank', 'duplicate')
+                   AND (mid = '' AND initial IN ('s', 'u') OR mid || initial IN ('su', 'ua', 'au'))
+                 UNION ALL SELECT 'R', CASE mid WHEN 'u' THEN 'a' ELSE 'u' END,
+                                  2 + CASE fault WHEN 'truncated' THEN 1 ELSE 0 END,
+                                  CASE mid WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text || chr(10)
+                 WHERE fault NOT IN ('blank', 'duplicate')) e
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id, w.n, e.state ORDER BY w.cost + 2 * k + e.cost,
+            w.audit || repeat('I', CAST(k AS BIGINT)) || e.edit) = 1)
+), ends AS (
+    SELECT w.conv_id, cost + 2 * k AS cost, audit || repeat('I', CAST(k AS BIGINT)) AS audit, written || added AS written
+    FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n_turns = w.n
+    JOIN inserts i ON i.old = w.state AND i.mid IN ('', 'a')
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost + 2 * k, audit || repeat('I', CAST(k AS BIGINT))) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(left(written, length(written) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat_formatting": CHAT, "op5_embedding_near_dedup": VECTORS, "op7_url_filters": PAGES,
-            "op10_mixing": MIXING}
+            "op10_mixing": MIXING, "op12_conversation_repair": REPAIR}
