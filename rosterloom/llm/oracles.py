@@ -195,7 +195,16 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+WARC = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages
+), kept AS (SELECT payload, max(page_id) AS page_id, count(*) AS copies FROM payloads GROUP BY payload)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.payload) AS payload_digest,
+       CASE WHEN n >= 1000 AND p.page_id <> k.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND p.page_id <> k.page_id THEN k.page_id END AS refers_to
+FROM payloads p JOIN kept k ON p.payload = k.payload
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat_formatting": CHAT, "op5_embedding_near_dedup": VECTORS, "op7_url_filters": PAGES,
-            "op10_mixing": MIXING, "op12_conversation_repair": REPAIR}
+            "op10_mixing": MIXING, "op12_conversation_repair": REPAIR, "op13_warc": WARC}

@@ -19,6 +19,7 @@ from rosterloom.llm.token_counts import token_counts
 from rosterloom.llm.token_file import read_token_files, write_token_files
 from rosterloom.llm.toxicity import toxicity
 from rosterloom.llm.urls import judge_pages
+from rosterloom.llm.warc import read_records, write_warc
 from rosterloom.workspace import work_folder
 
 
@@ -69,7 +70,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_reports(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_warc(table(spark, sf_dir, "pages"), work_folder(spark, "warc"))
+    return read_records(spark, manifest).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_toxicity, op5_embedding_near_dedup,
     op6_minhash_near_dedup, op7_url_filters, op8_token_file, op9_sentencepiece, op10_mixing,
-    op12_conversation_repair)}
+    op12_conversation_repair, op13_warc)}
