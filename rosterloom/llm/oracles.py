@@ -128,6 +128,27 @@ SELECT doc_id, size, source_size, target,
 FROM rates
 """
 
+NEGATIVES = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT * FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 REPAIR = r"""
 WITH RECURSIVE places AS (
     SELECT [list_reduce([k::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
@@ -207,4 +228,4 @@ FROM payloads p JOIN kept k ON p.payload = k.payload
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat_formatting": CHAT, "op5_embedding_near_dedup": VECTORS, "op7_url_filters": PAGES,
-            "op10_mixing": MIXING, "op12_conversation_repair": REPAIR, "op13_warc": WARC}
+            "op10_mixing": MIXING, "op11_hard_negatives": NEGATIVES, "op12_conversation_repair": REPAIR, "op13_warc": WARC}

@@ -12,6 +12,7 @@ from rosterloom.llm.chat import format_chats, read_chats, with_probe
 from rosterloom.llm.line_rules import quality
 from rosterloom.llm.mixing import taken_words
 from rosterloom.llm.near_duplicates import near_duplicates
+from rosterloom.llm.negatives import mined
 from rosterloom.llm.pieces import segmented
 from rosterloom.llm.repair import repaired_reports
 from rosterloom.llm.tables import kept_as, table
@@ -66,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_reports(table(spark, sf_dir, "conversations"))
 
@@ -78,4 +83,4 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_formatting, op2_quality_rules, op3_token_counts, op4_toxicity, op5_embedding_near_dedup,
     op6_minhash_near_dedup, op7_url_filters, op8_token_file, op9_sentencepiece, op10_mixing,
-    op12_conversation_repair, op13_warc)}
+    op11_hard_negatives, op12_conversation_repair, op13_warc)}
