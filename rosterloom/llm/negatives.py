@@ -346,19 +346,20 @@ def _compare(width: int, wanted: int, same_label: bool):
                     [pa.array(anchors[rows[r]]), pa.array(np.full(len(r), w + 1)), pa.array(mine[r, c]), pa.array(ids[c])], names)
 
     def run(batches):
-        block = None
+        block = parsed = at = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             is_ask = batch.column("is_ask").to_numpy(zero_copy_only=False)
-            borders = np.flatnonzero(~is_ask)
-            starts = np.unique(np.r_[0, borders, borders + 1])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "block")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (is_ask[1:] != is_ask[:-1])])
             for a, b in zip(starts, [*starts[1:], len(is_ask)]):
-                if a == b:
-                    continue
                 part = batch.slice(a, b - a)
                 if not is_ask[a]:
-                    block = part
-                    parsed = None
+                    block, parsed, at = part, None, tuple(keys[a])
                     continue
+                if tuple(keys[a]) != at:
+                    continue  # rows are dealt to blocks by hash: this one got none
                 if parsed is None:
                     ids, labels, vectors = (np.frombuffer(block.column(c)[0].as_buffer(), kind) for c, kind in
                                             (("ids", "<i8"), ("labels", "<i8"), ("vectors", "<i4")))

@@ -49,7 +49,7 @@ def test_rows(spark, sf_dir, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
