@@ -8,21 +8,21 @@ counted from the sizes of their parts:
     comparable pairs  = Σ over keys   of n·m      (rows that have a value)
     equal pairs       = Σ over values of n·m      (an equi-join on key and value)
 
-so the work grows with the rows, not with the pairs. Address similarity also counts
-pairs that are close but unequal; `_close_pairs` finds these through shared rare
-characters and scores the candidates only. Every branch is exact.
+so this work grows with the rows, not with the pairs. Address similarity also counts
+pairs that are close but unequal. `close_pairs` finds these through shared subsets of rare
+characters and scores the candidates only; their number grows with that of the pairs that
+are close, or nearly so. Every branch is exact.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig
-from rosterloom.functions.jaro import jaro_where
+from rosterloom.operators.close_pairs import close_pairs
 from rosterloom.operators.compare import (
     ADDRESS, FIELDS, PARENT, comparable, count_name, differs,
 )
@@ -30,13 +30,6 @@ from rosterloom.operators.link import KEY, Linkage, key_counts
 from rosterloom.operators.skew import ROW, broadcast_if_small
 from rosterloom.workspace import work_folder
 
-# Any order is right; rare characters first makes the candidate search selective.
-_RARE_FIRST = "zqjxkvybwgpf9876543210mucdlhrsnioate "
-
-# Lengths up to this are told apart one by one, greater ones in steps of 5 %.
-_SHORT, _STEP = 64, 1.05
-
-
 def eligibility_columns(cfg: MatchConfig) -> dict[str, tuple[str, str]]:
     """Output column → (side's short name, eligibility value), upload side first."""
     return {f"{side.prefix}_{v}": (side.short, v)
@@ -163,90 +156,8 @@ def _count_by_sizes(p: DataFrame, s: DataFrame, cfg: MatchConfig, fields: tuple[
         for f in fields])
 
 
-# --- close addresses within crowded keys ------------------------------------------------
-
-def _length_class(length: Column) -> Column:
-    above = F.floor(F.log(length / _SHORT) / math.log(_STEP)) + _SHORT
-    return F.when(length <= _SHORT, length).otherwise(above).cast("int")
-
-
-def _least_length(cls: Column) -> Column:
-    """No text of the class is shorter than this."""
-    above = F.floor(_SHORT * F.pow(F.lit(_STEP), cls - _SHORT)) - 1
-    return F.when(cls <= _SHORT, cls).otherwise(F.greatest(above, F.lit(1))).cast("int")
-
-
-def _least_common(a: Column, b: Column, threshold: float) -> Column:
-    """Characters two texts of these lengths must share to reach the threshold.
-
-    With m matching characters Jaro is at most (m/a + m/b + 1) / 3.
-    """
-    return F.ceil((3 * threshold - 1) * a * b / (a + b) - 1e-9).cast("int")
-
-
-def _rare_characters(text: Column) -> Column:
-    """The characters of a text, numbered by occurrence, rarest first: 'abba' → a2 b2 b1 a1."""
-    letters = F.array_sort(F.split(text, ""))
-    numbered = F.transform(letters, lambda c, i: F.struct(
-        (F.array_position(letters, c) - i).alias("order"),
-        F.instr(F.lit(_RARE_FIRST), c).alias("rank"),
-        F.concat(c, (i + 2 - F.array_position(letters, c)).cast("string")).alias("name")))
-    return F.transform(F.array_sort(numbered), lambda t: t["name"])
-
-
-def _bits(letters: Column, word: int) -> Column:
-    """64 bits of a signature: one bit, by hash, for each numbered character."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(128))
-    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda bits, c: F.when(
-        F.floor(bit(c) / 64) == word,
-        bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit(c) % 64).cast("int")))
-    ).otherwise(bits))
-
-
-def _candidates(values: DataFrame, side: str, partner: str, threshold: float) -> DataFrame:
-    """Texts keyed so that any two which can reach the threshold share a key.
-
-    Two texts that must share k characters share one among the first (length − k + 1)
-    of each, in whatever common order; the lengths of partners are bounded as well.
-    """
-    ratio = 3 * threshold - 2
-    length = F.length("value")
-    shortest = F.greatest(F.ceil(length * ratio - 1e-9), F.lit(1)).cast("int")
-    longest = F.floor(length / ratio + 1e-9).cast("int")
-    partners = F.sequence(_length_class(shortest), _length_class(longest))
-    least = F.greatest(_least_length(F.col(f"{partner}_class")), shortest)
-    keep = F.greatest(length - _least_common(length, least, threshold) + 1, F.lit(1))
-    letters = F.col("letters")
-    return (values.filter(length > 0)
-            .withColumn("letters", _rare_characters(F.col("value")))
-            .withColumns({f"{side}_bits0": _bits(letters, 0), f"{side}_bits1": _bits(letters, 1),
-                          f"{side}_class": _length_class(length)})
-            .withColumn(f"{partner}_class", F.explode(partners))
-            .withColumn(f"{side}_head", F.slice(letters, F.lit(1), keep.cast("int")))
-            .withColumn("shared", F.explode(f"{side}_head"))
-            .withColumnsRenamed({"value": f"{side}_value"}).drop("letters"))
-
-
 def _close_pairs(pv: DataFrame, sv: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Pairs of unequal addresses of one key that reach the threshold, per district."""
-    t = cfg.address_threshold
-    on = [KEY, "p_class", "s_class", "shared"]
-    # As many partitions as the session shuffles into, not fewer by size: the work here
-    # is in the comparisons, not in the bytes.
-    partitions = int(pv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = []
-    for values, side, partner in ((pv, "p", "s"), (sv, "s", "p")):
-        addresses = values.filter(F.col("field") == ADDRESS).drop("field")
-        found.append(_candidates(addresses, side, partner, t).repartition(partitions, *on))
-    pairs = found[0].join(found[1], on)
-
-    # The bits that differ are at most the characters not shared.
-    p_length, s_length = F.length("p_value"), F.length("s_value")
-    apart = sum((F.bit_count(F.col(f"p_bits{w}").bitwiseXOR(F.col(f"s_bits{w}"))) for w in (0, 1)), F.lit(0))
-    alike = apart <= p_length + s_length - 2 * _least_common(p_length, s_length, t)
-    # A pair may meet under several shared characters: keep its first meeting only.
-    first = F.get(F.array_intersect("p_head", "s_head"), F.lit(0)) == F.col("shared")
-    unequal = F.col("p_value") != F.col("s_value")
-    close = pairs.filter(alike & unequal & first).filter(
-        jaro_where(unequal, F.col("s_value"), F.col("p_value")) >= t)
+    """Pairs of unequal addresses of one key that reach the threshold, counted per district."""
+    p, s = (values.filter(F.col("field") == ADDRESS).drop("field") for values in (pv, sv))
+    close = close_pairs(p, s, cfg)
     return close.groupBy("AUN").agg(_product().alias("n")).withColumn("field", F.lit(ADDRESS))

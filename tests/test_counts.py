@@ -11,9 +11,8 @@ from test_linkage import link, random_rosters
 from rosterloom.config import MatchConfig, ScaleLimits
 from rosterloom.operators.compare import FIELDS, count_name
 from rosterloom.operators.link import linked_pairs
-from rosterloom.operators.pair_counts import (
-    _close_pairs, _least_length, _length_class, has_crowded_keys, pair_counts,
-)
+from rosterloom.operators.close_pairs import candidates, class_lengths, length_class, least_common, subset_size
+from rosterloom.operators.pair_counts import _close_pairs, has_crowded_keys, pair_counts
 from rosterloom.plans.enrollment import district_count, enrollment_check
 from rosterloom.plans.summary import district_summary, eligibility_wide, head_counts, id_lengths, mismatch_counts
 
@@ -98,11 +97,42 @@ def test_close_addresses_are_all_found(spark):
             assert expected > 100
 
 
-def test_length_classes(spark):
-    df = spark.range(1, 3000).select(F.col("id").cast("int").alias("n")).withColumn("c", _length_class(F.col("n")))
-    rows = df.withColumn("least", _least_length(F.col("c"))).orderBy("n").collect()
-    assert all(r.least <= r.n for r in rows)
-    assert all(a.c <= b.c for a, b in zip(rows, rows[1:]))
+def test_length_classes():
+    classes = [length_class(n) for n in range(1, 3000)]
+    assert all(a <= b for a, b in zip(classes, classes[1:]))
+    for n, c in enumerate(classes, 1):
+        least, most = class_lengths(c)
+        assert least <= n <= most and length_class(least) == length_class(most) == c
+
+
+def test_subsets_are_as_large_from_either_side():
+    for t in (0.7, 0.9, 1.0):
+        for a in range(1, 130):
+            for b in range(1, 130):
+                assert subset_size(a, b, t) == subset_size(b, a, t)
+                if a <= 64 and b <= 64 and subset_size(a, b, t):
+                    assert subset_size(a, b, t) <= least_common(a, b, t)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_few_pairs_of_like_addresses_are_formed(spark, hot):
+    """1,500 addresses a side under one key, of a few streets: few pairs share a subset, and none that counts is missing."""
+    import random
+    rng = random.Random(2)
+    streets = [f"{a} {b}" for a in ("oak", "main", "elm", "maple", "washington", "lake", "hill", "church") for b in ("st", "ave", "rd")]
+    p, s = (sorted({f"{rng.randint(1, 4000)} {rng.choice(streets)}" for _ in range(1500)}) for _ in "ps")
+    limits = ScaleLimits(slice_rows=20, slice_pairs=100, broadcast_bytes=1) if hot else ScaleLimits()
+    pv, sv = (spark.createDataFrame([("k", v, 1) for v in values], f"join_key string, value string, n{side} bigint")
+              for side, values in (("p", p), ("s", s)))
+    texts, pairs = candidates(pv, sv, replace(CFG, limits=limits))
+    formed = {(r.p_id, r.s_id) for r in pairs.collect()}
+    assert len(formed) < 0.02 * len(p) * len(s)
+    names = {r.id: r.value for r in texts.collect()}
+    formed = {(names[a], names[b]) for a, b in formed}
+    for a in p[::40]:
+        for b in s:
+            if a != b and scalar_jaro(b, a) >= 0.9:
+                assert (a, b) in formed
 
 
 def test_products_beyond_a_long(spark):
