@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import is_filled, tidy_key
-from rosterloom.operators.skew import ROW, HotKeys, broadcast_if_small, with_row_numbers
+from rosterloom.operators.skew import broadcast_if_small
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,17 +40,11 @@ def restrict_to_batch(registry: DataFrame, upload: DataFrame,
 
     A short list of districts becomes a plain filter, which a Parquet scan can use to skip
     row groups. A longer one is broadcast after measuring it. Should it be too long even
-    for that, the rows go through a lookup join that spreads crowded districts.
+    for that, it is joined by a shuffle, in which adaptive execution splits crowded districts.
     """
     mine, theirs = cfg.registry.col(cfg.district), cfg.upload.col(cfg.district)
     batch = upload.select(F.col(theirs).alias(mine)).distinct()
     listed = batch.limit(cfg.limits.listed_districts + 1).collect()
     if len(listed) <= cfg.limits.listed_districts:
         return registry.filter(F.col(mine).isin([row[0] for row in listed]))
-    checked = broadcast_if_small(batch, cfg.limits)
-    if checked is not batch:
-        return registry.join(checked, mine, "left_semi")
-    hot = HotKeys.find([(registry, [mine]), (upload, [theirs])], cfg.limits)
-    if ROW in registry.columns:
-        return hot.join_lookup(registry, batch, [mine], "left_semi")
-    return hot.join_lookup(with_row_numbers(registry), batch, [mine], "left_semi").drop(ROW)
+    return registry.join(broadcast_if_small(batch, cfg.limits), mine, "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,25 @@ class Linkage:
     """Both rosters with their keys chosen; everything about links is derived from it.
 
     `plain` holds the same rows, registry first, as they were before the choice of key:
-    what needs no key reads them and so is spared the joins the choice takes.
+    what needs no key reads them and so is spared the joins the choice takes. Rows have a
+    number, which results leave out. `kept` says that the rows are stored tables.
     """
 
     registry: DataFrame
     upload: DataFrame
     plain: tuple[DataFrame, DataFrame]
-    hot: HotKeys
     cfg: MatchConfig
     tables: tuple[str, ...] = ()
+    kept: bool = False
+    counted: HotKeys | None = None
+
+    @cached_property
+    def hot(self) -> HotKeys:
+        """The keys of which pairs cannot be formed in one task. Counted, by a job, when first asked for: what looks
+        rows up by key has no need of it."""
+        if self.counted is not None:
+            return self.counted
+        return HotKeys.find([(rows, [ID_KEY, NAME_KEY]) for rows in self.plain], self.cfg.limits)
 
     def rows(self, side: Side) -> DataFrame:
         return self.registry if side == self.cfg.registry else self.upload
@@ -57,13 +68,15 @@ class Linkage:
                 df.write.parquet(path)
                 kept[name] = spark.read.parquet(path)
                 continue
+            df = df.drop(ROW)
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             table = f"rosterloom_{name}_{uuid.uuid4().hex}"
             (df.repartition(buckets, KEY).write.format("parquet").option("path", path)
              .bucketBy(buckets, KEY).sortBy(KEY).saveAsTable(table))
             kept[name] = spark.table(table)
             tables.append(table)
-        return replace(self, **kept, plain=(kept["registry"], kept["upload"]), tables=tuple(tables))
+        return replace(self, **kept, plain=(kept["registry"], kept["upload"]), tables=tuple(tables),
+                       kept=True, counted=self.hot)
 
     def release(self) -> None:
         """Forget stored tables. Their files stay; results not computed yet need them."""
@@ -85,12 +98,20 @@ def add_keys(df: DataFrame, side: Side, cfg: MatchConfig = MatchConfig()) -> Dat
     })
 
 
-def choose_key(rows: DataFrame, other: DataFrame, hot: HotKeys) -> DataFrame:
-    """The ID key where the other roster knows it, the name key otherwise."""
-    known = other.select(ID_KEY).distinct().withColumn("_known", F.lit(True))
-    flagged = hot.join_lookup(rows, known, [ID_KEY], "left")
+def shared_ids(registry: DataFrame, upload: DataFrame) -> DataFrame:
+    """The ID keys that both rosters have, by one count with a bit for each side."""
+    sides = [rows.select(ID_KEY, F.lit(bit).alias("_sides")) for rows, bit in ((registry, 1), (upload, 2))]
+    masks = sides[0].unionAll(sides[1]).groupBy(ID_KEY).agg(F.bit_or("_sides").alias("_sides"))
+    return masks.filter(F.col("_sides") == 3).select(ID_KEY, F.lit(True).alias("_known"))
+
+
+def choose_key(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The ID key where the other roster knows it, the name key otherwise.
+
+    A lookup has one row per key; adaptive execution splits what a crowded key makes too large.
+    """
     chosen = F.when(F.col("_known"), F.col(ID_KEY)).otherwise(F.col(NAME_KEY))
-    return flagged.withColumn(KEY, chosen).drop("_known")
+    return rows.join(shared, ID_KEY, "left").withColumn(KEY, chosen).drop("_known")
 
 
 def link_rosters(registry: DataFrame, upload: DataFrame,
@@ -99,11 +120,8 @@ def link_rosters(registry: DataFrame, upload: DataFrame,
     registry = restrict_to_batch(with_row_numbers(registry), upload, cfg)
     registry = add_keys(registry, cfg.registry, cfg)
     upload = add_keys(with_row_numbers(upload), cfg.upload, cfg)
-    hot = HotKeys.find([(registry, [ID_KEY, NAME_KEY]), (upload, [ID_KEY, NAME_KEY])], cfg.limits)
-    if not hot:
-        registry, upload = registry.drop(ROW), upload.drop(ROW)
-    return Linkage(choose_key(registry, upload, hot), choose_key(upload, registry, hot),
-                   (registry, upload), hot, cfg)
+    shared = shared_ids(registry, upload)
+    return Linkage(choose_key(registry, shared), choose_key(upload, shared), (registry, upload), cfg)
 
 
 def key_counts(rows: DataFrame, name: str = "n") -> DataFrame:
@@ -147,7 +165,7 @@ def linked_distinct_pairs(link: Linkage) -> DataFrame:
 def unmatched(link: Linkage, side: Side) -> DataFrame:
     """Rows of one side, with all columns, whose key the other side does not have."""
     known = link.other(side).select(KEY).distinct()
-    return link.hot.join_lookup(link.rows(side), known, [KEY], "left_anti").drop(ROW)
+    return link.rows(side).join(known, KEY, "left_anti").drop(ROW)
 
 
 def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
@@ -158,7 +176,7 @@ def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
 def duplicate_key_rows(link: Linkage) -> DataFrame:
     """Upload rows linked to a key that is duplicated in the registry, one-to-many included."""
     dups = duplicate_keys(link, link.cfg.registry)
-    return link.hot.join_lookup(link.upload, dups, [KEY], "inner").drop(ROW)
+    return link.upload.join(dups, KEY, "inner").drop(ROW)
 
 
 def many_to_many_keys(link: Linkage) -> DataFrame:

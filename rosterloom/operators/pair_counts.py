@@ -36,22 +36,18 @@ def eligibility_columns(cfg: MatchConfig) -> dict[str, tuple[str, str]]:
             for side in (cfg.upload, cfg.registry) for v in cfg.eligibility_values}
 
 
-def has_crowded_keys(link: Linkage) -> bool:
-    """Whether any key may stand for more than `pair_limit` pairs, by the rows under either
-    candidate key: never less than those under the chosen one."""
-    return link.hot.most_pairs > link.cfg.limits.pair_limit
-
-
 def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bool = True) -> DataFrame:
     """One row per district with linked pairs, and the requested counts over its pairs."""
     cfg = link.cfg
     needed = [*(["elig"] if eligibility else []), *fields]
-    rows = [comparable(link.rows(side), side, cfg, needed) for side in cfg.sides]
-    if not has_crowded_keys(link):
-        return _count_pairs(link.hot.join_pairs(*rows, KEY), cfg, fields, eligibility)
-
-    (p_few, p_many), (s_few, s_many) = _apart(link, rows)
-    parts = [_count_pairs(link.hot.join_pairs(p_few, s_few, KEY), cfg, fields, eligibility)]
+    p, s = _kept(link, [comparable(link.rows(side), side, cfg, needed).drop(ROW) for side in cfg.sides])
+    crowded = crowded_keys(p, s, cfg)
+    if crowded is None:
+        return _count_pairs(p.join(s, KEY), cfg, fields, eligibility)
+
+    (p_few, p_many), (s_few, s_many) = (
+        [df.join(crowded, KEY, how) for how in ("left_anti", "left_semi")] for df in (p, s))
+    parts = [_count_pairs(p_few.join(s_few, KEY), cfg, fields, eligibility)]
     if fields:
         parts.append(_count_by_sizes(p_many, s_many, cfg, fields))
     if eligibility:
@@ -62,30 +58,31 @@ def pair_counts(link: Linkage, fields: tuple[str, ...] = FIELDS, eligibility: bo
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in wanted])
 
 
-def _apart(link: Linkage, rows: list[DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
-    """Per side, the rows of keys with few pairs and those of keys with many.
+def _kept(link: Linkage, rows: list[DataFrame]) -> list[DataFrame]:
+    """Both sides as stored tables, written by one job; those of a stored linkage are it already.
 
-    The keyed rows and the list of crowded keys are written once, since several
-    aggregations read them.
+    Several aggregations read them, and which ones depends on the keys.
     """
-    spark, limits = rows[0].sparkSession, link.cfg.limits
+    if link.kept:
+        return rows
+    spark, sides = rows[0].sparkSession, link.cfg.sides
     folder = work_folder(spark, "pairs")
-    stored = []
-    for side, df in zip(link.cfg.sides, rows):
-        df.write.parquet(f"{folder}/{side.short}")
-        stored.append(spark.read.parquet(f"{folder}/{side.short}"))
-    sizes = key_counts(stored[0], "n_p").join(key_counts(stored[1], "n_s"), KEY, "inner")
-    crowded = sizes.filter(F.col("n_p").cast("double") * F.col("n_s") > limits.pair_limit)
-    crowded.select(KEY).write.parquet(f"{folder}/crowded")
-    listed = spark.read.parquet(f"{folder}/crowded")
-    checked = broadcast_if_small(listed, limits)
-
-    def pick(df: DataFrame, how: str) -> DataFrame:
-        if checked is not listed:
-            return df.join(checked, KEY, how)
-        return link.hot.join_lookup(df, listed, [KEY], how)
-
-    return [(pick(df, "left_anti"), pick(df, "left_semi").drop(ROW)) for df in stored]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        df.withColumn("_side", F.lit(side.short)) for side, df in zip(sides, rows)])
+    both.write.partitionBy("_side").parquet(folder)
+    stored = spark.read.schema(both.schema).parquet(folder)
+    return [stored.filter(F.col("_side") == side.short).select(df.columns) for side, df in zip(sides, rows)]
+
+
+def crowded_keys(p: DataFrame, s: DataFrame, cfg: MatchConfig) -> DataFrame | None:
+    """The keys that stand for more than `pair_limit` pairs, stored, marked for broadcast if small; None without any."""
+    spark, limits = p.sparkSession, cfg.limits
+    sizes = key_counts(p, "n_p").join(key_counts(s, "n_s"), KEY, "inner")
+    crowded = sizes.filter(F.col("n_p").cast("double") * F.col("n_s") > limits.pair_limit).select(KEY)
+    folder = work_folder(spark, "crowded")
+    crowded.write.parquet(folder)
+    listed = spark.read.schema(crowded.schema).parquet(folder)
+    return None if listed.isEmpty() else broadcast_if_small(listed, limits)
 
 
 def _count_pairs(pairs: DataFrame, cfg: MatchConfig, fields: tuple[str, ...],

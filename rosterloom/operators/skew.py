@@ -1,10 +1,12 @@
 """Joins that hold up when one key has a large share of the rows.
 
-Two tools. `broadcast_if_small` broadcasts a set only after measuring it. `HotKeys` counts the
-rows of every key on both sides, exactly and pre-aggregated, and keeps a table of the keys that
-are too much for one task: by their rows on a side, or by the pairs they stand for. The rows of
-just these keys are spread over slices, the more of them the more slices. Keys are known by hash
-here: a collision merely spreads one key more.
+Lookups, which have one row per key, are left to adaptive execution: it splits the crowded
+partitions of the rows. A many-to-many join is more than that, as its work is in the pairs. For it
+`HotKeys` counts the rows of every key on both sides, exactly and pre-aggregated, and keeps a table
+of the keys that are too much for one task: by their rows on a side, or by the pairs they stand
+for. The rows of just these keys are spread over slices, the more of them the more slices. Keys are
+known by hash here: a collision merely spreads one key more. `broadcast_if_small` broadcasts a set
+only after measuring it.
 
 The slice of a row comes from its number, given where the roster is read, before any
 shuffle, so a task that is run again after an executor loss puts every row in the same
@@ -82,10 +84,6 @@ class HotKeys:
     def __bool__(self) -> bool:
         return self.sizes is not None
 
-    def _slices(self) -> Column:
-        """Slices that keep the rows of a key on either side within the limit."""
-        return F.ceil(F.greatest("n", "m") / F.lit(self.limits.slice_rows))
-
     def _grid(self) -> tuple[Column, Column]:
         """Slices of the left and of the right side, such that no two slices that meet stand for
         more pairs than the limit. Cells are square unless one side is short as it is."""
@@ -116,21 +114,6 @@ class HotKeys:
     def _every(slices: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(slices) - 1))
 
-    def join_lookup(self, rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
-                    key: Column | None = None) -> DataFrame:
-        """Join rows to a lookup that has at most one row per key.
-
-        The lookup row of a hot key is repeated for every slice. `key` is the text by which
-        hot keys are known; by default the only join column.
-        """
-        if not self:
-            return rows.join(lookup, on, how)
-        key = F.col(on[0]) if key is None else key
-        spread, copies = (self._sized(df, key, _slices=self._slices()) for df in (rows, lookup))
-        spread = spread.withColumn("_at", self._own("_slices")).drop("_slices")
-        copies = copies.withColumn("_at", self._every("_slices")).drop("_slices")
-        return spread.join(copies, [*on, "_at"], how).drop("_at")
-
     def join_pairs(self, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
         """Many-to-many inner join.
 
@@ -139,7 +122,7 @@ class HotKeys:
         pairs than the limit.
         """
         if not self:
-            return left.join(right, on, "inner")
+            return left.drop(ROW).join(right.drop(ROW), on, "inner")
         of_left, of_right = self._grid()
         left, right = (self._sized(df, F.col(on), _lefts=of_left, _rights=of_right) for df in (left, right))
         left = left.withColumn("_left", self._own("_lefts")).withColumn("_right", self._every("_rights"))
