@@ -1,7 +1,10 @@
-"""Column → Column text functions. All of them stay inside the JVM."""
+"""Column → Column text functions. All stay inside the JVM, but for decoding of other than UTF-8 and Latin-1."""
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,37 @@ def tidy_key(c: Column) -> Column:
     return tidy(F.make_valid_utf8(c.cast("string")))
 
 
+def decoded(c: Column, encoding: str = "UTF-8", bad_bytes: str = "replace") -> Column:
+    """Bytes as text. A byte that is not of the encoding becomes U+FFFD or, with `spell`, its number: `<e9>`."""
+    if bad_bytes not in ("replace", "spell"):
+        raise ValueError("bad_bytes is 'replace' or 'spell'")
+    if encoding.upper() in ("ISO-8859-1", "LATIN1", "LATIN-1"):
+        return F.decode(c, "ISO-8859-1")
+    text = c.cast("string")
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        return decode_udf(encoding, bad_bytes)(c)
+    if bad_bytes == "replace":
+        return F.make_valid_utf8(text)
+    # The UDF sees nulls where there is nothing to spell.
+    valid = F.is_valid_utf8(text)
+    return F.when(valid, text).otherwise(decode_udf(encoding, bad_bytes)(F.when(~valid, c)))
+
+
+def decode_udf(encoding: str, bad_bytes: str):
+    """Decoding by Python's codecs, a batch at a time."""
+
+    def spelt(error: UnicodeDecodeError) -> tuple[str, int]:
+        return "".join(f"<{b:02x}>" for b in error.object[error.start:error.end]), error.end
+
+    @F.pandas_udf("string")
+    def decode(cells: pd.Series) -> pd.Series:
+        codecs.register_error("rosterloom-spell", spelt)
+        errors = "replace" if bad_bytes == "replace" else "rosterloom-spell"
+        return cells.map(lambda b: None if b is None else bytes(b).decode(encoding, errors))
+
+    return decode
+
+
 def cell_text(c: Column, missing_text: str = "NA", blank_as_null: bool = False) -> Column:
     """Meaning of a CSV cell: the missing marker is null; a blank is '' or, on request, null."""
     if blank_as_null:

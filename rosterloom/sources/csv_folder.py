@@ -1,4 +1,8 @@
-"""Folders of CSV files with one fixed set of columns, named by position, all text."""
+"""Folders of CSV files with one fixed set of columns, named by position, all text.
+
+Files are read in splits, with line breaks in cells, and parsed once: the cells are stored with the number
+of fields of their record, from which the widths are checked.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rosterloom.config import ROSTER_COLUMNS
-from rosterloom.functions.text import cell_text
+from rosterloom.functions.text import cell_text, decoded
+from rosterloom.sources.csv_records import joined, open_splits, records
+from rosterloom.workspace import work_folder
 
 _BAD = "_unparsed"
 
@@ -20,14 +26,6 @@ class EmptyInput(ValueError):
     """There is no file to read."""
 
 
-def _reader(spark: SparkSession, schema: StructType, header: bool, multiline: bool, encoding: str):
-    # escape: a quote within quotes is doubled. Names in the files are never used.
-    return (spark.read.schema(schema).option("pathGlobFilter", "*.csv")
-            .option("header", header).option("escape", '"')
-            .option("multiLine", multiline).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD))
-
-
 def _text_schema(columns: tuple[str, ...]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
@@ -38,32 +36,73 @@ def _field_count(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
+# Encodings whose bytes do not agree with ASCII on quotes, commas and line ends.
+_WIDE = ("UTF-16", "UTF-32", "UCS-2", "UTF16", "UTF32")
+
+
+def _parsed(rows: DataFrame, columns: tuple[str, ...], encoding: str, bad_bytes: str) -> DataFrame:
+    """Records as cells, with the number of fields of each. Blank records are left out."""
+    text = F.rtrim(decoded(F.col("record"), encoding, bad_bytes), F.lit("\r"))
+    schema = _text_schema(columns).add(_BAD, StringType())
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    cells = rows.withColumn("_text", text).filter(F.btrim("_text") != "").withColumn(
+        "_cells", F.from_csv("_text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options))
+    fields = F.when(F.col(f"_cells.{_BAD}").isNull(), len(columns)).otherwise(_field_count(F.col("_text")))
+    return cells.select(F.col("file").alias("_file"), F.col("header").alias("_header"), fields.alias("_fields"),
+                        *[F.col(f"_cells.{c}").alias(c) for c in columns])
+
+
+def parsed_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS, multiline: bool = True,
+                  encoding: str = "UTF-8", bad_bytes: str = "replace") -> DataFrame:
+    """All records of a folder, headers included, parsed and stored: the columns, and _file (a hash of its path), _header
+    and _fields (how many fields the record has).
+
+    Records end with a line feed, or a carriage return and one. Any number of tasks read a file; the records that
+    go over the border of two splits are put together afterwards.
+    """
+    if encoding.upper().startswith(_WIDE):
+        raise ValueError(f"{encoding} does not agree with ASCII; convert the files first")
+    out = work_folder(spark, "parsed")
+    ends = open_splits(spark, folder) if multiline else {}
+    found = records(spark, folder, ends, multiline)
+    rows = found.filter("opened IS NULL").select("file", "header", "record")
+    if ends:
+        # Pieces are few, two for a split at most.
+        pieces = found.filter("opened IS NOT NULL")
+        rows = rows.unionAll(joined(pieces).select("file", "header", "record"))
+    cells = _parsed(rows, columns, encoding, bad_bytes)
+    cells.write.parquet(f"{out}/cells")
+    return spark.read.schema(cells.schema).parquet(f"{out}/cells")
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder and the hashes of their paths; no content is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    path = F.col("_metadata.file_path")
+    return listed.select(path.alias("file"), F.xxhash64(path).alias("_file"))
+
+
+def widths(parsed: DataFrame, folder: str) -> DataFrame:
+    """Per file: the fields of its header and of its widest record, of what `parsed_folder` stored."""
+    counts = parsed.groupBy("_file").agg(
+        F.max(F.when(F.col("_header"), F.col("_fields"))).alias("header_fields"), F.max("_fields").alias("widest"))
+    return counts.join(_names(parsed.sparkSession, folder), "_file").select("file", "header_fields", "widest")
+
+
 def file_widths(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
                 multiline: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """Per file: the fields of its header and of its widest record."""
-    schema = _text_schema(columns).add(_BAD, StringType())
-    # All columns have to be parsed to tell the width. Spark also wants a real column read
-    # along with the unparsed record; it comes last in `place` and never decides the order.
-    reader = _reader(spark, schema, False, multiline, encoding).option("columnPruning", False)
-    records = reader.csv(folder).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id(),
-                 F.col(columns[0])).alias("place"),
-        F.when(F.col(_BAD).isNull(), len(columns)).otherwise(_field_count(F.col(_BAD))).alias("fields"),
-    )
-    return records.groupBy("file").agg(
-        F.min_by("fields", "place").alias("header_fields"), F.max("fields").alias("widest"))
-
-
-def check_widths(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
-                 multiline: bool = True, encoding: str = "UTF-8") -> None:
+    return widths(parsed_folder(spark, folder, columns, multiline, encoding), folder)
+
+
+def check_widths(parsed: DataFrame, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS) -> None:
     """Stop if a header has the wrong number of columns, or a record has too many fields.
 
     Names the files only: the records are personal data. Short records are fine; their
     missing fields are blank.
     """
-    widths = file_widths(spark, folder, columns, multiline, encoding)
-    wrong = widths.filter((F.col("header_fields") != len(columns)) | (F.col("widest") > len(columns)))
+    found = widths(parsed, folder)
+    wrong = found.filter((F.col("header_fields") != len(columns)) | (F.col("widest") > len(columns)))
     shown = [row.file for row in wrong.select("file").orderBy("file").collect()]
     if shown:
         raise ColumnCountMismatch(f"Column count mismatch in file: {', '.join(shown)}")
@@ -79,16 +118,17 @@ def check_files(spark: SparkSession, folder: str) -> None:
 
 def read_roster_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
                        *, blank_as_null: tuple[str, ...] = (), missing_text: str = "NA",
-                       multiline: bool = True, encoding: str = "UTF-8", check: bool = True) -> DataFrame:
+                       multiline: bool = True, encoding: str = "UTF-8", bad_bytes: str = "replace",
+                       check: bool = True) -> DataFrame:
     """All `*.csv` files directly in a folder as one roster of text columns.
 
     Text stays as it is, leading zeros included. `NA` is null; a blank cell is '' or, for
-    the columns in `blank_as_null`, null. Line breaks within quotes need `multiline`, with
-    which a file is read by one task; switch it off for large files without such breaks.
+    the columns in `blank_as_null`, null. Bytes that are not of the encoding become U+FFFD, or `<xx>` with
+    `bad_bytes="spell"`. Without `multiline` a line is a record, which spares a pass over lines with quotes.
     """
     check_files(spark, folder)
+    parsed = parsed_folder(spark, folder, columns, multiline, encoding, bad_bytes)
     if check:
-        check_widths(spark, folder, columns, multiline, encoding)
-    cells = _reader(spark, _text_schema(columns), True, multiline, encoding).csv(folder)
-    return cells.select(*[
+        check_widths(parsed, folder, columns)
+    return parsed.filter(~F.col("_header")).select(*[
         cell_text(F.col(c), missing_text, c in blank_as_null).alias(c) for c in columns])

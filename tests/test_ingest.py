@@ -1,6 +1,8 @@
 """Reading folders of CSV files, snapshots and the batch job on files."""
 
 import csv
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterloom.config import ROSTER_COLUMNS, MatchConfig
 from rosterloom.plans.batch import build_registry_snapshot, run_batch
 from rosterloom.sources.csv_folder import ColumnCountMismatch, EmptyInput, file_widths, read_roster_folder
+from rosterloom.sources.csv_records import _lines, ends_within
 from rosterloom.sources.tables import batch_path, read_enrollment, write_batch
 
 CFG = MatchConfig()
@@ -69,6 +72,82 @@ def test_short_records_are_padded(spark, tmp_path):
     assert row.sfa_name == "s" and row.pasecureid == "1" and row.eligibility == ""
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are read in splits of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {name: spark.conf.get(name, None) for name in names}
+
+    def set_to(size):
+        for name, value in zip(names, (size, 0, 1)):
+            spark.conf.set(name, str(value))
+
+    yield set_to
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def random_cells(rng, n):
+    parts = ["", "a", "bc", "é", ",", '"', '""', "\n", "\r\n", " ", "Oak St", '"\n"', ",\n,", "NA", "x" * 30]
+    return [line(pasecureid=str(i), **{c: "".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))
+                                       for c in rng.sample(ROSTER_COLUMNS[5:], 3)}) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [40, 333, 5000])
+def test_files_are_read_in_splits(spark, tmp_path, tiny_splits, size):
+    """Cells with line breaks, quotes and commas, records and headers over borders of splits, against the csv module."""
+    rng = random.Random(size)
+    want = Counter()
+    for name in "abc":
+        rows = random_cells(rng, 60)
+        if name == "b":
+            rows[7] = line(pasecureid="giant", student_city="one\n" * 300, student_zip='"')
+        write(tmp_path / f"{name}.csv", rows, header=[f"Col\n{i}" for i in range(25)],
+              quoting=csv.QUOTE_ALL if name == "c" else csv.QUOTE_MINIMAL)
+        with open(tmp_path / f"{name}.csv", newline="", encoding="utf-8") as f:
+            want.update(tuple(r) for r in list(csv.reader(f))[1:])
+    tiny_splits(size)
+    assert _lines(spark, str(tmp_path)).rdd.getNumPartitions() > 2
+    got = Counter(tuple("NA" if c is None else c for c in r) for r in read_roster_folder(spark, str(tmp_path)).collect())
+    assert got == want
+    assert {tuple(r)[1:] for r in file_widths(spark, str(tmp_path)).collect()} == {(25, 25)}
+
+
+def test_where_a_quote_opens_a_cell():
+    assert ends_within(b'a,"b', False) and not ends_within(b'a,"b"', False) and ends_within(b'a,"b""', False)
+    assert not ends_within(b'a,5" pipe', False) and not ends_within(b'"a" b,c', False)
+    assert ends_within(b"no quote", True) and not ends_within(b'end"', True) and ends_within(b'end","next', True)
+    assert not ends_within(b'end",next"', True) and ends_within(b'""', True) and not ends_within(b'"', True)
+    assert not ends_within(b"", False) and ends_within(b"", True)
+
+
+def test_quotes_within_a_cell_and_one_that_is_never_closed(spark, tmp_path, tiny_splits):
+    head = ",".join(f"c{i}" for i in range(25))
+    rest = "," * 21
+    (tmp_path / "a.csv").write_text(f'{head}\r\n\r\n1,5" pipe,x,y{rest}\r\n2,b,x,y{rest}\r\n3,"open\nto the, end{rest}')
+    for size in (50, 100_000):
+        tiny_splits(size)
+        rows = [tuple(r)[:2] for r in read_roster_folder(spark, str(tmp_path), check=False).collect()]
+        assert rows[:2] == [("1", '5" pipe'), ("2", "b")] and rows[2][0] == "3" and rows[2][1].startswith("open\nto the")
+
+
+def test_blank_lines_before_the_header_and_no_last_line_end(spark, tmp_path):
+    head = ",".join(f"c{i}" for i in range(25))
+    (tmp_path / "a.csv").write_text("\n\r\n" + head + "\n\n" + "1" + "," * 24)
+    assert [r.sfa_name for r in read_roster_folder(spark, str(tmp_path)).collect()] == ["1"]
+
+
+def test_bad_bytes(spark, tmp_path):
+    head = ",".join(f"c{i}" for i in range(25)).encode()
+    (tmp_path / "a.csv").write_bytes(head + b"\nN\xfa\xf1ez,\xc3\xa9,\xe2\x82" + b"," * 22 + b"\n")
+    cells = lambda **how: tuple(read_roster_folder(spark, str(tmp_path), **how).first())[:3]
+    assert cells() == ("N\ufffd\ufffdez", "é", "\ufffd")
+    assert cells(bad_bytes="spell") == ("N<fa><f1>ez", "é", "<e2><82>")
+    assert cells(encoding="cp1252")[0] == "Núñez"
+    with pytest.raises(ValueError):
+        cells(encoding="UTF-16LE")
+
+
 def test_latin1_files(spark, tmp_path):
     write(tmp_path / "a.csv", [line(student_last_name="Núñez")], encoding="latin-1")
     row = read_roster_folder(spark, str(tmp_path), encoding="ISO-8859-1").first()
