@@ -107,6 +107,10 @@ FILE_UPLOAD = {c: "CAST(NULL AS STRING)" for c in ROSTER_COLUMNS} | {
     "student_city": "CASE WHEN k%6=0 THEN 'Ærø' ELSE 'Saint-Rémy' END",
 }
 
+# Records of several widths as lines: two cells, blanks, and up to three cells too many.
+RAGGED_HEADER = ",".join(f"column {i}" for i in range(25))
+RAGGED = "concat(CAST(k AS STRING), ',', st, repeat(',', 23), repeat(',x', CAST(k%4 AS INT)))"
+
 # The official table: one row per district but one, totals counted from all customers.
 OFFICIAL = {
     "AUN": "lpad(CAST(100000000 + c_nationkey*1013 AS STRING),9,'0')",
@@ -155,6 +159,10 @@ def file_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roster(base(spark, sf_dir), UPLOAD_ROWS, FILE_UPLOAD)
 
 
+def ragged_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roster(base(spark, sf_dir), UPLOAD_ROWS, {f"`{RAGGED_HEADER}`": RAGGED})
+
+
 def official_enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     counted = customer.filter("c_nationkey <> 20").groupBy("c_nationkey").count()

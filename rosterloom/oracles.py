@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterloom.fixtures import FILE_UPLOAD, REGISTRY, UPLOAD, roster_ctes
+from rosterloom.fixtures import FILE_UPLOAD, RAGGED, REGISTRY, UPLOAD, UPLOAD_ROWS, roster_ctes
 
 # Fixed values, spelt out here too, so that a slip in the library shows.
 KEY_COLUMNS = ("aun9_3", "pasecureid", "student_dob", "student_last_name", "student_first_name",
@@ -212,6 +212,27 @@ def _cells(city: str = "student_city", prefix: str = "") -> str:
     return ", ".join(f"nullif({special.get(c, c)}, 'NA') AS {prefix}{c}" for c in FILE_UPLOAD)
 
 
+def _look(column: str, shape: str) -> str:
+    filled = rf"coalesce(trim({column}, E' \t\r\n') <> '' AND {column} <> 'NA', FALSE)"
+    return (f"count(*) FILTER ({filled}) AS filled, count(*) FILTER ({filled} AND "
+            rf"regexp_full_match(trim({column}, E' \t\r\n'), '{shape}')) AS fitting")
+
+
+# Looks of the columns that the example files fill, spelt out here too.
+_LOOKS = {"aun9_3": "[0-9]{3}-?[0-9]{6}|[0-9]{3}-?[0-9]{3}-?[0-9]{3}", "pasecureid": "[0-9]{10}",
+          "student_dob": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}",
+          "eligibility": "(?i)free|reduced|paid|denied|other"}
+
+
+def _misplaced() -> str:
+    other = {"aun9_3": "pasecureid", "pasecureid": "aun9_3"}
+    tests = [f"SELECT '{file}' AS file, '{name}' AS column, {_look(other.get(name, name) if file == 'swapped' else name, shape)} "
+             "FROM upload_cells" for file in ("good", "swapped") for name, shape in _LOOKS.items()]
+    return ("SELECT file, \"column\", filled, fitting, CASE \"column\" WHEN 'aun9_3' THEN 'pasecureid' "
+            "WHEN 'pasecureid' THEN 'aun9_3' END AS likely FROM (" + " UNION ALL ".join(tests) + ") WHERE 2 * fitting < filled")
+
+
+_MISPLACED = _misplaced()
 _FILE = [f"sebt_{c}" for c in FILE_UPLOAD]
 _BLANK_AS_NULL = "* REPLACE (nullif(student_address2, '') AS student_address2)"
 _TAILS |= {
@@ -220,6 +241,13 @@ _TAILS |= {
     "csv_cells_latin1": f"SELECT {_BLANK_AS_NULL} FROM (SELECT {_cells()} FROM upload_cells)",
     "csv_cells_bad_bytes": f"SELECT {_BLANK_AS_NULL} FROM (SELECT "
                            + _cells("regexp_replace(student_city, '[Æøé]', chr(65533), 'g')") + " FROM upload_cells)",
+    "csv_cells_spelt_bytes": f"SELECT {_BLANK_AS_NULL} FROM (SELECT "
+                             + _cells("replace(replace(replace(student_city, 'Æ', '<c6>'), 'ø', '<f8>'), 'é', '<e9>')")
+                             + " FROM upload_cells)",
+    "csv_widths": "SELECT 'good' AS file, 25 AS header_fields, 25 AS widest UNION ALL SELECT 'narrow', 24, 24 "
+                  "UNION ALL SELECT 'ragged', 25, CAST(max(length(line) - length(replace(line, ',', ''))) + 1 AS INT) "
+                  f"FROM (SELECT {RAGGED} AS line FROM base WHERE {UPLOAD_ROWS[0]})",
+    "csv_misplaced_columns": _MISPLACED,
     "written_summary": f"SELECT s.*, b.batch FROM ({_SUMMARY}) s, (VALUES ('batch1'), ('batch2')) b(batch)",
     "enrollment_from_csv": _TAILS["enrollment_check"],
 }

@@ -54,6 +54,12 @@ def id_length_rows(rows: DataFrame, side: Side, cfg: MatchConfig = MatchConfig()
     return rows.withColumn(name, id_length_flag(F.col(side.col(cfg.student_id)), cfg.id_length))
 
 
+def odd_ids(rows: DataFrame, side: Side, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """The rows of one side, with all columns, whose ID has not the expected length, and its length."""
+    name = f"{side.short}{cfg.id_length}digitID"
+    return id_length_rows(rows, side, cfg).filter(F.col(name) != "TRUE")
+
+
 def _id_columns(cfg: MatchConfig) -> list[str]:
     return [c for side in cfg.sides
             for c in (f"{side.short}{cfg.id_length}digit_pasecureIDs", f"{side.short}_not_pasecure")]

@@ -21,7 +21,8 @@ from rosterloom.operators.link import (
 from rosterloom.plans import summary
 from rosterloom.plans.batch import prepare
 from rosterloom.plans.enrollment import district_count, enrollment_check
-from rosterloom.sources.csv_folder import read_roster_folder
+from rosterloom.sources.csv_folder import file_widths, parsed_folder, read_roster_folder
+from rosterloom.sources.profiles import column_profiles, misplaced_columns
 from rosterloom.sources.tables import load_snapshot, read_enrollment, save_snapshot, write_batch
 from rosterloom.workspace import work_folder
 
@@ -165,13 +166,37 @@ def _csv_roster(spark, sf_dir):
     return prepare(read_roster_folder(spark, _csv_files(fixtures.file_upload(spark, sf_dir))), CFG.upload)
 
 
-def _csv_cells(read_as: str) -> Query:
+def _csv_cells(read_as: str, bad_bytes: str = "replace") -> Query:
     def query(spark, sf_dir):
         folder = _csv_files(fixtures.file_upload(spark, sf_dir), "ISO-8859-1")
-        return read_roster_folder(spark, folder, encoding=read_as, blank_as_null=("student_address2",))
+        return read_roster_folder(spark, folder, encoding=read_as, bad_bytes=bad_bytes, blank_as_null=("student_address2",))
     return query
 
 
+def _csv_widths(spark, sf_dir):
+    """Widths of three folders: as they should be, one column less, and records of several widths."""
+    rows = fixtures.file_upload(spark, sf_dir)
+    ragged = work_folder(spark, "csv")
+    fixtures.ragged_upload(spark, sf_dir).write.options(header=True, sep="\x01", quote="\x00").csv(ragged)
+    folders = {"good": _csv_files(rows), "narrow": _csv_files(rows.drop("validation_output")), "ragged": ragged}
+    out = [file_widths(spark, folder).groupBy().agg(
+        F.lit(name).alias("file"), F.min("header_fields").alias("header_fields"), F.max("widest").alias("widest"))
+        for name, folder in folders.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def _csv_misplaced(spark, sf_dir):
+    """Which columns seem to be elsewhere, in files as they should be and in files with two columns swapped."""
+    rows = fixtures.file_upload(spark, sf_dir)
+    at = {"aun9_3": "pasecureid", "pasecureid": "aun9_3"}
+    swapped = rows.select(*[F.col(at.get(c, c)).alias(c) for c in rows.columns])
+    out = []
+    for name, df in (("good", rows), ("swapped", swapped)):
+        parsed = parsed_folder(spark, _csv_files(df)).withColumn("_file", F.lit(name))
+        out.append(misplaced_columns(column_profiles(parsed)).withColumnRenamed("_file", "file"))
+    return out[0].unionAll(out[1])
+
+
 def _written_summary(spark, sf_dir):
     folder = work_folder(spark, "written")
     result = summary.district_summary(linked(spark, sf_dir))
@@ -231,5 +256,8 @@ QUERIES: dict[str, Query] = {
     "csv_roster": _csv_roster,
     "csv_cells_latin1": _csv_cells("ISO-8859-1"),
     "csv_cells_bad_bytes": _csv_cells("UTF-8"),
+    "csv_cells_spelt_bytes": _csv_cells("UTF-8", "spell"),
+    "csv_widths": _csv_widths,
+    "csv_misplaced_columns": _csv_misplaced,
     "written_summary": _written_summary,
 }

@@ -75,7 +75,7 @@ def parsed_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = R
     return spark.read.schema(cells.schema).parquet(f"{out}/cells")
 
 
-def _names(spark: SparkSession, folder: str) -> DataFrame:
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
     """The files of a folder and the hashes of their paths; no content is read."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     path = F.col("_metadata.file_path")
@@ -86,7 +86,7 @@ def widths(parsed: DataFrame, folder: str) -> DataFrame:
     """Per file: the fields of its header and of its widest record, of what `parsed_folder` stored."""
     counts = parsed.groupBy("_file").agg(
         F.max(F.when(F.col("_header"), F.col("_fields"))).alias("header_fields"), F.max("_fields").alias("widest"))
-    return counts.join(_names(parsed.sparkSession, folder), "_file").select("file", "header_fields", "widest")
+    return counts.join(file_names(parsed.sparkSession, folder), "_file").select("file", "header_fields", "widest")
 
 
 def file_widths(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
@@ -116,19 +116,29 @@ def check_files(spark: SparkSession, folder: str) -> None:
         raise EmptyInput(f"No .csv file with content in folder: {folder}")
 
 
-def read_roster_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
-                       *, blank_as_null: tuple[str, ...] = (), missing_text: str = "NA",
-                       multiline: bool = True, encoding: str = "UTF-8", bad_bytes: str = "replace",
-                       check: bool = True) -> DataFrame:
-    """All `*.csv` files directly in a folder as one roster of text columns.
-
-    Text stays as it is, leading zeros included. `NA` is null; a blank cell is '' or, for
-    the columns in `blank_as_null`, null. Bytes that are not of the encoding become U+FFFD, or `<xx>` with
-    `bad_bytes="spell"`. Without `multiline` a line is a record, which spares a pass over lines with quotes.
-    """
+def checked_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS, *, multiline: bool = True,
+                   encoding: str = "UTF-8", bad_bytes: str = "replace", check: bool = True) -> DataFrame:
+    """`parsed_folder` of files that are there and have the right width."""
     check_files(spark, folder)
     parsed = parsed_folder(spark, folder, columns, multiline, encoding, bad_bytes)
     if check:
         check_widths(parsed, folder, columns)
+    return parsed
+
+
+def roster_cells(parsed: DataFrame, blank_as_null: tuple[str, ...] = (), missing_text: str = "NA") -> DataFrame:
+    """The rows of parsed files, without headers, with the meaning of their cells."""
     return parsed.filter(~F.col("_header")).select(*[
-        cell_text(F.col(c), missing_text, c in blank_as_null).alias(c) for c in columns])
+        cell_text(F.col(c), missing_text, c in blank_as_null).alias(c) for c in parsed.columns if not c.startswith("_")])
+
+
+def read_roster_folder(spark: SparkSession, folder: str, columns: tuple[str, ...] = ROSTER_COLUMNS,
+                       *, blank_as_null: tuple[str, ...] = (), missing_text: str = "NA", **reading) -> DataFrame:
+    """All `*.csv` files directly in a folder as one roster of text columns.
+
+    Text stays as it is, leading zeros included. `NA` is null; a blank cell is '' or, for
+    the columns in `blank_as_null`, null. `reading`: encoding; bad_bytes, which makes bytes that are not of the
+    encoding U+FFFD or, if "spell", `<xx>`; multiline, without which a line is a record, which spares a pass over the
+    lines with quotes; check, of the widths.
+    """
+    return roster_cells(checked_folder(spark, folder, columns, **reading), blank_as_null, missing_text)

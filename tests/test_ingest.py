@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import ROSTER_COLUMNS, MatchConfig
 from rosterloom.plans.batch import build_registry_snapshot, run_batch
-from rosterloom.sources.csv_folder import ColumnCountMismatch, EmptyInput, file_widths, read_roster_folder
+from rosterloom.sources.csv_folder import (
+    ColumnCountMismatch, EmptyInput, file_names, file_widths, parsed_folder, read_roster_folder,
+)
 from rosterloom.sources.csv_records import _lines, ends_within
-from rosterloom.sources.tables import batch_path, read_enrollment, write_batch
+from rosterloom.sources.profiles import column_profiles, misplaced_columns
+from rosterloom.sources.tables import (
+    batch_path, load_snapshot, read_enrollment, save_snapshot, write_batch, write_named_file,
+)
 
 CFG = MatchConfig()
 
@@ -188,7 +193,10 @@ def test_whole_job_on_files(spark, tmp_path):
     write(upload / "u1.csv", [student(" 100 ", "0000000001", "ANA"), student("100", "77", "ben")])
     write(upload / "u2.csv", [student("200", "0000000005", "Eli")])
     build_registry_snapshot(spark, str(registry), str(tmp_path / "snapshot"))
-    paths = run_batch(spark, str(tmp_path / "snapshot"), str(upload), str(tmp_path / "out"), "batch2")
+    spark.createDataFrame([("100", "Elk", 7), ("300", "Elk", 1)], "AUN string, County string, Total bigint").write.parquet(
+        str(tmp_path / "official"))
+    paths = run_batch(spark, str(tmp_path / "snapshot"), str(upload), str(tmp_path / "out"), "batch2", linked=True,
+                      enrollment=str(tmp_path / "official"))
 
     rows = spark.read.parquet(paths["district_summary"]).orderBy("AUN").collect()
     assert [(r.AUN, r.p_total, r.s_total, r.difference) for r in rows] == [("100", 3, 2, 1), ("200", 0, 1, -1)]
@@ -204,6 +212,64 @@ def test_whole_job_on_files(spark, tmp_path):
     assert spark.read.parquet(paths["link_sizes"]).count() == 2
     assert spark.read.parquet(paths["parent_name_mismatch_pairs"]).count() == 0
 
+    odd = spark.read.parquet(paths["odd_ids_upload"])
+    assert [(r.sebt_pasecureid, r.s10digitID) for r in odd.collect()] == [("77", "2")] and "_row" not in odd.columns
+    assert spark.read.parquet(paths["odd_ids_registry"]).count() == 0
+    linked = spark.read.parquet(paths["linked_pairs"])
+    assert sorted((r.primero_pasecureid, r.sebt_pasecureid, r.addr_similarity) for r in linked.collect()) == [
+        ("0000000001", "0000000001", 1.0), ("0000000002", "77", 1.0)]
+    check = spark.read.parquet(paths["enrollment_check"]).collect()
+    assert [(r.SEBT_Count, r.Official_Enrollment) for r in check] == [(3, 7)]
+    assert spark.read.parquet(paths["misplaced_columns"]).columns == ["column", "filled", "fitting", "likely", "file"]
+    with open(paths["summary_file"], newline="") as f:
+        got = list(csv.DictReader(f))
+    assert paths["summary_file"].endswith("/batch2_district_summary.csv")
+    assert [(r["AUN"], r["p_total"], r["difference"]) for r in got] == [("100", "3", "1"), ("200", "0", "-1")]
+
+
+def test_a_failed_build_leaves_the_snapshot(spark, tmp_path):
+    path, cfg = str(tmp_path / "snapshot"), MatchConfig()
+    names = f"{cfg.registry.col(cfg.district)} string, {cfg.registry.col(cfg.student_id)} string"
+    roster = lambda *ids: spark.createDataFrame([("1", i) for i in ids], names)
+    with pytest.raises(FileNotFoundError):
+        load_snapshot(spark, path)
+    broken = roster("x", "y").filter("assert_true(primero_pasecureid = 'x') IS NULL")
+    with pytest.raises(Exception, match="is not true"):
+        save_snapshot(broken, path, cfg.registry)
+    with pytest.raises(FileNotFoundError):
+        load_snapshot(spark, path)
+    save_snapshot(roster("a"), path, cfg.registry)
+    before = load_snapshot(spark, path)
+    with pytest.raises(FileExistsError):
+        save_snapshot(roster("b"), path, cfg.registry)
+    with pytest.raises(Exception, match="is not true"):
+        save_snapshot(broken, path, cfg.registry, mode="overwrite")
+    assert [r[1] for r in load_snapshot(spark, path).collect()] == ["a"]
+    save_snapshot(roster("b", "c"), path, cfg.registry, mode="overwrite")
+    assert sorted(r[1] for r in load_snapshot(spark, path).collect()) == ["b", "c"]
+    assert [r[1] for r in before.collect()] == ["a"]
+
+
+def test_files_with_misplaced_columns_are_named(spark, tmp_path):
+    def rows(first, second):
+        return [line(**{first: f"{100000000 + i}", second: f"{i:010d}", "student_dob": f"2015-01-{i % 28 + 1:02d}",
+                        "eligibility": "Free" if i % 5 else "NA"}) for i in range(40)]
+    write(tmp_path / "good.csv", rows("aun9_3", "pasecureid"))
+    write(tmp_path / "swapped.csv", rows("pasecureid", "aun9_3"))
+    write(tmp_path / "moved.csv", [line(aun9_3="100000001", pasecureid="Ana", student_first_name="0000000001")] * 9)
+    found = misplaced_columns(column_profiles(parsed_folder(spark, str(tmp_path))))
+    named = found.join(file_names(spark, str(tmp_path)), "_file").collect()
+    assert {(r.file.rsplit("/", 1)[1], r.column, r.filled, r.fitting, r.likely) for r in named} == {
+        ("swapped.csv", "aun9_3", 40, 0, "pasecureid"), ("swapped.csv", "pasecureid", 40, 0, "aun9_3"),
+        ("moved.csv", "pasecureid", 9, 0, "student_first_name")}
+
+
+def test_one_named_file_per_batch(spark, tmp_path):
+    for n in (3, 5):
+        path = write_named_file(spark.range(n).orderBy("id"), str(tmp_path), "b1", "ids")
+    assert path == f"{tmp_path}/b1_ids.csv" and [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["b1_ids.csv"]
+    assert (tmp_path / "b1_ids.csv").read_text() == "id\n0\n1\n2\n3\n4\n"
+
 
 def test_nothing_to_read_is_an_error(spark, tmp_path):
     with pytest.raises(EmptyInput, match="No .csv"):
