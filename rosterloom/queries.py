@@ -57,7 +57,7 @@ def snapshots(spark: SparkSession, sf_dir: str, cfg: MatchConfig = CFG) -> tuple
         upload.write.parquet(f"{folder}/upload")
         _snapshots[known] = folder
     folder = _snapshots[known]
-    return load_snapshot(spark, f"{folder}/registry"), load_snapshot(spark, f"{folder}/upload")
+    return load_snapshot(spark, f"{folder}/registry"), spark.read.parquet(f"{folder}/upload")
 
 
 def linked(spark: SparkSession, sf_dir: str, cfg: MatchConfig = CFG) -> Linkage:
