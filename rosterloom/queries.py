@@ -179,10 +179,9 @@ def _csv_widths(spark, sf_dir):
     ragged = work_folder(spark, "csv")
     fixtures.ragged_upload(spark, sf_dir).write.options(header=True, sep="\x01", quote="\x00").csv(ragged)
     folders = {"good": _csv_files(rows), "narrow": _csv_files(rows.drop("validation_output")), "ragged": ragged}
-    out = [file_widths(spark, folder).groupBy().agg(
-        F.lit(name).alias("file"), F.min("header_fields").alias("header_fields"), F.max("widest").alias("widest"))
-        for name, folder in folders.items()]
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    out = [file_widths(spark, folder).withColumn("file", F.lit(name)) for name, folder in folders.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2]).groupBy("file").agg(
+        F.min("header_fields").alias("header_fields"), F.max("widest").alias("widest"))
 
 
 def _csv_misplaced(spark, sf_dir):
