@@ -143,6 +143,40 @@ FULL JOIN school_code_counts USING (AUN) FULL JOIN parent_name_counts USING (AUN
 FULL JOIN address_counts USING (AUN) FULL JOIN case_number_counts USING (AUN)
 ORDER BY AUN NULLS LAST"""
 
+# What each level compares, spelt out here too.
+_LEVELS = (("dob", "first", "last", "school", "case_no", "address"), ("dob", "first", "last", "case_no"),
+           ("dob", "first", "last", "address"), ("dob", "first", "last"), ("case_no",), ())
+
+
+def _resolved(tail: str) -> str:
+    """Pairs of rows that have no other partner left, level by level, from all pairs."""
+    out = []
+    for table, n, prefix, columns in (("registry", "n_p", "primero", _P), ("upload", "n_s", "sebt", _S)):
+        values = {"dob": "student_dob", "first": "student_first_name", "last": "student_last_name",
+                  "school": "school_code4", "case_no": "case_number"}
+        compared = ", ".join(f"nullif(trim({prefix}_{c}), '') AS {v}" for v, c in values.items())
+        out.append(f"""many_{table} AS MATERIALIZED (SELECT row_number() OVER () AS i, *, {compared},
+            nullif({_standard(f"{prefix}_student_address1")}, '') AS address
+            FROM (SELECT {", ".join(columns)}, join_key1, join_key2, join_key, count(*) AS {n} FROM {table}_keyed
+                  WHERE join_key IN (SELECT join_key FROM registry_dups JOIN upload_dups USING (join_key)) GROUP BY ALL))""")
+    for i, level in enumerate(_LEVELS, 1):
+        equal = " AND ".join(f"p.{c} = s.{c}" for c in ("join_key", *level))
+        free = " AND ".join(f"p.i NOT IN (SELECT p FROM level{j}) AND s.i NOT IN (SELECT s FROM level{j})"
+                            for j in range(1, i)) or "TRUE"
+        out.append(f"""level{i} AS MATERIALIZED (SELECT CAST({i} AS BIGINT) AS level, p.i AS p, s.i AS s
+            FROM many_registry p JOIN many_upload s ON {equal} WHERE {free}
+            QUALIFY count(*) OVER (PARTITION BY p.i) = 1 AND count(*) OVER (PARTITION BY s.i) = 1)""")
+    levels = " UNION ALL ".join(f"SELECT * FROM level{i}" for i in range(1, len(_LEVELS) + 1))
+    return ", " + ", ".join([*out, f"settled AS MATERIALIZED ({levels})"]) + " " + tail
+
+
+def _unresolved(mine: str, other: str, my: str, their: str, n: str) -> str:
+    compared = ", ".join(("i", n, "dob", "first", "last", "school", "case_no", "address"))
+    return _resolved(f"""SELECT * EXCLUDE ({compared}), {n} AS copies,
+        CASE WHEN join_key IN (SELECT join_key FROM many_{other} WHERE i NOT IN (SELECT {their} FROM settled))
+        THEN 'ambiguous' ELSE 'surplus' END AS reason FROM many_{mine} WHERE i NOT IN (SELECT {my} FROM settled)""")
+
+
 _ONE_SIDED = """SELECT *, 'Primero' AS Source FROM registry_ids p WHERE NOT EXISTS
 (SELECT 1 FROM upload_ids s WHERE s.AUN = p.AUN AND s.PAsecureID = p.PAsecureID)
 UNION ALL SELECT *, 'SEBT' AS Source FROM upload_ids s WHERE NOT EXISTS
@@ -158,7 +192,7 @@ _FIELDS = ("school_code", "parent_name", "address", "case_number")
 # The queries that also run on rosters with crowded keys.
 CROWDED = (
     "batch_semi_join", "one_sided_ids", "key_cascade", "linked_pairs",
-    "linked_distinct_pairs", "link_sizes", "unmatched_registry", "unmatched_upload", "duplicate_key_rows", "eligibility_wide",
+    "linked_distinct_pairs", "link_sizes", "resolved_pairs", "unmatched_registry", "unmatched_upload", "duplicate_key_rows", "eligibility_wide",
     *(f"{f}_mismatch" for f in _FIELDS), "district_summary",
 )
 
@@ -180,6 +214,10 @@ ON p.join_key = s.join_key""",
     "duplicate_keys": _both("join_key, n", "join_key, n").format(p="registry_dups", s="upload_dups"),
     "duplicate_key_rows": "SELECT registry_dups.n, upload_keyed.* FROM registry_dups JOIN upload_keyed ON registry_dups.join_key = upload_keyed.join_key",
     "many_to_many_keys": "SELECT join_key, registry_dups.n AS n_p, upload_dups.n AS n_s FROM registry_dups JOIN upload_dups USING (join_key)",
+    "resolved_pairs": _resolved(f"SELECT {_outer_pair_columns()}, p.n_p, s.n_s, level FROM settled "
+                                "JOIN many_registry p ON p.i = settled.p JOIN many_upload s ON s.i = settled.s"),
+    "unresolved_registry": _unresolved("registry", "upload", "p", "s", "n_p"),
+    "unresolved_upload": _unresolved("upload", "registry", "s", "p", "n_s"),
     "head_counts": "SELECT * FROM head",
     "count_eligibility": "SELECT * FROM (" + _eligible("primero", "primero_aun9_3", "registry_clean", False) + ") FULL JOIN ("
                          + _eligible("sebt", "sebt_aun9_3", "upload_rows", False) + ") USING (AUN)",
@@ -257,6 +295,8 @@ def oracle_sql() -> dict[str, str]:
     out = {name: _common() + tail for name, tail in _TAILS.items()}
     for name in CROWDED:
         out[f"{name}_crowded"] = _common(crowded=True) + _TAILS[name]
+    for name in ("unresolved_registry", "unresolved_upload"):
+        out[name] = _common(crowded=True) + _TAILS[name]
     for name in ("key_cascade", "linked_pairs"):
         out[f"{name}_named_only"] = _common(named_only=True) + _TAILS[name]
     return out

@@ -12,6 +12,7 @@ from rosterloom.operators.exceptions import one_sided_ids
 from rosterloom.operators.link import (
     ID_KEY, KEY, NAME_KEY, Linkage, duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, many_to_many_keys, unmatched,
 )
+from rosterloom.operators.resolve import resolve, resolved_pairs, unresolved_rows
 from rosterloom.operators.skew import ROW
 from rosterloom.plans.enrollment import enrollment_check
 from rosterloom.plans.summary import district_summary, odd_ids
@@ -36,7 +37,7 @@ def build_registry_snapshot(spark: SparkSession, folder: str, path: str,
 def batch_results(link: Linkage, linked: bool = False) -> dict[str, DataFrame]:
     """The results of a batch by name: the summary first, then the lists of exceptions, and on request the
     linked pairs with the similarity of their addresses."""
-    cfg = link.cfg
+    cfg, resolved = link.cfg, resolve(link)
     results = {
         "district_summary": district_summary(link),
         "one_sided_ids": one_sided_ids(link),
@@ -46,6 +47,9 @@ def batch_results(link: Linkage, linked: bool = False) -> dict[str, DataFrame]:
         "duplicate_keys_upload": duplicate_keys(link, cfg.upload),
         "duplicate_key_rows": duplicate_key_rows(link),
         "many_to_many_keys": many_to_many_keys(link),
+        "resolved_pairs": resolved_pairs(resolved),
+        "unresolved_registry": unresolved_rows(resolved, cfg.registry),
+        "unresolved_upload": unresolved_rows(resolved, cfg.upload),
         "link_sizes": link_sizes(link),
         **{f"odd_ids_{name}": odd_ids(link.plain_rows(side).drop(ROW, ID_KEY, NAME_KEY, KEY), side, cfg)
            for name, side in (("registry", cfg.registry), ("upload", cfg.upload))},

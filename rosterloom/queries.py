@@ -18,6 +18,7 @@ from rosterloom.operators.link import (
     KEY, Linkage, duplicate_key_rows, duplicate_keys, link_rosters, link_sizes,
     linked_distinct_pairs, linked_pairs, many_to_many_keys, unmatched,
 )
+from rosterloom.operators.resolve import resolve, resolved_pairs, unresolved_rows
 from rosterloom.plans import summary
 from rosterloom.plans.batch import prepare
 from rosterloom.plans.enrollment import district_count, enrollment_check
@@ -109,6 +110,12 @@ def _over_link(result: Callable[..., DataFrame], *args, cfg: MatchConfig = CFG)
     return query
 
 
+def _over_resolved(result: Callable[..., DataFrame], *args, cfg: MatchConfig = CFG) -> Query:
+    def query(spark, sf_dir):
+        return result(resolve(linked(spark, sf_dir, cfg)), *args)
+    return query
+
+
 def _over_batch(result: Callable[..., DataFrame]) -> Query:
     def query(spark, sf_dir):
         registry, upload = snapshots(spark, sf_dir)
@@ -235,6 +242,11 @@ QUERIES: dict[str, Query] = {
     "duplicate_key_rows": _over_link(duplicate_key_rows),
     "duplicate_key_rows_crowded": _over_link(duplicate_key_rows, cfg=CROWDED),
     "many_to_many_keys": _over_link(many_to_many_keys),
+    "resolved_pairs": _over_resolved(resolved_pairs),
+    "resolved_pairs_crowded": _over_resolved(resolved_pairs, cfg=CROWDED),
+    # In the plain rosters every row under such a key has a partner.
+    "unresolved_registry": _over_resolved(unresolved_rows, CFG.registry, cfg=CROWDED),
+    "unresolved_upload": _over_resolved(unresolved_rows, CFG.upload, cfg=CROWDED),
     "head_counts": _over_batch(summary.head_counts),
     "count_eligibility": _eligibility,
     "eligibility_wide": _over_link(summary.eligibility_wide),
