@@ -9,12 +9,15 @@ scores whole texts.
 
 Defined results: a null or empty text has no features and gets the score that the intercept gives. Rows with a null id are held out by no one and
 never learnt from. Ids that are labelled twice are learnt from by their larger label, ids with
-several texts by the first text; null labels count as none. Without toxic training rows all scores are 0. Each row is scored alone; an empty
+several texts by the first text; null labels count as none. Very long texts are read in windows of 2^18 characters, and score
+as if read at once (but for a capital sigma at a border in a stretch of 4096 characters without white space). Without toxic training rows all scores are 0. Each row is scored alone; an empty
 table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,9 @@ from rosterloom.llm.tables import small_batches
 
 PLACES = 1 << 20
 SIZES = (3, 4, 5)
+WINDOW = 1 << 18
 _SPACE = np.array([32], np.uint32)
+_WHITE = re.compile(r"[\x09-\x0D\x20]")
 
 
 @dataclass(frozen=True)
@@ -41,27 +46,60 @@ class Fit:
     seed: int = 4
 
 
-def places(text: str, stamp: np.ndarray) -> np.ndarray:
-    """The places of a text's n-grams, each once. `stamp`: PLACES numbers, of any value."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    chars[chars <= 32] = 32
-    keep = np.ones(len(chars), bool)
-    keep[1:] = (chars[1:] != 32) | (chars[:-1] != 32)
-    chars = np.concatenate([_SPACE, chars[keep], _SPACE])
+def _pieces(text: str) -> Iterator[str]:
+    """The text in stretches of about WINDOW characters, cut before white space where there is some."""
+    at = 0
+    while len(text) - at > WINDOW:
+        found = _WHITE.search(text, at + WINDOW, at + WINDOW + 4096)
+        cut = found.start() if found else at + WINDOW
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def _characters(text: str) -> Iterator[np.ndarray]:
+    """Lower-cased characters, white space as one space, a space before and after the text. Every stretch begins with
+    the last characters of the one before, as many as reach into the next n-gram."""
+    tail, space = _SPACE, False
+    for piece in _pieces(text):
+        chars = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        chars[chars <= 32] = 32
+        keep = np.ones(len(chars), bool)
+        keep[1:] = (chars[1:] != 32) | (chars[:-1] != 32)
+        if len(chars):
+            keep[0] = not (space and chars[0] == 32)
+            space = chars[-1] == 32
+        chars = np.concatenate([tail, chars[keep]])
+        yield chars
+        tail = chars[1 - max(SIZES):]
+    yield np.concatenate([tail, _SPACE])
+
+
+def _spots(chars: np.ndarray) -> np.ndarray:
+    """The place of every n-gram, repeated ones too."""
     known = chars * np.uint32(0x9E3779B1)
-    h, spots = known, []
+    h, spots = known, [np.zeros(0, np.uint32)]
     for n in range(2, max(SIZES) + 1):
         if len(h) < 2:
             break
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + known[n - 1:]
         if n in SIZES:
             spots.append((h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE3D) >> np.uint32(12))
-    if not spots:
-        return np.zeros(0, np.int64)
-    found = np.concatenate(spots).astype(np.int64)
-    order = np.arange(len(found), dtype=stamp.dtype)
-    stamp[found] = order  # of equal places the last one stays
-    return found[stamp[found] == order]
+    return np.concatenate(spots).astype(np.int64)
+
+
+def places(text: str, stamp: np.ndarray) -> np.ndarray:
+    """The places of a text's n-grams, each once. `stamp`: PLACES numbers, of any value. Takes memory for a window of the
+    text, whatever its length."""
+    if len(text) <= WINDOW:
+        found = _spots(np.append(next(_characters(text)), _SPACE))
+        order = np.arange(len(found), dtype=stamp.dtype)
+        stamp[found] = order  # of equal places the last one stays
+        return found[stamp[found] == order]
+    seen = np.zeros(PLACES, bool)
+    for chars in _characters(text):
+        seen[_spots(chars)] = True
+    return np.flatnonzero(seen)
 
 
 def new_stamp() -> np.ndarray:
