@@ -8,15 +8,18 @@ share of its words.
 Defined results: a word is a stretch without the six ASCII white-space characters. A null or empty
 text has no words, is rejected and stays empty. Lines are what stands between line feeds; a
 line without words is kept and counts for nothing. Each row is judged alone, so repeated rows
-get the same result; an empty table gives no rows; other columns do not matter.
+get the same result; a very long text takes some 8 bytes a word besides itself; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,9 @@ from rosterloom.llm.tables import small_batches, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
+BLOCK = 1 << 20
+_SPACE = re.compile(f"[{SPACES}]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 MENU = frozenset("home about contact login logout register search menu sitemap next previous back top "
                  "share tweet print subscribe newsletter archive categories tags comments".split())
 BOILERPLATE = (
@@ -73,44 +79,85 @@ class Rules:
         return None
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words within windows of three words that are found twice or more."""
-    windows = list(zip(words, words[1:], words[2:]))
-    if len(set(windows)) == len(windows):
+def repeated_words(words: array) -> int:
+    """Words within windows of three words that are found twice or more; the words are given as 64-bit hashes."""
+    n = len(words) - 2
+    if n < 2:
         return 0
-    counts = Counter(windows)
-    total, upto = 0, 0
-    for i, window in enumerate(windows):
-        if counts[window] > 1:
-            total += i + 3 - max(i, upto)
-            upto = i + 3
-    return total
-
-
-def judged(text: str | None, rules: Rules = Rules()) -> dict:
-    """What is found in one text, the text without failed lines, and the verdict."""
+    h, windows = np.frombuffer(words, np.uint64), np.empty(n, np.uint64)
+    for i in range(0, n, BLOCK):
+        j = min(i + BLOCK, n)
+        x = h[i:j]
+        for shift in (1, 2):
+            x = x * _ODD
+            x = (x ^ (x >> np.uint64(32))) + h[i + shift:j + shift]
+        windows[i:j] = x
+    several = np.sort(windows)
+    several = several[1:][several[1:] == several[:-1]]
+    if not len(several):
+        return 0
+    inside = np.zeros(n + 2, bool)
+    for i in range(0, n, BLOCK):
+        part = windows[i:i + BLOCK]
+        hit = several[np.minimum(np.searchsorted(several, part), len(several) - 1)] == part
+        for shift in range(3):
+            inside[i + shift:i + shift + len(part)] |= hit
+    return int(inside.sum())
+
+
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    start = 0
+    while (end := text.find("\n", start)) >= 0:
+        yield start, end
+        start = end + 1
+    yield start, len(text)
+
+
+def _words(line: str) -> Iterator[list[bytes]]:
+    """The words of a line, those of about BLOCK characters at a time."""
+    at = 0
+    while len(line) - at > BLOCK:
+        found = _SPACE.search(line, at + BLOCK)
+        end = found.start() if found else len(line)
+        yield line[at:end].encode("utf-8", "surrogatepass").split()
+        at = end
+    yield (line[at:] if at else line).encode("utf-8", "surrogatepass").split()
+
+
+def judged(text: str | None, rules: Rules = Rules(), with_text: bool = True) -> dict:
+    """What is found in one text, the text without failed lines, and the verdict.
+
+    Words and lines are kept as 64-bit hashes, what stays of the text as the ends of its stretches.
+    """
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
-    lines, with_words, kept, lost = text.split("\n"), [], [], 0
+    words, lines, stretches, lost = array("q"), array("q"), [], 0
     fails = Counter()
-    for line in lines:
-        n = len(line.encode("utf-8", "surrogatepass").split())
+    for start, end in _lines(text):
+        line, before = text[start:end], len(words)
+        for some in _words(line):
+            words.extend(map(hash, some))
+        n = len(words) - before
         if n:
-            with_words.append(line)
+            lines.append(hash(line))
             if why := rules.failed(line, n):
                 fails[why] += 1
                 lost += n
                 continue
-        kept.append(line)
-    repeats = repeated_words(words)
-    base_failed = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
+        if stretches and stretches[-1][1] == start - 1:
+            stretches[-1] = stretches[-1][0], end
+        else:
+            stretches.append((start, end))
+    repeats, n_words = repeated_words(words), len(words)
+    base_failed = n_words < rules.min_words or 100 * repeats > rules.max_repeat_percent * n_words
     return {
-        "n_words": len(words), "word_chars": len(text) - sum(map(text.count, SPACES)),
-        "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": len(with_words) - len(set(with_words)),
+        "n_words": n_words, "word_chars": len(text) - sum(map(text.count, SPACES)),
+        "n_symbols": sum(map(text.count, SYMBOLS)),
+        "n_dup_lines": len(lines) - len(np.unique(np.frombuffer(lines, np.int64))) if lines else 0,
         "n_repeat_words": repeats, "base_failed": base_failed,
-        "kept": not base_failed and lost <= rules.max_lost * len(words),
+        "kept": not base_failed and lost <= rules.max_lost * n_words,
         "lost_words": lost, "n_punctuation": fails["punctuation"], "n_navigation": fails["navigation"],
-        "n_boilerplate": fails["boilerplate"], "clean_text": "\n".join(kept),
+        "n_boilerplate": fails["boilerplate"],
+        "clean_text": "\n".join(text[a:b] for a, b in stretches) if with_text else None,
     }
 
 
@@ -127,7 +174,7 @@ def line_rules(text: Column, rules: Rules = Rules(), with_text: bool = True) ->
 
     @arrow_udf(returns)
     def run(texts: pa.Array) -> pa.Array:
-        found = [judged(t, rules) for t in texts.to_pylist()]
+        found = [judged(t, rules, with_text) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([r[c] for r in found], t) for c, t in fields],
                                           [c for c, _ in fields])
 
