@@ -37,7 +37,7 @@ from pyspark.sql.functions import arrow_udf
 
 from rosterloom.llm.graph import components
 from rosterloom.llm.shingles import WORDS, shingles
-from rosterloom.llm.tables import kept_as, same, small_batches, unused
+from rosterloom.llm.tables import kept_as, looked_up, same, small_batches, unused
 from rosterloom.workspace import work_folder
 
 PLACE_BITS = 18
@@ -214,7 +214,7 @@ def verified(pairs: DataFrame, found: DataFrame, weights, how: Near) -> DataFram
         return pa.array([max(weighted_jaccard(x, y, weights.value)) for x, y in zip(rows[:len(ha)], rows[len(ha):])], pa.float64())
 
     a, b = (found.select(F.col("key").alias(x), F.col("hashes").alias(f"h{x}"), F.col("counts").alias(f"c{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(similarity("ha", "ca", "hb", "cb") >= how.similarity).select("a", "b")
+    return looked_up(pairs, a, "a").join(b, "b").filter(similarity("ha", "ca", "hb", "cb") >= how.similarity).select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """doc_id, component_id (the smallest id of the class) and kept, per row; one row of each class is kept."""
     members, classes = text_classes(docs.select("doc_id", "text"), how)
     stands = (F.col("key") == F.col("stands")) & same(F.col("doc_id"), F.col("class_id"))
-    placed = kept_as(members.join(classes, "key").select("doc_id", "key", "class_id", stands.alias("first"))
+    placed = kept_as(looked_up(members, classes, "key").select("doc_id", "key", "class_id", stands.alias("first"))
                      .withColumn("row", F.monotonically_increasing_id()), work_folder(docs.sparkSession, "near-duplicates"))
     # Several rows that could stand for a class are equal here: any one of them.
     chosen = placed.filter("first").groupBy("key").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
@@ -371,7 +371,8 @@ def without_near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     stand = classes.filter(F.col("key") == F.col("stands")).select(
         F.col("key").alias(key), F.col("class_id").alias(chosen))
     rows = docs.withColumns({key: text_key(F.col("text")), row: F.monotonically_increasing_id()})
-    kept = rows.join(stand, [key]).filter(same(F.col("doc_id"), F.col(chosen)))
+    sizes = members.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    kept = looked_up(rows, stand, key, sizes).filter(same(F.col("doc_id"), F.col(chosen)))
     # Rows with the same text and id are equal but for other columns, of any type: the first read stays.
     first = kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(row)))
     return first.filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

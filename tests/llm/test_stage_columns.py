@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from rosterloom.llm.near_duplicates import without_near_duplicates
+from rosterloom.llm.tables import looked_up
 
 LONG = " ".join(f"word{i}" for i in range(80))
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars int, `a.b` string, "
@@ -34,3 +35,13 @@ def test_one_row_of_each_group_whatever_its_columns(spark):
     kept = without_near_duplicates(docs).collect()
     assert sorted(r.doc_id for r in kept) == [1, 7]
     assert {r.tags["a"] for r in kept} <= {0, 1, 4}
+
+
+def test_lookups_deal_heavy_keys(spark):
+    rows = spark.createDataFrame([("hot", i, 1) for i in range(5000)] + [(f"k{i}", i, 2) for i in range(3000)] + [(None, 0, 3)],
+                                 "key string, part int, n int")
+    known = spark.createDataFrame([("hot", 7), ("k1", 8), ("k2", 9), ("other", 10), (None, 11)], "key string, parts int")
+    got = looked_up(rows, known, "key")
+    assert got.columns == ["key", "part", "n", "parts"]
+    assert sorted(map(tuple, got.collect())) == sorted([("hot", i, 1, 7) for i in range(5000)] + [("k1", 1, 2, 8), ("k2", 2, 2, 9)])
+    assert looked_up(rows.limit(0), known, "key").count() == 0
