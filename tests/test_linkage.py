@@ -216,6 +216,17 @@ def test_no_two_slices_stand_for_many_pairs(spark, n, m, small):
     assert (sizes.n / sizes.x) * (sizes.m / sizes.y) <= 50
 
 
+def test_low_limits_do_not_copy_rows_without_end(spark):
+    """A key of 4 million pairs under limits of a few rows: enough slices to occupy the tasks, not a million cells."""
+    limits = ScaleLimits(slice_rows=2, slice_pairs=4, broadcast_bytes=1)
+    left, right = (with_row_numbers(spark.range(2000).selectExpr("'k' AS k", f"id AS {name}")) for name in "ab")
+    hot = HotKeys.find([(left, ["k"]), (right, ["k"])], limits)
+    x, y = hot.sizes.select(*hot._grid()).first()
+    assert 1000 <= x * y <= 8192
+    joined = hot.join_pairs(left, right, "k")
+    assert joined.agg(F.count("*"), F.sum("a"), F.sum("b")).first()[:] == (4_000_000, 2000 * 1_999_000, 2000 * 1_999_000)
+
+
 def test_keys_under_all_limits_are_not_hot(spark):
     rows = with_row_numbers(spark.createDataFrame([("a",), ("a",), (None,)], "k string"))
     hot = HotKeys.find([(rows, ["k"]), (rows, ["k"])], ScaleLimits(slice_rows=2, slice_pairs=4, pair_limit=4))
