@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import is_filled, tidy_key
 from rosterloom.operators.skew import broadcast_if_small
+from rosterloom.workspace import work_folder
 
 
 def prefix_columns(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -39,12 +40,17 @@ def restrict_to_batch(registry: DataFrame, upload: DataFrame,
     """Registry rows whose district occurs among the uploads.
 
     A short list of districts becomes a plain filter, which a Parquet scan can use to skip
-    row groups. A longer one is broadcast after measuring it. Should it be too long even
-    for that, it is joined by a shuffle, in which adaptive execution splits crowded districts.
+    row groups. A longer one is stored and broadcast after measuring it. Should it be too long even
+    for that, Spark chooses the join by the size of the stored table: only a list that is too long for it, too, makes
+    it shuffle the rows of the registry, and adaptive execution splits crowded districts.
     """
     mine, theirs = cfg.registry.col(cfg.district), cfg.upload.col(cfg.district)
-    batch = upload.select(F.col(theirs).alias(mine)).distinct()
-    listed = batch.limit(cfg.limits.listed_districts + 1).collect()
+    found = upload.select(F.col(theirs).alias(mine)).distinct()
+    listed = found.limit(cfg.limits.listed_districts + 1).collect()
     if len(listed) <= cfg.limits.listed_districts:
         return registry.filter(F.col(mine).isin([row[0] for row in listed]))
+    spark = registry.sparkSession
+    folder = work_folder(spark, "batch-districts")
+    found.write.parquet(folder)
+    batch = spark.read.schema(found.schema).parquet(folder)
     return registry.join(broadcast_if_small(batch, cfg.limits), mine, "left_semi")

@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
@@ -23,7 +23,8 @@ class Linkage:
 
     `plain` holds the same rows, registry first, as they were before the choice of key:
     what needs no key reads them and so is spared the joins the choice takes. Rows have a
-    number, which results leave out. `kept` says that the rows are stored tables.
+    number, which results leave out. `shared` are the ID keys of both sides, by which the key of a row is chosen; stored
+    rows have no need of them. `kept` says that the rows are stored tables.
     """
 
     registry: DataFrame
@@ -33,6 +34,7 @@ class Linkage:
     tables: tuple[str, ...] = ()
     kept: bool = False
     counted: HotKeys | None = None
+    shared: DataFrame | None = None
 
     @cached_property
     def hot(self) -> HotKeys:
@@ -76,7 +78,7 @@ class Linkage:
             kept[name] = spark.table(table)
             tables.append(table)
         return replace(self, **kept, plain=(kept["registry"], kept["upload"]), tables=tuple(tables),
-                       kept=True, counted=self.hot)
+                       kept=True, counted=self.hot, shared=None)
 
     def release(self) -> None:
         """Forget stored tables. Their files stay; results not computed yet need them."""
@@ -105,13 +107,16 @@ def shared_ids(registry: DataFrame, upload: DataFrame) -> DataFrame:
     return masks.filter(F.col("_sides") == 3).select(ID_KEY, F.lit(True).alias("_known"))
 
 
+def chosen_key() -> Column:
+    return F.when(F.col("_known"), F.col(ID_KEY)).otherwise(F.col(NAME_KEY))
+
+
 def choose_key(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """The ID key where the other roster knows it, the name key otherwise.
 
     A lookup has one row per key; adaptive execution splits what a crowded key makes too large.
     """
-    chosen = F.when(F.col("_known"), F.col(ID_KEY)).otherwise(F.col(NAME_KEY))
-    return rows.join(shared, ID_KEY, "left").withColumn(KEY, chosen).drop("_known")
+    return rows.join(shared, ID_KEY, "left").withColumn(KEY, chosen_key()).drop("_known")
 
 
 def link_rosters(registry: DataFrame, upload: DataFrame,
@@ -121,7 +126,23 @@ def link_rosters(registry: DataFrame, upload: DataFrame,
     registry = add_keys(registry, cfg.registry, cfg)
     upload = add_keys(with_row_numbers(upload), cfg.upload, cfg)
     shared = shared_ids(registry, upload)
-    return Linkage(choose_key(registry, shared), choose_key(upload, shared), (registry, upload), cfg)
+    return Linkage(choose_key(registry, shared), choose_key(upload, shared), (registry, upload), cfg, shared=shared)
+
+
+def rows_under(link: Linkage, side: Side, keys: DataFrame) -> DataFrame:
+    """The rows of one side whose key is among `keys`, with all columns; `keys` has one row per key and
+    may add columns.
+
+    The lookup by ID key, which whole rows are shuffled for, also tells whether a row known by its ID is wanted. Only
+    the rows that are, and those known by name, are shuffled again by the key chosen. Name keys are spelt after either.
+    """
+    if link.shared is None:
+        return link.rows(side).drop(ROW).join(keys, KEY)
+    told = link.shared.join(keys.select(F.col(KEY).alias(ID_KEY), F.lit(True).alias("_wanted")), ID_KEY, "left")
+    rows = link.plain_rows(side).drop(ROW, NAME_KEY).join(told, ID_KEY, "left")
+    rows = add_keys(rows.filter("_known IS NULL OR _wanted"), side, link.cfg)
+    found = rows.withColumn(KEY, chosen_key()).drop("_known", "_wanted", ID_KEY, NAME_KEY).join(keys, KEY)
+    return add_keys(found, side, link.cfg)
 
 
 def key_counts(rows: DataFrame, name: str = "n") -> DataFrame:
@@ -163,9 +184,17 @@ def linked_distinct_pairs(link: Linkage) -> DataFrame:
 
 
 def unmatched(link: Linkage, side: Side) -> DataFrame:
-    """Rows of one side, with all columns, whose key the other side does not have."""
+    """Rows of one side, with all columns, whose key the other side does not have.
+
+    A row whose ID both sides know is linked by it. So only the others are looked up by the key chosen, their name
+    key, and shuffled for it.
+    """
     known = link.other(side).select(KEY).distinct()
-    return link.rows(side).join(known, KEY, "left_anti").drop(ROW)
+    if link.shared is None:
+        return link.rows(side).join(known, KEY, "left_anti").drop(ROW)
+    rows = link.plain_rows(side).drop(ROW, NAME_KEY).join(link.shared, ID_KEY, "left_anti")
+    named = add_keys(rows, side, link.cfg).withColumn(KEY, F.col(NAME_KEY)).drop(ID_KEY, NAME_KEY)
+    return add_keys(named.join(known, KEY, "left_anti"), side, link.cfg)
 
 
 def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
@@ -176,7 +205,7 @@ def duplicate_keys(link: Linkage, side: Side) -> DataFrame:
 def duplicate_key_rows(link: Linkage) -> DataFrame:
     """Upload rows linked to a key that is duplicated in the registry, one-to-many included."""
     dups = duplicate_keys(link, link.cfg.registry)
-    return link.upload.join(dups, KEY, "inner").drop(ROW)
+    return rows_under(link, link.cfg.upload, dups)
 
 
 def many_to_many_keys(link: Linkage) -> DataFrame:

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.config import MatchConfig, Side
 from rosterloom.functions.text import standardize_address
-from rosterloom.operators.link import KEY, Linkage, many_to_many_keys
-from rosterloom.operators.skew import ROW
+from rosterloom.operators.link import KEY, Linkage, many_to_many_keys, rows_under
 from rosterloom.workspace import work_folder
 
 _NAME = ("birth_date", "first_name", "last_name")
@@ -57,7 +56,7 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def _distinct(link: Linkage, side: Side, keys: DataFrame) -> DataFrame:
-    rows = link.rows(side).drop(ROW).join(keys, KEY, "left_semi")
+    rows = rows_under(link, side, keys)
     names = sorted(c for c in rows.columns if c != KEY)
     # JSON names what is there, so a null is not taken for a blank or for its neighbour.
     content = F.md5(F.to_json(F.struct(*names)))

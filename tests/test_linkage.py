@@ -51,6 +51,60 @@ def test_batch_restriction(spark, limits):
     assert not [c for c in kept.columns if c.startswith("_")]
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_list_of_districts_does_not_shuffle_the_registry(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    usual = {name: spark.conf.get(name, None) for name in names}
+    spark.conf.set(names[0], 100_000)
+    spark.conf.set(names[1], -1)
+    try:
+        found = restrict_to_batch(*rosters(spark, [{"aun9_3": d} | {"pasecureid": "1"} for d in "123"],
+                                           [{"aun9_3": d} | {"pasecureid": "1"} for d in "235"], TIGHT_CFG), TIGHT_CFG)
+        assert "hashpartitioning" not in physical(found)
+        assert sorted(r.primero_aun9_3 for r in found.collect()) == ["2", "3"]
+    finally:
+        for name, value in usual.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_rows_decided_by_their_id_are_not_looked_up_again(spark):
+    registry, upload = random_rosters(7)
+    found = link(spark, registry, upload)
+    for side in CFG.sides:
+        assert physical(unmatched(found, side)).count("LeftAnti") == 2
+    assert "_wanted" in physical(duplicate_key_rows(found))
+
+
+@pytest.mark.parametrize("cfg", [CFG, TIGHT_CFG, replace(CFG, match_missing_names=False)], ids=["usual", "tight", "named"])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_lookups_against_the_chosen_keys(spark, seed, cfg, tmp_path):
+    """Unmatched and duplicate rows as the chosen keys give them, also where an ID is spelt like a name, and from stored rows."""
+    registry, upload = random_rosters(seed)
+    spelt = {"pasecureid": "a_ash_2015", "student_first_name": "x"}
+    named = {"student_first_name": "a", "student_last_name": "ash", "student_dob": "2015"}
+    registry += [spelt, named | {"pasecureid": "only-p"}, named | {"pasecureid": "only-q"}]
+    upload += [spelt, spelt, named | {"pasecureid": "only-s"}]
+    found = link(spark, registry, upload, cfg)
+    keyed = {side: [r.asDict() for r in found.rows(side).drop("_row").collect()] for side in cfg.sides}
+    counts = {side: Counter(r["join_key"] for r in rows if r["join_key"] is not None) for side, rows in keyed.items()}
+
+    def told(rows):
+        return Counter(tuple(sorted(r.items(), key=lambda x: x[0])) for r in rows)
+
+    for here in (found, found.stored(str(tmp_path / "kept"))):
+        for side, other in (cfg.sides, cfg.sides[::-1]):
+            expected = [r for r in keyed[side] if r["join_key"] not in counts[other]]
+            assert expected and told(r.asDict() for r in unmatched(here, side).collect()) == told(expected)
+        dups = {k: n for k, n in counts[cfg.registry].items() if n > 1}
+        expected = [r | {"n": dups[r["join_key"]]} for r in keyed[cfg.upload] if r["join_key"] in dups]
+        assert any(r["join_key"] == "1_a_ash_2015" for r in expected)
+        assert told(r.asDict() for r in duplicate_key_rows(here).collect()) == told(expected)
+        here.release()
+
+
 def test_cascade(spark):
     found = link(spark, [
         {"pasecureid": "1", "student_first_name": "a"},
