@@ -73,9 +73,10 @@ def _compared(rows: DataFrame, side: Side, cfg: MatchConfig, fields: list[str])
 
 
 def resolve(link: Linkage, levels: tuple[tuple[str, ...], ...] = LEVELS) -> Resolution:
-    """Stores the rows of many-to-many keys, and runs one job per level over them."""
+    """Stores the many-to-many keys and their rows, and runs one job per level over them."""
     cfg, folder = link.cfg, work_folder(link.registry.sparkSession, "resolved")
-    keys = many_to_many_keys(link).select(KEY)
+    # Either side looks them up twice, and to count them takes the keys of all rows.
+    keys = _stored(many_to_many_keys(link).select(KEY), f"{folder}/keys")
     rows = {side.prefix: _stored(_distinct(link, side, keys), f"{folder}/{side.prefix}") for side in cfg.sides}
     fields = list(dict.fromkeys(name for level in levels for name in level))
     contents = [f"{_CONTENT}_{side.prefix}" for side in cfg.sides]

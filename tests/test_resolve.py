@@ -96,3 +96,14 @@ def test_random_keys(spark):
         for out, part in zip(expected, plainly(*both)):
             out += part
     assert said(*resolved(spark, *sides)) == tuple(sorted(x) for x in expected)
+
+
+def test_many_to_many_keys_are_counted_once(spark, monkeypatch):
+    """Both sides look up stored keys; counting them again for each would take the keys of all rows."""
+    from rosterloom.operators import resolve as module
+
+    looked_up, lookup = [], module.rows_under
+    monkeypatch.setattr(module, "rows_under", lambda link, side, keys: looked_up.append(keys.inputFiles()) or lookup(link, side, keys))
+    both = [row("a"), row("b")]
+    resolved(spark, both, both)
+    assert len(looked_up) == 2 and looked_up[0] == looked_up[1] and "/keys/" in looked_up[0][0]
