@@ -22,6 +22,7 @@ import math
 import sys
 from bisect import bisect_right
 from collections import Counter
+from dataclasses import replace
 from functools import lru_cache
 from itertools import combinations
 
@@ -206,7 +207,8 @@ def candidates(pv: DataFrame, sv: DataFrame, cfg: MatchConfig) -> tuple[DataFram
     keys = spark.read.schema(keys.schema).parquet(f"{folder}/keys")
     p, s = (keys.filter(F.col("side") == side).select("k", F.col("id").alias(f"{side}_id"), F.col("id").alias(ROW))
             for side in "ps")
-    # A key has no more pairs than there are pairs of texts.
+    # A key has no more pairs than there are pairs of texts. Pairs of two numbers take no time to put together: no products.
+    limits = replace(limits, cross_keys=0)
     n, m = texts.agg(F.count_if(F.col("side") == "p"), F.count_if(F.col("side") == "s")).first()
     hot = HotKeys.find([(p, ["k"]), (s, ["k"])], limits) if n * m > limits.slice_pairs else HotKeys(limits)
     if not hot:

@@ -281,6 +281,49 @@ def test_low_limits_do_not_copy_rows_without_end(spark):
     assert joined.agg(F.count("*"), F.sum("a"), F.sum("b")).first()[:] == (4_000_000, 2000 * 1_999_000, 2000 * 1_999_000)
 
 
+def above_products(df):
+    """The operator right above each product in the plan."""
+    lines = physical(df).splitlines()
+    bare = [line.lstrip(" :+-") for line in lines]
+    depth = [len(line) - len(name) for line, name in zip(lines, bare)]
+    return [next(bare[j] for j in range(i, -1, -1) if depth[j] < depth[i])
+            for i, name in enumerate(bare) if name.startswith("CartesianProduct")]
+
+
+def test_pairs_of_a_heavy_key_are_put_together_without_copies(spark):
+    """A key of 16 million pairs is a product of parts, whose columns are in order before: rows are neither copied
+    for slices nor written anew for every pair."""
+    limits = ScaleLimits(slice_rows=5, slice_pairs=50, broadcast_bytes=1)
+    left, right = (with_row_numbers(spark.range(4001).selectExpr(f"id AS {name}", "IF(id < 4000, 'k', 'other') AS k"))
+                   for name in "ab")
+    hot = HotKeys.find([(left, ["k"]), (right, ["k"])], limits)
+    joined = hot.join_pairs(left, right, "k")
+    assert joined.columns == ["k", "a", "b"]
+    assert above_products(joined) == ["Union"]
+    assert joined.agg(F.count("*"), F.sum("a"), F.sum("b")).first()[:] == (
+        16_000_001, 4000 * 7_998_000 + 4000, 4000 * 7_998_000 + 4000)
+
+
+@pytest.mark.parametrize("most", [1, 2, 16])
+@pytest.mark.parametrize("tight", [False, True])
+def test_heavy_keys_light_keys_and_short_sides(spark, tight, most):
+    def side(sizes, name):
+        keys = [None if k == "null" else k for k, size in sizes.items() for _ in range(size)]
+        rows = spark.createDataFrame(list(enumerate(keys)), f"{name} long, k string")
+        return with_row_numbers(rows.repartition(3, name))
+
+    left = side({"a": 60, "b": 40, "c": 3, "one": 1, "many": 2000, "alone": 99, "null": 50}, "x")
+    right = side({"a": 50, "b": 45, "c": 2, "one": 2000, "many": 1, "other": 99, "null": 50}, "y")
+    small = {"slice_rows": 5, "slice_pairs": 50, "broadcast_bytes": 1} if tight else {}
+    hot = HotKeys.find([(left, ["k"]), (right, ["k"])], ScaleLimits(cross_pairs=1000, cross_keys=most, **small))
+    assert bool(hot) == tight and len(hot.heaviest) == min(most, 2)
+    joined = hot.join_pairs(left, right, "k")
+    assert len(above_products(joined)) == min(most, 2)
+    expected = left.drop("_row").join(right.drop("_row"), "k")
+    assert joined.dtypes == expected.dtypes
+    assert Counter(joined.collect()) == Counter(expected.collect())
+
+
 def test_keys_under_all_limits_are_not_hot(spark):
     rows = with_row_numbers(spark.createDataFrame([("a",), ("a",), (None,)], "k string"))
     hot = HotKeys.find([(rows, ["k"]), (rows, ["k"])], ScaleLimits(slice_rows=2, slice_pairs=4, pair_limit=4))
