@@ -11,7 +11,8 @@ from rosterloom.operators.clean import clean_keys, keep_identified, prefix_colum
 from rosterloom.operators.compare import mismatched_pairs, scored_pairs
 from rosterloom.operators.exceptions import one_sided_ids
 from rosterloom.operators.link import (
-    duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, linked_pairs, many_to_many_keys, unmatched,
+    duplicate_key_rows, duplicate_keys, link_rosters, link_sizes, linked_distinct_pairs, linked_pairs,
+    many_to_many_keys, unmatched,
 )
 from rosterloom.operators.skew import HotKeys, broadcast_if_small, with_row_numbers
 
@@ -324,6 +325,18 @@ def test_heavy_keys_light_keys_and_short_sides(spark, tight, most):
     assert Counter(joined.collect()) == Counter(expected.collect())
 
 
+@pytest.mark.parametrize("limits", [ScaleLimits(cross_pairs=100), replace(TIGHT, cross_pairs=100)], ids=["usual", "tight"])
+def test_products_change_nothing(spark, limits):
+    registry, upload = random_rosters(6, 200)
+    usual, found = (link(spark, registry + registry[:50], upload + upload[:40], cfg) for cfg in (CFG, replace(CFG, limits=limits)))
+    assert not usual.hot.heaviest and found.hot.heaviest
+    for result in (linked_pairs, linked_distinct_pairs, scored_pairs, lambda x: mismatched_pairs(x, "address"),
+                   lambda x: mismatched_pairs(x, "parent_name")):
+        mine, theirs = result(found), result(usual)
+        assert sorted(mine.columns) == sorted(theirs.columns) and "CartesianProduct" in physical(mine)
+        assert Counter(mine.select(theirs.columns).collect()) == Counter(theirs.collect())
+
+
 def test_keys_under_all_limits_are_not_hot(spark):
     rows = with_row_numbers(spark.createDataFrame([("a",), ("a",), (None,)], "k string"))
     hot = HotKeys.find([(rows, ["k"]), (rows, ["k"])], ScaleLimits(slice_rows=2, slice_pairs=4, pair_limit=4))
